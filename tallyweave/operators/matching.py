@@ -41,7 +41,8 @@ def _cursors(left_lists: DataFrame, sizes: DataFrame) -> DataFrame:
     firsts = F.count_if(F.col("tier") == F.col("_first")).over(per_left)
     mine = mine.withColumn("_first", first).withColumn("_n", firsts)
     starts_here = ((F.col("tier") == F.col("_first")) & (F.col("_n") == 1)).cast("long")
-    counted = running(mine.withColumn("_s", starts_here), ["list_id"], "left_id", {"before": F.col("_s")})
+    mine = cut(mine.select("left_id", "tier", "list_id", "size", starts_here.alias("_s")), "cursors")
+    counted = running(mine, ["list_id"], "left_id", {"before": F.col("_s")})
     return counted.select("left_id", "tier", "list_id", "size", (F.col("before") + 1).cast("long").alias("next"))
 
 
@@ -68,46 +69,45 @@ def _draw(cursors: DataFrame, lists: DataFrame, window: int) -> DataFrame:
 
 
 def greedy_assign(left_lists: DataFrame, lists: DataFrame, max_rounds: int | None = None) -> DataFrame:
-    """Matches ``left_id, right_id, tier``. Ids are longs; list ids are texts.
+    """Matches ``left_id, right_id, tier``. Ids are longs, list ids texts; both inputs hold no duplicates.
 
     ``max_rounds`` only guards tests against a loop that does not end; reaching
     it raises. Progress is sure: each round refuses or draws at least one row.
     """
-    sizes_of = ranked(lists.distinct(), ["list_id"], "right_id").withColumn("block", F.floor((F.col("pos") - 1) / BLOCK))
-    lists = cut(sizes_of, "lists")
+    raw = cut(lists, "raw-lists")
+    numbered = ranked(raw, ["list_id"], "right_id").withColumn("block", F.floor((F.col("pos") - 1) / BLOCK))
+    lists = cut(numbered, "lists")
     sizes = lists.groupBy("list_id").agg(F.max("pos").alias("size"))
-    cursors = cut(_cursors(left_lists.distinct(), sizes), "cursors")
+    cursors = cut(_cursors(left_lists, sizes), "cursors")
     window = FIRST_WINDOW
-    drawn = _draw(cursors, lists, window)
-    edges = cut(drawn.select("left_id", "tier", "right_id", "list_id"), "edges")
-    need = None
+    fresh = edges = cut(_draw(cursors, lists, window), "edges")
     rounds = 0
     while True:
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-        if need is not None or rounds == 1:
-            used = edges if rounds == 1 else fresh
-            taken = used.groupBy("left_id", "list_id").agg(F.count("*").alias("_k"))
-            cursors = cut(
-                cursors.join(taken, ["left_id", "list_id"], "left")
-                .withColumn("next", F.col("next") + F.coalesce("_k", F.lit(0))).drop("_k"),
-                "cursors",
-            )
-        best = edges.groupBy("left_id").agg(F.min(F.struct("tier", "right_id")).alias("b"))
-        held = best.groupBy(F.col("b.right_id").alias("right_id")).agg(F.min("left_id").alias("holder"))
+        held = _best(edges).groupBy("right_id").agg(F.min("left_id").alias("holder"))
         kept = cut(edges.join(held, "right_id", "left").where("holder IS NULL OR left_id <= holder").drop("holder"), "edges")
-        refused = edges.count() - kept.count()
-        if refused == 0:
-            break
+        if kept.count() == edges.count():
+            return _best(kept)
         edges = kept
+        if fresh is not None:
+            cursors = _advance(cursors, fresh)
+            fresh = None
         idle = cursors.where("next <= size").join(kept.select("left_id").distinct(), "left_id", "left_anti")
-        idle = cut(idle, "idle")
-        need = None
-        if idle.count():
-            need = idle
-            window = min(window * 2, LAST_WINDOW)
-            fresh = cut(_draw(idle, lists, window).select("left_id", "tier", "right_id", "list_id"), "fresh")
+        window = min(window * 2, LAST_WINDOW)
+        drawn = cut(_draw(idle, lists, window), "fresh")
+        if drawn.count():
+            fresh = drawn
             edges = edges.unionByName(fresh)
+
+
+def _best(edges: DataFrame) -> DataFrame:
     best = edges.groupBy("left_id").agg(F.min(F.struct("tier", "right_id")).alias("b"))
-    return cut(best.select("left_id", F.col("b.right_id").alias("right_id"), F.col("b.tier").alias("tier")), "matches")
+    return best.select("left_id", F.col("b.right_id").alias("right_id"), F.col("b.tier").alias("tier"))
+
+
+def _advance(cursors: DataFrame, drawn: DataFrame) -> DataFrame:
+    taken = drawn.groupBy("left_id", "list_id").agg(F.count("*").alias("_k"))
+    moved = cursors.join(taken, ["left_id", "list_id"], "left")
+    return cut(moved.withColumn("next", F.col("next") + F.coalesce("_k", F.lit(0))).drop("_k"), "cursors")

@@ -43,7 +43,8 @@ SELECT o.o_orderkey + 1000000000 AS fiscal_id, CAST(o.o_orderkey AS STRING) AS d
  {_DOC14.format(k='o.o_custkey')} AS counterparty_doc,
  CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) + CAST(o.o_orderkey % 7 AS INT) * CAST(0.01 AS DECIMAL(4,2)) AS DECIMAL(18,2)) AS total_value,
  (o.o_orderkey % 17 = 0) AS cancelled,
- concat('notas/XML/', lpad(CAST(o.o_orderkey AS STRING), 44, '0'), '.xml') AS xml_path
+ concat('share/', substr(CAST(o.o_orderdate AS STRING), 6, 2), '-', substr(CAST(o.o_orderdate AS STRING), 1, 4),
+  CASE o.o_orderkey % 3 WHEN 0 THEN '/XML 06-2024/' WHEN 1 THEN '/XML 06-2024/xml/' ELSE '/outros/' END, lpad(CAST(o.o_orderkey AS STRING), 44, '0'), '.xml') AS xml_path
 FROM orders o""",
     "dense_tx": """
 SELECT event_id AS tx_id, CAST(ts AS DATE) AS tx_date, CAST(value AS DECIMAL(18,2)) AS amount,
@@ -113,12 +114,33 @@ SELECT tx_id AS entry_id, n AS seq, CASE WHEN (tx_id + n) % 3 = 0 THEN '4.02.02.
  CASE WHEN (tx_id + n) % 5 = 0 THEN '2.01.01.01.01' END AS credit_account, CASE WHEN (tx_id + n) % 7 = 0 THEN concat('Fixed ', CAST(n AS STRING)) END AS category,
  CASE WHEN (tx_id + n) % 2 = 0 THEN 'matched' WHEN (tx_id + n) % 9 = 0 THEN '' END AS status
 FROM tx CROSS JOIN (SELECT * FROM (VALUES (1), (2)) AS v(n)) k""",
+    "attachments": """
+SELECT file_id * 2 AS entry_id, path AS file_path, concat(CASE WHEN file_name LIKE '0000%' THEN 'DANFE — ' ELSE '' END, file_name) AS file_name, 'pdf' AS file_type,
+ CASE WHEN size % 2 = 0 THEN 'exact' ELSE 'fuzzy' END AS match_type, CASE WHEN size % 2 = 0 THEN 0.95E0 ELSE 0.7E0 END AS match_score FROM files
+UNION ALL
+SELECT CAST(doc_number AS BIGINT) * 3 AS entry_id, xml_path AS file_path, concat('XML NF-e — ', doc_number, '.xml') AS file_name, 'xml' AS file_type,
+ 'exact' AS match_type, 1.0E0 AS match_score FROM fiscal WHERE NOT cancelled""",
+    "recon": """
+SELECT t.tx_id, f.fiscal_id FROM tx t JOIN fiscal f ON f.fiscal_id = t.tx_id + 1000000000
+WHERE abs(abs(t.amount) - f.total_value) <= 0.02 AND t.tx_date <= f.issue_date + 3 AND f.issue_date <= t.tx_date + 3""",
+    "incoming_accounts": """
+SELECT concat('2.01.01.01.01.', lpad(CAST(s_suppkey + 1 AS STRING), 4, '0')) AS code, s_name AS name, 'passivo' AS type FROM supplier
+UNION ALL SELECT concat('1.01.01.01.02.', lpad(CAST(n_nationkey + 1 AS STRING), 4, '0')) AS code, concat('Conta ', n_name) AS name, 'ativo' AS type FROM nation""",
+    "report_lines": """
+SELECT p_brand AS report_id, p_partkey * 3 + 1 AS line_no, CASE p_partkey % 3 WHEN 0 THEN concat('   ', p_name) WHEN 1 THEN '* * * ATIVO CIRCULANTE * * *' ELSE concat('12,00 ', p_name, '  ', p_type) END AS line, 'x' AS k FROM part
+UNION ALL
+SELECT p_brand AS report_id, p_partkey * 3 + 2 AS line_no, concat(CASE p_partkey % 3 WHEN 1 THEN p_name ELSE '' END, {CODE}, '  1.234,56 D') AS line, 'x' AS k FROM part""",
 }
+_CODE = ("concat('4.', lpad(CAST(p_partkey % 97 AS STRING), 2, '0'), '.01.', lpad(CAST(CAST(floor(p_partkey / 10000) AS BIGINT) % 100 AS STRING), 2, '0'), "
+         "'.02.', lpad(CAST(p_partkey % 10000 AS STRING), 4, '0'))")
+VIEWS["report_lines"] = VIEWS["report_lines"].replace("{CODE}", _CODE)
 
 # Which views a view reads, in build order.
 USES: dict[str, tuple[str, ...]] = {
     "ledger": ("tx", "bank_accounts"),
     "overrides": ("tx",),
+    "attachments": ("files", "fiscal"),
+    "recon": ("tx", "fiscal"),
 }
 
 PAYROLL = [("Pensão mensal", "Pensão alimentícia — desconto folha")]
