@@ -129,7 +129,7 @@ def classify_by_table(tx: DataFrame, rules: DataFrame) -> DataFrame:
     packed = rules.agg(
         F.sort_array(F.collect_list(F.struct("priority", "pattern", "category", "counter_account", "nature"))).alias("_rules")
     )
-    first = F.get(F.filter("_rules", lambda r: haystack().rlike(F.concat(F.lit("(?iu)"), r["pattern"]))), 0)
+    first = F.get(F.filter("_rules", lambda r: F.regexp_like(haystack(), F.concat(F.lit("(?iu)"), r["pattern"]))), 0)
     return (
         tx.crossJoin(F.broadcast(packed))  # one row
         .withColumn("_hit", first)

@@ -108,6 +108,7 @@ def receipt_lists(entries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
     name any invoice will do, by score. Nameless invoices for named payers are
     decided in ``match_receipts``.
     """
+    entries, docs = cut(entries, "receipt-entries"), cut(docs, "receipt-docs")
     pairs = containment(
         entries.select("cname").where(F.length("cname") >= 4), "cname", docs.select("dname").where(F.length("dname") >= 4), "dname"
     )
@@ -156,6 +157,7 @@ def match_receipts(entries: DataFrame, docs: DataFrame, max_passes: int = 1000)
     with the matches they produce. Each pass settles at least the earliest
     payer still wrong, and an agreeing state is the sequential result.
     """
+    entries, docs = cut(entries, "receipt-entries"), cut(docs, "receipt-docs")
     left_lists, lists, nameless = (cut(x, "receipts") for x in receipt_lists(entries, docs))
     asks = entries.where("client IS NOT NULL").select("left_id", _key("=z", "cents", "day").alias("list_id"))
     totals = nameless.groupBy("list_id").agg(
@@ -243,7 +245,8 @@ def supplier_invoices(payments: DataFrame, fiscal: DataFrame) -> DataFrame:
         "fiscal_id", cents("total_value").alias("r_cents"), day_number("issue_date").alias("r_day"),
         normalize_name("counterparty_name").alias("dname"),
     ).where("dname <> '' AND r_cents IS NOT NULL AND r_day IS NOT NULL")
-    docs = docs.groupBy("r_cents", "r_day", "dname").agg(F.min("fiscal_id").alias("fiscal_id"))
+    docs = cut(docs.groupBy("r_cents", "r_day", "dname").agg(F.min("fiscal_id").alias("fiscal_id")), "supplier-docs")
+    payments = cut(payments, "payments")
     classes = payments.select("cents", "day", "sname").distinct()
     pairs = containment(classes.select("sname"), "sname", docs.select("dname"), "dname")
     near = docs.join(pairs, "dname").withColumn("cents", spread(F.col("r_cents"), LINK_CENTS)).withColumn(
@@ -257,7 +260,8 @@ def first_named_file(names: DataFrame, name: str, files: DataFrame, by_path: boo
     """Per distinct name the first file (by id) whose name, or path, goes with it: ``name, file_id``."""
     texts = [normalize_name("file_name")] + ([normalize_name("path")] if by_path else [])
     keyed = files.select("file_id", F.explode(F.array_distinct(F.array(*texts))).alias("_f")).where("_f <> ''")
-    keyed = keyed.groupBy("_f").agg(F.min("file_id").alias("file_id"))
+    keyed = cut(keyed.groupBy("_f").agg(F.min("file_id").alias("file_id")), "file-names")
+    names = cut(names.select(name).distinct(), "names")
     hits = containment(names, name, keyed, "_f").join(keyed, "_f").select(name, "file_id")
     if prefix:
         by_prefix = keyed.groupBy(F.left("_f", F.lit(6)).alias("_p")).agg(F.min("file_id").alias("file_id"))
@@ -352,6 +356,7 @@ def file_lists(entries: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFra
     two days and the payer's name (a name that fails ends the search); 0.8
     value and name. Plus 0.05 for the same bank account.
     """
+    entries, files = cut(entries, "entries"), cut(files, "files")
     slips = files.where("cents IS NOT NULL AND day IS NOT NULL").select("right_id", "cents", "day", "bank")
     near = cell_lists(entries.select("cents", "day").distinct(), slips, LINK_CENTS, FILE_DAYS)
     kind = F.when(F.col("day") == F.col("r_day"), "s").otherwise("w")

@@ -209,9 +209,12 @@ PREFIXES = {"acct-0": "layout3", "acct-1": "layout1", "acct-2": "layout2"}
 
 
 def _statement_lines(tx: DataFrame) -> DataFrame:
-    """Lines in the layout of their account; accounts without a layout get layout 3 lines."""
-    layout = statements.layout_of("bank_account_id", F.lit("x.csv"), PREFIXES)
-    line = F.when(layout == "layout1", _line1(",")).when(layout == "layout2", _line2()).otherwise(_line3())
+    """Lines in the layout of their account; accounts without a layout get layout 3 lines.
+
+    Spark writes ``.txt`` files, so layout 1 lines use the text separator.
+    """
+    layout = statements.layout_of("bank_account_id", F.lit("x.txt"), PREFIXES)
+    line = F.when(layout == "layout1_txt", _line1(";")).when(layout == "layout2", _line2()).otherwise(_line3())
     return tx.select(F.col("bank_account_id").alias("account"), dates.month_of("tx_date").alias("m"), line.alias("value"))
 
 

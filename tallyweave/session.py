@@ -20,7 +20,7 @@ def build_session(app: str = "tallyweave", master: str | None = None, partitions
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()

@@ -8,6 +8,7 @@ from tallyweave.functions.accounts import account_type
 from tallyweave.functions.text import clean_account_name, valid_account_name
 from tallyweave.operators.ranking import ranked
 from tallyweave.schemas import CHART_OF_ACCOUNTS
+from tallyweave.session import cut
 
 # The account-code form, line forms, and lines that carry no account.
 CODE = r"[1-5]\.\d{2}(?:\.\d{2}){1,5}(?:\.\d{4})?"
@@ -79,10 +80,13 @@ def _until_stop(items: Column) -> Column:
 def extract_accounts(report_lines: DataFrame, known: list[tuple[str, str]] = ()) -> DataFrame:
     """Accounts named in trial-balance lines ``(report_id, line_no, line)``.
 
-    A code alone takes its name from valid lines before it (joined in reading
-    order), else from the next valid line, else from the section header, else
-    keeps the code as its name. A code glued after a name takes that name. Per
-    report and code the longest name wins. ``known`` names override.
+    A code glued after a name takes that name. A code alone takes its name from
+    valid lines before it (joined in reading order), else from the next valid
+    line, else from the section header, else keeps the code as its name. Per
+    report and code the longest name wins, ties to the earlier line. Codes
+    still without a name are tried twice more: a name printed right before the
+    code inside any line, then the lines around a code line, first hit each.
+    ``known`` names override.
     """
     text = report_lines.select("report_id", "line_no", F.trim("line").alias("line")).where("line <> ''")
     line = F.col("line")
@@ -96,7 +100,7 @@ def extract_accounts(report_lines: DataFrame, known: list[tuple[str, str]] = ())
         .withColumn("block", F.floor((F.col("i") - 1) / BLOCK))
         .withColumn("glued_name", F.when(glued_code.isNotNull(), glued_name))
         .withColumn("glued_code", glued_code)
-        .withColumn("code", F.when(glued_code.isNull() & ~skip, code))
+        .withColumn("code", F.when(~skip, code))
         .withColumn("stops", skip | analytic)
         .withColumn("part", F.when(valid_account_name(clean_account_name(line)), clean_account_name(line)))
         .withColumn("skip", skip)
@@ -112,34 +116,49 @@ def extract_accounts(report_lines: DataFrame, known: list[tuple[str, str]] = ())
     # The first following line that either names the account or stops the search.
     ahead = F.transform(F.col("ahead"), lambda x: F.struct(ahead_hit(x).alias("name"), x["stops"].alias("stops")))
     first = F.get(F.filter(ahead, lambda x: x["name"].isNotNull() | x["stops"]), 0)["name"]
+    near_name = F.when(valid_account_name(back_name), back_name).when(valid_account_name(first), first)
     section = F.trim(F.regexp_replace("section", r"\*+", ""))
     fallback = F.when((F.length(section) > 3) & valid_account_name(section), section)
-    code_name = (
-        F.when(valid_account_name(back_name), back_name).when(valid_account_name(first), first)
-        .otherwise(F.coalesce(fallback, F.col("code")))
+    columns = ["report_id", "code", "name", "section", "i"]
+    codes = cut(
+        ctx.where("code IS NOT NULL OR glued_code IS NOT NULL").select(
+            "report_id", "i", "skip", "section", "glued_code", "glued_name", "code",
+            near_name.alias("near"), fallback.alias("fallback")),
+        "account-lines",
     )
-    from_code = ctx.where("code IS NOT NULL").select("report_id", "code", code_name.alias("name"), "section")
-    from_glued = ctx.where(F.col("glued_code").isNotNull() & ~F.col("skip") & valid_account_name("glued_name")).select(
-        "report_id", F.col("glued_code").alias("code"), F.col("glued_name").alias("name"), "section"
-    )
-    anywhere = text.select("report_id", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(ANYWHERE), 1))).alias("code"))
-    bare = anywhere.select("report_id", "code", F.col("code").alias("name"), F.lit("").alias("section"))
-    # Codes that only occur inside lines: the name printed right before the code.
-    inner = text.select("report_id", F.regexp_extract(line, NAME_THEN_CODE, 2).alias("code"),
-                        clean_account_name(F.regexp_extract(line, NAME_THEN_CODE, 1)).alias("name"))
-    inner = inner.where((F.col("code") != "") & valid_account_name("name")).select("*", F.lit("").alias("section"))
+    from_code = codes.where("code IS NOT NULL AND glued_code IS NULL").withColumn("name", F.coalesce("near", "fallback", "code")).select(columns)
+    from_glued = codes.where(F.col("glued_code").isNotNull() & ~F.col("skip") & valid_account_name("glued_name")).select(
+        "report_id", F.col("glued_code").alias("code"), F.col("glued_name").alias("name"), "section", "i")
+    no_section = F.lit("").alias("section")
+    bare = text.select(
+        "report_id", F.explode(F.regexp_extract_all("line", F.lit(ANYWHERE), 1)).alias("code"), F.lit(0).cast("long").alias("i")
+    ).select("report_id", "code", F.col("code").alias("name"), no_section, "i").distinct()
+    key = ["report_id", "code"]
+
+    def first_named(df: DataFrame) -> DataFrame:
+        return df.groupBy(*key).agg(F.min_by("name", F.struct("i", "name")).alias("name"), F.min("i").alias("i")).select(
+            *key, "name", no_section, "i")
+
+    inner = first_named(text.select(
+        "report_id", F.regexp_extract(line, NAME_THEN_CODE, 2).alias("code"),
+        clean_account_name(F.regexp_extract(line, NAME_THEN_CODE, 1)).alias("name"), F.col("line_no").alias("i"),
+    ).where((F.col("code") != "") & valid_account_name("name")))
+    around = first_named(codes.where("code IS NOT NULL AND glued_code IS NOT NULL AND near IS NOT NULL").select(
+        *key, F.col("near").alias("name"), "i"))
     named = from_code.unionByName(from_glued)
-    repaired = inner.join(named.where("name <> code").select("report_id", "code"), ["report_id", "code"], "left_anti")
-    return best_names(named.unionByName(repaired).unionByName(bare), known)
+    have = named.where("name <> code").select(key)
+    inner = inner.join(have, key, "left_anti")
+    around = around.join(have, key, "left_anti").join(inner.select(key), key, "left_anti")
+    return best_names(named.unionByName(inner).unionByName(around).unionByName(bare), known)
 
 
 def best_names(candidates: DataFrame, known: list[tuple[str, str]] = ()) -> DataFrame:
-    """One row per report and code: a known name, else the longest, ties to the smallest text."""
+    """One row per report and code: a known name, else the longest, ties to the earlier line."""
     name = F.col("name")
     for code, fixed in known:
         name = F.when(F.col("code") == code, F.lit(fixed)).otherwise(name)
     rank = F.when(F.col("name") == F.col("code"), 0).otherwise(F.length("name"))
-    best = F.min_by(F.struct("name", "section"), F.struct((-rank).alias("r"), F.col("name").alias("n"), F.col("section").alias("s")))
+    best = F.min_by(F.struct("name", "section"), F.struct((-rank).alias("r"), F.col("i"), F.col("name").alias("n")))
     return (
         candidates.withColumn("name", name).groupBy("report_id", "code").agg(best.alias("_b"))
         .select("report_id", "code", F.col("_b.name").alias("name"), account_type("code", "_b.name", "_b.section").alias("type"))
