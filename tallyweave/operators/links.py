@@ -27,7 +27,7 @@ from tallyweave.functions.text import client_name, matches_any, normalize_name,
 from tallyweave.operators.matching import greedy_assign
 from tallyweave.operators.names import containment
 from tallyweave.operators.ranking import ranked, running
-from tallyweave.operators.reconcile import cell_lists, day_blocks, spread
+from tallyweave.operators.reconcile import cell_lists, day_blocks, near_value, spread
 from tallyweave.session import cut
 
 # Date windows in days and labels put before file names.
@@ -141,7 +141,7 @@ def receipt_lists(entries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
     ).otherwise(
         F.array(*[F.struct(F.lit(10 + i).alias("tier"), _key(f"=a{i}", "cents", "day").alias("list_id")) for i in range(3)])
     )
-    return entries.select("left_id", F.inline(tiers)), named.unionByName(open_), nameless
+    return entries.select("left_id", near_value("cents").alias("place"), F.inline(tiers)), named.unionByName(open_), nameless
 
 
 # Score per tier; tier 2 is a nameless invoice taken by a named payer, scored from the invoice.
@@ -169,7 +169,8 @@ def match_receipts(entries: DataFrame, docs: DataFrame, max_passes: int = 1000)
         own = F.concat(F.lit("x|"), F.col("left_id").cast("string"))
         matches = cut(
             greedy_assign(
-                left_lists.unionByName(choice.select("left_id", F.lit(2).alias("tier"), own.alias("list_id"))),
+                left_lists.unionByName(choice.select(
+                    "left_id", F.lit(None).cast("string").alias("place"), F.lit(2).alias("tier"), own.alias("list_id"))),
                 lists.unionByName(choice.select(own.alias("list_id"), "right_id")),
             ),
             "receipt-matches",
@@ -400,7 +401,7 @@ def file_lists(entries: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFra
         pick(0, F.when(has_bank, _key("=s", "cents", "day", "bank"))), pick(1, _key("=s", "cents", "day")),
         pick(2, F.when(has_bank, _key("=w", "cents", "day", "bank"))), pick(3, _key("=w", "cents", "day")),
     )
-    a = entries.select("left_id", F.inline(value_tiers))
+    a = entries.select("left_id", near_value("cents").alias("place"), F.inline(value_tiers))
     by_k = entries.select("left_id", "cents", "day", "bank", F.explode(F.flatten(F.transform("names", _name_keys))).alias("k")).distinct()
     name_tiers = F.array(
         pick(4, F.when(has_bank, _key("=v", "cents", "k", "bank"))), pick(5, _key("=v", "cents", "k")),
@@ -409,7 +410,7 @@ def file_lists(entries: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFra
     b = by_k.select("left_id", F.inline(name_tiers))
     date_tiers = F.array(pick(5, F.when(has_bank, _key("=i", "day", "k", "bank"))), pick(6, _key("=i", "day", "k")))
     c = entries.where("who <> ''").select("left_id", "day", "bank", F.explode(_name_keys("who")).alias("k")).select("left_id", F.inline(date_tiers))
-    left_lists = a.unionByName(b).unionByName(c).where("list_id IS NOT NULL")
+    left_lists = a.unionByName(b.unionByName(c).withColumn("place", F.lit(None).cast("string"))).where("list_id IS NOT NULL")
     return left_lists, by_value.unionByName(others)
 
 
@@ -511,7 +512,7 @@ def fuel_minute_lists(receipts: DataFrame, entries: DataFrame) -> tuple[DataFram
         F.struct(F.lit(1).alias("tier"), F.when(F.col("minute").isNotNull(), _key("=m", "day", "minute")).alias("list_id")),
         F.struct(F.lit(2).alias("tier"), _key("=z", "day").alias("list_id")),
     )
-    left = receipts.select(F.col("doc_id").alias("left_id"), F.inline(tiers)).where("list_id IS NOT NULL")
+    left = receipts.select(F.col("doc_id").alias("left_id"), F.col("day").cast("string").alias("place"), F.inline(tiers)).where("list_id IS NOT NULL")
     return left, by_minute.unionByName(by_day)
 
 

@@ -5,80 +5,156 @@ is still free, best meaning lowest tier, then lowest right id. All right rows
 prefer the earliest left row, so the result is the one stable matching and can
 be reached by deferred acceptance instead of a sequential pass: every left row
 proposes to its best row that has not refused it, a right row keeps the lowest
-proposer and refuses all later ones, until nobody is refused.
+proposer and refuses all later ones, until nobody is refused. Refusals may
+happen in any order, which is what lets the work be split.
 
 Preferences are never expanded to pairs. Left rows with equal preferences share
 a *list*, and a left row names its lists by tier:
 
-* ``left_lists(left_id, tier, list_id)``
+* ``left_lists(left_id, tier, list_id)``, optionally with a text ``place``
 * ``lists(list_id, right_id)``, read in right-id order
 
 Candidates are drawn from a list in windows of a few positions. The j-th left
 row that starts on a list cannot get anything before position j (the j-1
 earlier ones hold j-1 better entries), so its window starts there: a list
-shared by any number of left rows is handed out by rank, with no more than a
-window of candidates per row at a time. Further windows, then further tiers,
-are drawn only for rows all of whose candidates refused them.
+shared by any number of left rows is handed out by rank. Further windows, then
+further tiers, are drawn only for rows all of whose candidates refused them.
+
+Each round has two steps. Left rows are cut into chunks of bounded size; inside
+a chunk all refusals among its own rows are settled at once. Then refusals
+between chunks are found by one aggregation and join over all candidates.
+Chunking changes the number of rounds, never the result: ``place`` only says
+which left rows are likely to compete, and a crowded place is split by salt.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tallyweave.operators.ranking import ranked, running
+from tallyweave.operators.ranking import WIDTH, ranked, running
 from tallyweave.session import cut
 
 BLOCK = 256  # list positions per join key
-FIRST_WINDOW = 8
-LAST_WINDOW = 128
+FIRST_WINDOW = 32
+LAST_WINDOW = 256
+CHUNK = 20_000  # left rows per chunk
+EDGE = "left_id long, tier int, right_id long, list_id string, chunk long"
 
 
-def _cursors(left_lists: DataFrame, sizes: DataFrame) -> DataFrame:
+def _chunks(left_lists: DataFrame, chunk: int) -> tuple[DataFrame | None, int]:
+    """``left_id, chunk`` and the number of chunks; no table when one chunk holds all.
+
+    Places are hashed onto enough chunks for an even share each; a place with
+    more rows than one chunk holds is spread over several by salt.
+    """
+    n = left_lists.select("left_id").distinct().count()
+    if n <= chunk:
+        return None, 1
+    place = F.col("place") if "place" in left_lists.columns else F.lit(None).cast("string")
+    lefts = cut(left_lists.groupBy("left_id").agg(F.coalesce(F.min(place), F.lit("")).alias("place")), "lefts")
+    total = -(-n // chunk)
+    crowded = lefts.groupBy("place").agg(F.ceil(F.count("*") / chunk).cast("long").alias("_salts"))
+    salted = lefts.join(crowded, "place").withColumn("_salt", F.pmod(F.xxhash64("left_id"), F.col("_salts")))
+    return salted.select("left_id", F.pmod(F.xxhash64("place", "_salt"), F.lit(total)).alias("chunk")), total
+
+
+def _cursors(left_lists: DataFrame, sizes: DataFrame, chunks: DataFrame | None) -> DataFrame:
     """Where each left row starts on each of its lists."""
-    mine = left_lists.join(sizes, "list_id")
+    rows = left_lists.count()
+    mine = left_lists.select("left_id", "tier", "list_id").join(sizes, "list_id")
     per_left = W.partitionBy("left_id")
-    first = F.min("tier").over(per_left)
+    mine = mine.withColumn("_first", F.min("tier").over(per_left))
     firsts = F.count_if(F.col("tier") == F.col("_first")).over(per_left)
-    mine = mine.withColumn("_first", first).withColumn("_n", firsts)
-    starts_here = ((F.col("tier") == F.col("_first")) & (F.col("_n") == 1)).cast("long")
-    mine = cut(mine.select("left_id", "tier", "list_id", "size", starts_here.alias("_s")), "cursors")
-    counted = running(mine, ["list_id"], "left_id", {"before": F.col("_s")})
-    return counted.select("left_id", "tier", "list_id", "size", (F.col("before") + 1).cast("long").alias("next"))
+    starts_here = ((F.col("tier") == F.col("_first")) & (firsts == 1)).cast("long")
+    mine = mine.select("left_id", "tier", "list_id", "size", starts_here.alias("_s"))
+    mine = mine.withColumn("chunk", F.lit(0).cast("long")) if chunks is None else mine.join(chunks, "left_id")
+    if rows > WIDTH:
+        mine = cut(mine, "cursors")
+    counted = running(mine, ["list_id"], "left_id", {"before": F.col("_s")}, rows=rows)
+    return cut(
+        counted.select("left_id", "chunk", "tier", "list_id", "size", (F.col("before") + 1).cast("long").alias("next")), "cursors")
 
 
 def _draw(cursors: DataFrame, lists: DataFrame, window: int) -> DataFrame:
-    """Next window of the lowest open tier: rows ``left_id, tier, list_id, right_id``.
+    """The next window of every open list, as candidate rows.
 
-    Lists of one tier are merged by right id, so nothing beyond the end of a
-    window that was cut short may be used yet.
+    A row's candidates must be a gapless start of its preferences: nothing
+    beyond the end of a window that was cut short may be used yet, neither of
+    the same tier nor of a later one.
     """
-    open_ = cursors.where("next <= size")
-    tier = F.min("tier").over(W.partitionBy("left_id"))
-    now = open_.withColumn("_t", tier).where("tier = _t").withColumn("end", F.least(F.col("next") + (window - 1), F.col("size")))
+    now = cursors.where("next <= size").withColumn("end", F.least(F.col("next") + (window - 1), F.col("size")))
     blocks = F.sequence(F.floor((F.col("next") - 1) / BLOCK), F.floor((F.col("end") - 1) / BLOCK))
     keyed = now.withColumn("block", F.explode(blocks))
     drawn = keyed.join(lists, ["list_id", "block"]).where("pos BETWEEN next AND end")
-    per_list = W.partitionBy("left_id", "list_id")
-    short_end = F.when(F.col("end") < F.col("size"), F.max("right_id").over(per_list))
-    guard = F.min("_short").over(W.partitionBy("left_id"))
+    at_end = (F.col("pos") == F.col("end")) & (F.col("end") < F.col("size"))
+    place = F.struct("tier", "right_id")
+    guard = F.min(F.when(at_end, place)).over(W.partitionBy("left_id"))
     return (
-        drawn.withColumn("_short", short_end).withColumn("_guard", guard)
-        .where("_guard IS NULL OR right_id <= _guard")
-        .select("left_id", "tier", "list_id", "right_id")
+        drawn.withColumn("_guard", guard).where(F.col("_guard").isNull() | (place <= F.col("_guard")))
+        .select("left_id", "tier", "right_id", "list_id", "chunk")
     )
 
 
-def greedy_assign(left_lists: DataFrame, lists: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def _advance(cursors: DataFrame, drawn: DataFrame) -> DataFrame:
+    taken = drawn.groupBy("left_id", "list_id").agg(F.count("*").alias("_k"))
+    moved = cursors.join(taken, ["left_id", "list_id"], "left")
+    return moved.withColumn("next", F.col("next") + F.coalesce("_k", F.lit(0))).drop("_k")
+
+
+def _settle_chunk(edges: pd.DataFrame) -> pd.DataFrame:
+    """Drop the candidates refused within the chunk: its left rows in id order, best free candidate each."""
+    edges = edges.sort_values(["left_id", "tier", "right_id"], kind="stable")
+    rights = edges["right_id"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, np.diff(edges["left_id"].to_numpy()) != 0]) if len(edges) else []
+    keep = np.ones(len(edges), dtype=bool)
+    held: set[int] = set()
+    for lo, hi in zip(starts, [*starts[1:], len(edges)]):
+        own = None
+        for i in range(lo, hi):
+            r = rights[i]
+            if r == own:
+                continue
+            if r in held:
+                keep[i] = False
+            elif own is None:
+                own = r
+        if own is not None:
+            held.add(own)
+    return edges[keep]
+
+
+def _settle(edges: DataFrame) -> DataFrame:
+    return cut(edges.groupBy("chunk").applyInPandas(_settle_chunk, EDGE), "edges")
+
+
+def _best(edges: DataFrame) -> DataFrame:
+    best = edges.groupBy("left_id").agg(F.min(F.struct("tier", "right_id")).alias("b"))
+    return best.select("left_id", F.col("b.right_id").alias("right_id"), F.col("b.tier").alias("tier"))
+
+
+def _refuse(edges: DataFrame) -> DataFrame:
+    held = _best(edges).groupBy("right_id").agg(F.min("left_id").alias("holder"))
+    kept = edges.join(held, "right_id", "left").where("holder IS NULL OR left_id <= holder")
+    return cut(kept.select("left_id", "tier", "right_id", "list_id", "chunk"), "edges")
+
+
+def greedy_assign(
+    left_lists: DataFrame, lists: DataFrame, max_rounds: int | None = None, chunk: int = CHUNK
+) -> DataFrame:
     """Matches ``left_id, right_id, tier``. Ids are longs, list ids texts; both inputs hold no duplicates.
 
     ``max_rounds`` only guards tests against a loop that does not end; reaching
     it raises. Progress is sure: each round refuses or draws at least one row.
     """
     raw = cut(lists, "raw-lists")
-    numbered = ranked(raw, ["list_id"], "right_id").withColumn("block", F.floor((F.col("pos") - 1) / BLOCK))
-    lists = cut(numbered, "lists")
+    numbered = ranked(raw, ["list_id"], "right_id", rows=raw.count())
+    lists = cut(numbered.withColumn("block", F.floor((F.col("pos") - 1) / BLOCK)), "lists")
     sizes = lists.groupBy("list_id").agg(F.max("pos").alias("size"))
-    cursors = cut(_cursors(left_lists, sizes), "cursors")
+    left_lists = cut(left_lists, "left-lists")
+    chunks, parts = _chunks(left_lists, chunk)
+    cursors = _cursors(left_lists, sizes, chunks)
     window = FIRST_WINDOW
     fresh = edges = cut(_draw(cursors, lists, window), "edges")
     rounds = 0
@@ -86,28 +162,18 @@ def greedy_assign(left_lists: DataFrame, lists: DataFrame, max_rounds: int | Non
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-        held = _best(edges).groupBy("right_id").agg(F.min("left_id").alias("holder"))
-        kept = cut(edges.join(held, "right_id", "left").where("holder IS NULL OR left_id <= holder").drop("holder"), "edges")
-        if kept.count() == edges.count():
-            return _best(kept)
-        edges = kept
-        if fresh is not None:
-            cursors = _advance(cursors, fresh)
-            fresh = None
-        idle = cursors.where("next <= size").join(kept.select("left_id").distinct(), "left_id", "left_anti")
-        window = min(window * 2, LAST_WINDOW)
+        edges = _settle(edges)
+        refused = 0
+        if parts > 1:
+            kept = _refuse(edges)
+            refused = edges.count() - kept.count()
+            edges = kept
+        moved = cursors if fresh is None else _advance(cursors, fresh)
+        idle = moved.where("next <= size").join(edges.select("left_id").distinct(), "left_id", "left_anti")
+        window = min(window * 8, LAST_WINDOW)
         drawn = cut(_draw(idle, lists, window), "fresh")
         if drawn.count():
-            fresh = drawn
-            edges = edges.unionByName(fresh)
-
-
-def _best(edges: DataFrame) -> DataFrame:
-    best = edges.groupBy("left_id").agg(F.min(F.struct("tier", "right_id")).alias("b"))
-    return best.select("left_id", F.col("b.right_id").alias("right_id"), F.col("b.tier").alias("tier"))
-
-
-def _advance(cursors: DataFrame, drawn: DataFrame) -> DataFrame:
-    taken = drawn.groupBy("left_id", "list_id").agg(F.count("*").alias("_k"))
-    moved = cursors.join(taken, ["left_id", "list_id"], "left")
-    return cut(moved.withColumn("next", F.col("next") + F.coalesce("_k", F.lit(0))).drop("_k"), "cursors")
+            cursors, fresh = cut(moved, "cursors"), drawn
+            edges = edges.unionByName(drawn)
+        elif refused == 0:
+            return _best(edges)

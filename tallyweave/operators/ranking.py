@@ -21,8 +21,16 @@ def _before(totals: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     )
 
 
-def ranked(df: DataFrame, keys: list[str], order: str, out: str = "pos", width: int = WIDTH) -> DataFrame:
-    """1-based rank of each row in its key group."""
+def ranked(
+    df: DataFrame, keys: list[str], order: str, out: str = "pos", width: int = WIDTH, rows: int | None = None
+) -> DataFrame:
+    """1-based rank of each row in its key group.
+
+    ``rows`` is the counted size of ``df``, when the caller knows it: a table no
+    larger than one bucket is ranked by a plain window.
+    """
+    if rows is not None and rows <= width:
+        return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(order)).cast("long"))
     b = df.withColumn("_bucket", F.floor(F.col(order) / width))
     base = _before(b.groupBy(*keys, "_bucket").agg(F.count("*").alias("n")), keys, ["n"])
     w = W.partitionBy(*keys, "_bucket").orderBy(order)
@@ -34,11 +42,17 @@ def ranked(df: DataFrame, keys: list[str], order: str, out: str = "pos", width:
     )
 
 
-def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], width: int = WIDTH) -> DataFrame:
+def running(
+    df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], width: int = WIDTH, rows: int | None = None
+) -> DataFrame:
     """For each row the totals of ``sums`` over the group's rows with a smaller ``order``.
 
-    Rows that share an order value see the same totals. Values must be longs or decimals.
+    Rows that share an order value see the same totals. Values must be longs or
+    decimals. ``rows`` as in ``ranked``.
     """
+    if rows is not None and rows <= width:
+        before = W.partitionBy(*keys).orderBy(order).rangeBetween(W.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(n) for n, v in sums.items()])
     b = df.withColumn("_bucket", F.floor(F.col(order) / width))
     for name, value in sums.items():
         b = b.withColumn(f"_v_{name}", value)

@@ -50,6 +50,11 @@ def _sides(tx: DataFrame, fiscal: DataFrame) -> tuple[DataFrame, DataFrame]:
     return left, right
 
 
+def near_value(column: str) -> Column:
+    """Rows that may compete: amounts of the same stretch of cents."""
+    return F.floor(F.col(column) / 100).cast("string")
+
+
 def _general(cents_: str = "cents", day: str = "day") -> Column:
     return F.concat_ws("|", F.lit("g"), F.col(cents_), F.col(day))
 
@@ -71,7 +76,7 @@ def preference_lists(
         F.struct(F.lit(0).alias("tier"), F.when(F.col("doc").isNotNull(), _by_doc()).alias("list_id")),
         F.struct(F.lit(1).alias("tier"), _general().alias("list_id")),
     )
-    left_lists = left.select("left_id", F.inline(named)).where("list_id IS NOT NULL")
+    left_lists = left.select("left_id", near_value("cents").alias("place"), F.inline(named)).where("list_id IS NOT NULL")
     return left_lists, general.unionByName(same_doc)
 
 
