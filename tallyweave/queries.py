@@ -117,15 +117,15 @@ def _(spark, view, sf):
   WHEN description LIKE 'Pix - Recebido 01/06%' THEN trim(concat(substr(description, 42), ' ', coalesce(counterparty, '')))
   WHEN description LIKE 'Pix - Recebido%' THEN trim(concat(substr(description, 16), ' ', coalesce(counterparty, '')))
   WHEN description LIKE 'PIX RECEBIDO 2024%' THEN counterparty
-  WHEN description LIKE '%RECEBIDA 8840%' THEN counterparty
+  WHEN description LIKE '%Cp :%' THEN trim(concat(regexp_extract(description, 'Cp :[0-9]+-(.+)$', 1), ' ', coalesce(counterparty, '')))
   ELSE counterparty END AS client,
  CASE WHEN counterparty IS NOT NULL THEN counterparty WHEN description LIKE '%Cp :%' THEN regexp_extract(description, 'Cp :[0-9]+-(.+)$', 1) END AS supplier,
  CASE WHEN counterparty IS NOT NULL THEN counterparty ELSE regexp_replace(description, '.*POSTO', 'POSTO') END AS station,
- left(regexp_replace(concat(CAST(tx_id AS STRING), '-sup-', description), '[^a-zA-Z0-9]', '', 'g'), 40) AS attach_key FROM (SELECT * FROM tx WHERE description NOT LIKE '%Cp :%') x""", ("tx",))
+ left(regexp_replace(concat(CAST(tx_id AS STRING), '-sup-', description), '[^a-zA-Z0-9]', '', 'g'), 40) AS attach_key FROM tx""", ("tx",))
 def _(spark, view, sf):
     hay = classify.haystack()
     own, partner = text.matches_any(hay, OWN), text.matches_any(hay, [p for p, _ in PARTNERS])
-    return view("tx").where(~F.col("description").contains("Cp :")).select(
+    return view("tx").select(
         "tx_id", text.client_name("description", "counterparty", own, partner).alias("client"),
         text.supplier_name("description", "counterparty").alias("supplier"),
         text.station_name("description", "counterparty").alias("station"),
