@@ -39,7 +39,7 @@ from tallyweave.session import cut
 BLOCK = 256  # list positions per join key
 FIRST_WINDOW = 32
 LAST_WINDOW = 256
-CHUNK = 20_000  # left rows per chunk
+CHUNK = 5_000  # left rows per chunk
 EDGE = "left_id long, tier int, right_id long, list_id string, chunk long"
 
 
