@@ -90,9 +90,12 @@ def _measured(batches):
     for batch in batches:
         rows = [measure(t) for t in batch.column("text").to_pylist()]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        lines = [[{"hash": h, "words": w} for h, w in line] for line in columns[5]]
+        flat = [pair for line in columns[5] for pair in line]
+        ends = np.cumsum([0, *map(len, columns[5])], dtype=np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array([h for h, _ in flat], pa.int64()), pa.array([w for _, w in flat], pa.int64())], fields=list(_LINE))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in ("_id", "_raw", "_host", "_h")] + [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(lines, pa.list_(_LINE))], schema=_OUT)
+            [batch.column(c) for c in ("_id", "_raw", "_host", "_h")] + [pa.array(c, pa.int64()) for c in columns[:5]]
+            + [pa.ListArray.from_arrays(pa.array(ends), pairs)], schema=_OUT)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS,

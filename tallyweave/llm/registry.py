@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import line_dedup, mixing
+from tallyweave.llm import line_dedup, mixing, positional, quality
 from tallyweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,55 @@ def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: Judgement of a table ``docs(r, doc_id, host, text)``, r unique.
+QUALITY_SQL = rf""", w AS (SELECT r, doc_id, host, text, coalesce(regexp_extract_all(text, '{_WORD}'), []) AS words FROM docs),
+ base AS (SELECT r, doc_id, host, text, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+   coalesce(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')), 0) AS n_symbols FROM w),
+ grams AS (SELECT r, i, words[i:i + 4] AS g FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) > 5)),
+ again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams) WHERE n > 1),
+ cover AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM again, (SELECT unnest(range(5)) AS k) GROUP BY r),
+ l AS (SELECT r, doc_id, host, text, line, regexp_extract_all(lower(line), '{_WORD}') AS lw
+   FROM (SELECT r, doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM docs)),
+ dups AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE len(lw) > 0 GROUP BY r),
+ k AS (SELECT r, doc_id, host, text, array_to_string(lw, ' ') AS key, len(lw) AS n FROM l WHERE len(lw) > 0),
+ hosts AS (SELECT host, count(DISTINCT coalesce(text, '')) AS texts FROM docs GROUP BY host),
+ often AS (SELECT host, key, count(DISTINCT text) AS n, min(coalesce(doc_id, 9223372036854775807)) AS first FROM k GROUP BY host, key),
+ gone AS (SELECT r, sum(k.n)::BIGINT AS removed_words FROM k JOIN often o ON o.host IS NOT DISTINCT FROM k.host AND o.key = k.key
+   JOIN hosts h ON h.host IS NOT DISTINCT FROM k.host
+   WHERE o.n > 20 AND o.n > h.texts * 0.01::DOUBLE AND coalesce(doc_id, 9223372036854775807) > first GROUP BY r),
+ stats AS (SELECT base.r, base.doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+   coalesce(removed_words, 0) AS removed_words FROM base LEFT JOIN cover USING (r) LEFT JOIN dups USING (r) LEFT JOIN gone USING (r)),
+ judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+   removed_words > 0 AND (n_words - removed_words < 10 OR n_words - removed_words < n_words * 0.3::DOUBLE) AS depleted FROM stats)"""
+
+
+@query("op2_line_frequency", f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source AS host, text FROM documents){QUALITY_SQL}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT depleted AS kept, removed_words FROM judged""")
+def _(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        F.col("_raw").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
+#: Hits over a table ``docs(r, doc_id, text)``, r unique, with the view ``benchmark``.
+HITS_SQL = rf""", dw AS (SELECT r, coalesce(regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM docs),
+ bw AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+ bl AS (SELECT item_id, words, least(len(words), 13) AS n FROM bw WHERE len(words) > 0),
+ bg AS (SELECT DISTINCT item_id, n, words[i:i + n - 1] AS g FROM (SELECT item_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM bl)),
+ ns AS (SELECT DISTINCT n FROM bl),
+ dg AS (SELECT r, i, n, words[i:i + n - 1] AS g FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM dw, ns WHERE len(words) >= n)),
+ m AS (SELECT DISTINCT r, i, n, item_id FROM dg JOIN bg USING (n, g)),
+ hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM m) GROUP BY r),
+ its AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM m GROUP BY r),
+ found AS (SELECT d.r, d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated FROM docs d JOIN dw USING (r) LEFT JOIN hit USING (r) LEFT JOIN its USING (r))"""
+
+
+@query("op10_positional_index", f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents){HITS_SQL}
+SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM found""")
+def _(spark, sf_dir):
+    found = positional.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("_raw").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
