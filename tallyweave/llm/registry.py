@@ -6,9 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import line_dedup, mixing, positional, quality
+from tallyweave.llm import line_dedup, mixing, positional, probminhash, quality, token_files
 from tallyweave.llm.common import table
 
+
+def _vocabulary(name: str) -> str:
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"/opt/tokenizers/{name}"
+    return public_tokenizers.path(name)
+
+
+#: Tokenizer file; it must lie at the same path on every machine.
+TOKENIZER = _vocabulary("byte_bpe_50k.json")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -130,3 +141,28 @@ def _(spark, sf_dir):
     return found.select(
         F.col("_raw").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+#: Near-duplicate classes of a table ``docs(r, doc_id, text)``, r unique: exact similarity of all texts that share a shingle.
+CLASSES_SQL = rf""", nt AS (SELECT md5(coalesce(text, '')) AS t, any_value(text) AS text FROM docs GROUP BY ALL),
+ nw AS (SELECT t, regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '{_WORD}') AS words FROM nt),
+ ng AS (SELECT DISTINCT t, array_to_string(words[i:i + 4], ' ') AS g FROM (SELECT t, words, unnest(range(1, greatest(1, len(words) - 4) + 1)) AS i FROM nw WHERE len(words) > 0)),
+ nc AS (SELECT t, count(*) AS n FROM ng GROUP BY t),
+ np AS (SELECT x.t AS a, y.t AS b, count(*) AS common FROM ng x JOIN ng y ON x.g = y.g AND x.t < y.t GROUP BY ALL),
+ nl AS (SELECT a, b FROM np JOIN nc x ON x.t = a JOIN nc y ON y.t = b WHERE common::DOUBLE / (x.n + y.n - common) >= 0.8::DOUBLE),
+ ne AS (SELECT a, b FROM nl UNION ALL SELECT b, a FROM nl),
+ reach(a, b) AS (SELECT t, t FROM nt UNION SELECT r.a, e.b FROM reach r JOIN ne e ON e.a = r.b),
+ root AS (SELECT a AS t, min(b) AS root FROM reach GROUP BY a),
+ dr AS (SELECT r, doc_id, root FROM docs JOIN root ON t = md5(coalesce(text, ''))),
+ classed AS (SELECT r, doc_id, min(doc_id) OVER w AS class_id, count(*) OVER w AS class_size FROM dr WINDOW w AS (PARTITION BY root))"""
+
+
+@query("op8_probminhash", f"""WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents){CLASSES_SQL}
+SELECT doc_id, class_id, class_size FROM classed""")
+def _(spark, sf_dir):
+    return probminhash.classes(table(spark, sf_dir, "documents")).select(F.col("_raw").alias("doc_id"), "class_id", "class_size")
+
+
+@query("op7_elias_fano")
+def _(spark, sf_dir):
+    return token_files.token_files(table(spark, sf_dir, "documents"), TOKENIZER)
