@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import line_dedup, mixing, positional, probminhash, quality, token_files
+from tallyweave.llm import line_dedup, mixing, positional, probminhash, quality, token_files, url_lists, warc_zip
 from tallyweave.llm.common import table
 
 
@@ -166,3 +166,54 @@ def _(spark, sf_dir):
 @query("op7_elias_fano")
 def _(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_CHARS = ", ".join(f"substr('{_B32}', ((n >> {15 - 5 * i}) & 31) + 1, 1)" for i in range(4))
+
+
+@query("op6_zip_warc", f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+ d AS (SELECT page_id, strlen(html) AS payload_bytes,
+   array_to_string(list_transform(list_transform(range(8), lambda k: CAST('0x' || substr(sha1(html), 5 * k + 1, 5) AS BIGINT)), lambda n: concat({_CHARS})), '') AS payload_digest FROM p),
+ f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM f""")
+def _(spark, sf_dir):
+    return warc_zip.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Pages with a fetch day of 2024 that follows from their number."""
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int")).alias("fetched"))
+
+
+def dated_lists(pages: DataFrame) -> DataFrame:
+    """Dated list entries over the hosts and domains of ``pages``: about a fifth of them, each added and removed up to twice in 2024."""
+    draw = lambda tail: F.conv(F.substring(F.md5(F.concat("entry", F.lit(tail))), 1, 6), 16, 10).cast("long")
+    hosts = pages.select(url_lists.host_of("url").alias("host")).dropna().distinct()
+    names = hosts.select("host", F.array_join(F.slice(F.split("host", r"\."), -2, 2), ".").alias("domain"))
+    entries = names.select(F.col("host").alias("entry")).union(names.select("domain")).distinct().where(draw("") % 5 == 0)
+    events = entries.select("entry", draw("/list").alias("which"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    day = F.conv(F.substring(F.md5(F.concat("entry", F.lit("/"), F.col("k").cast("string"))), 1, 6), 16, 10).cast("long") % 366
+    return events.select(
+        F.element_at(F.array(F.lit("adult"), F.lit("malware"), F.lit("spam")), (F.col("which") % 3 + 1).cast("int")).alias("list"), "entry",
+        F.date_add(F.lit("2024-01-01").cast("date"), day.cast("int")).alias("day"), F.when(F.col("k") % 2 == 0, url_lists.ADD).otherwise(url_lists.REMOVE).alias("action"))
+
+
+@query("op9_temporal_lists", r"""WITH c AS (SELECT page_id, url, DATE '2024-01-01' + CAST((page_id * 37) % 366 AS INT) AS fetched,
+   nullif(rtrim(regexp_extract(lower(url), '^https?://(?:[^/?#@]*@)?([^/:?#]+)', 1), '.'), '') AS host FROM pages),
+ names AS (SELECT DISTINCT host FROM c WHERE host IS NOT NULL),
+ e AS (SELECT host AS entry FROM names UNION SELECT array_to_string(string_split(host, '.')[-2:], '.') FROM names),
+ picked AS (SELECT entry, ['adult', 'malware', 'spam'][CAST('0x' || substr(md5(entry || '/list'), 1, 6) AS BIGINT) % 3 + 1] AS list
+   FROM e WHERE CAST('0x' || substr(md5(entry), 1, 6) AS BIGINT) % 5 = 0),
+ ev AS (SELECT list, entry, DATE '2024-01-01' + CAST(CAST('0x' || substr(md5(entry || '/' || k), 1, 6) AS BIGINT) % 366 AS INT) AS day, bool_or(k % 2 = 0) AS turned
+   FROM picked, range(4) r(k) GROUP BY ALL),
+ states AS (SELECT *, lead(day) OVER (PARTITION BY list, entry ORDER BY day) AS upto FROM ev),
+ runs AS (SELECT *, sum(CASE WHEN turned THEN 0 ELSE 1 END) OVER (PARTITION BY list, entry ORDER BY day) AS run FROM states),
+ spans AS (SELECT list, entry, min(day) AS since, CASE WHEN bool_or(upto IS NULL) THEN NULL ELSE max(upto) END AS until FROM runs WHERE turned GROUP BY list, entry, run),
+ hit AS (SELECT page_id, s.list, since FROM c JOIN spans s ON (host = entry OR ends_with(host, '.' || entry)) AND since <= fetched AND (until IS NULL OR fetched < until)),
+ agg AS (SELECT page_id, count(*) AS n, array_to_string(list_sort(list_distinct(list(list))), ',') AS lists, min(since) AS listed_since FROM hit GROUP BY page_id)
+ SELECT page_id, host, fetched, n IS NOT NULL AS blocked, coalesce(n, 0) AS n_entries, coalesce(lists, '') AS lists, listed_since FROM c LEFT JOIN agg USING (page_id)""")
+def _(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return url_lists.as_of(captures(pages), dated_lists(pages)).drop("url")
