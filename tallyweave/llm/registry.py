@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import line_dedup, mixing, positional, probminhash, quality, token_files, url_lists, warc_zip
+from tallyweave.llm import line_dedup, mixing, page_text, positional, probminhash, quality, token_files, url_lists, warc_zip
 from tallyweave.llm.common import table
 
 
@@ -217,3 +217,8 @@ def dated_lists(pages: DataFrame) -> DataFrame:
 def _(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return url_lists.as_of(captures(pages), dated_lists(pages)).drop("url")
+
+
+@query("op5_min_cut_text")
+def _(spark, sf_dir):
+    return page_text.main_text(table(spark, sf_dir, "pages"))
