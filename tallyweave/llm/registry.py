@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import line_dedup, mixing, page_text, positional, probminhash, quality, token_files, url_lists, warc_zip
+from tallyweave.llm import line_dedup, mixing, page_text, positional, probminhash, quality, secret_forest, token_files, url_lists, warc_zip
 from tallyweave.llm.common import table
 
 
@@ -222,3 +222,9 @@ def _(spark, sf_dir):
 @query("op5_min_cut_text")
 def _(spark, sf_dir):
     return page_text.main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op4_secret_forest")
+def _(spark, sf_dir):
+    found = secret_forest.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", F.char_length("run").cast("long").alias("n_chars"), F.sha2("run", 256).alias("run_sha256"), "probability", "is_secret")
