@@ -208,10 +208,11 @@ def search_index(index: DataFrame, tests) -> DataFrame:
                         for d, s in zip(docs.tolist(), (starts - seg.begins[docs]).tolist(), strict=True):
                             spans, items = found.setdefault(d, ([], set()))
                             spans.append((s, s + len(terms)))
-                            items.add(tests.value.ids[n])
+                            if tests.value.ids[n] is not None:
+                                items.add(tests.value.ids[n])
                 count = len(row["ids"])
                 spans = [[{"start": s, "end": e} for s, e in _merged(found[d][0])] if d in found else [] for d in range(count)]
-                items = [sorted(found[d][1], key=lambda x: (x is None, x)) if d in found else [] for d in range(count)]
+                items = [sorted(found[d][1]) if d in found else [] for d in range(count)]
                 yield pa.RecordBatch.from_pydict({"_raw": row["ids"], "_h": row["hashes"], "n_words": row["lengths"], "spans": spans, "items": items}, schema=_FOUND)
 
     return index.mapInArrow(search, "_raw long, _h long, n_words long, spans array<struct<start:bigint,end:bigint>>, items array<string>")
@@ -224,7 +225,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     ``spans`` are the ranges of document words inside an occurrence of any item's
     window, ``items`` the identifiers (as strings, sorted) of the items that occur.
     Null and empty texts, and texts without a word, have no words and no hits; items
-    without words never occur; repeated item identifiers count once; equal rows have
+    without words never occur; repeated item identifiers count once, and an item without
+    identifier makes hits but isn't named; equal rows have
     equal results. Without items nothing is contaminated, without documents there are
     no rows.
     """
