@@ -48,6 +48,13 @@ def odds(size: Column, level: Column, doc_id: Column, seed: str) -> tuple[Column
     return whole.cast("long"), rank
 
 
+def beside(docs: DataFrame, sources: DataFrame, how: str = "inner", salts: int = 8) -> DataFrame:
+    """``docs`` (``_src, _id, size`` and more) with their source's row (``_name`` and more). A source's documents are dealt over ``salts`` places."""
+    s = sources.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    d = docs.withColumn("_d", F.pmod(F.xxhash64("_id", "size"), F.lit(salts)).cast("int"))
+    return d.join(s, F.col("_src").eqNullSafe(F.col("_name")) & (F.col("_s") == F.col("_d")), how).drop("_s", "_d")
+
+
 @dataclass(frozen=True)
 class Mix:
     """``sizes``: the documents without their texts. ``sources``: per source its target and where its ranking is cut."""
@@ -58,9 +65,7 @@ class Mix:
 
     def decide(self, docs: DataFrame) -> DataFrame:
         """``docs`` (``_id, _src, size`` and any more) with ``source_size, target, copies, taken``."""
-        s = self.sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-        d = docs.withColumn("_salt", F.pmod(F.xxhash64("_id", "size"), F.lit(8)).cast("int"))
-        j = d.join(s, F.col("_src").eqNullSafe(F.col("_name")) & (d["_salt"] == s["_salt"]), "left").drop(d["_salt"]).drop(s["_salt"])
+        j = beside(docs, self.sources, "left")
         whole, rank = odds(F.col("size"), F.col("_level"), F.col("_raw"), self.seed)
         place = F.struct(rank.alias("rank"), F.col("_id"), F.col("size"))
         chosen = F.coalesce((rank.isNotNull() & (place <= F.col("_last"))).cast("long"), F.lit(0))
@@ -121,12 +126,12 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     open_mix = Mix(sizes, ready.withColumn("_last", F.lit(None).cast("struct<rank:double,_id:bigint,size:bigint>")), seed)
     certain = open_mix.decide(sizes.where("size > 0"))
     whole, rank = odds(F.col("size"), F.col("_level"), F.col("_raw"), seed)
-    graded = sizes.where("size > 0").join(ready, F.col("_src").eqNullSafe(F.col("_name"))).select("_src", "_id", "size", rank.alias("rank"))
+    graded = beside(sizes.where("size > 0"), ready).select("_src", "_id", "size", rank.alias("rank"))
     ranked = running(cut(graded.where(F.col("rank").isNotNull()), "ranks"), ["_src"], ["rank", "_id", "size"], ["size"], label="ranks")
     rest = certain.groupBy("_src").agg(F.sum("taken").alias("sure"))
     rest = ready.join(rest, F.col("_name").eqNullSafe(F.col("_src")), "left").select("_name", (F.col("target") - F.coalesce("sure", F.lit(0))).alias("rest"))
     cuts = (
-        ranked.join(rest, F.col("_src").eqNullSafe(F.col("_name")))
+        beside(ranked, rest)
         .where(F.col("before_size") + F.col("same_size") / 2 <= F.col("rest"))
         .groupBy("_name").agg(F.max(F.struct("rank", "_id", "size")).alias("_last")))
     cuts = cuts.select(F.col("_name").alias("_c"), "_last")
