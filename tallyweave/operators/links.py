@@ -46,11 +46,11 @@ def invoice_pdfs(fiscal: DataFrame, files: DataFrame) -> DataFrame:
     pdfs = files.where(F.lower("file_name").rlike(r"^\d{44}\.pdf$")).select(
         F.left("file_name", F.lit(44)).alias("key"),
         F.col("path").alias("pdf_path"),
-        F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("at"),
+        F.regexp_extract(fn.slashes("path"), r"^(.*)/[^/]*$", 1).alias("at"),
     )
     docs = fiscal.select(
         "fiscal_id", "xml_path", fn.invoice_key("xml_path").alias("key"),
-        F.regexp_extract("xml_path", r"^(.*)/[^/]*$", 1).alias("d"),
+        F.regexp_extract(fn.slashes("xml_path"), r"^(.*)/[^/]*$", 1).alias("d"),
     ).withColumn("p", F.regexp_extract("d", r"^(.*)/[^/]*$", 1)).withColumn("g", F.regexp_extract("p", r"^(.*)/[^/]*$", 1))
     at = F.col("at")
     rank = (

@@ -179,30 +179,30 @@ def _line3() -> Column:
 _TX_OUT = ["tx_id", "tx_date", "description", "counterparty", "counterparty_doc", "amount", "external_ref"]
 
 
-def _parsed(lines: DataFrame, parse: Column) -> DataFrame:
-    return lines.withColumn("_p", parse).select(*[c for c in lines.columns if c != "value"], "_p.*").where("reason IS NULL").select(*_TX_OUT)
+def _parsed(lines: DataFrame, layout: str) -> DataFrame:
+    return statements.parse_lines(lines, F.lit(layout)).where("reason IS NULL").select(*_TX_OUT)
 
 
 @query("ingest_layout1", f"SELECT tx_id, tx_date, description, counterparty, counterparty_doc, {d('amount')} AS amount, NULL::VARCHAR AS external_ref FROM tx", ("tx",))
 def _(spark, view, sf):
-    return _parsed(view("tx").select("tx_id", _line1(",").alias("value")), statements.parse_layout1("value"))
+    return _parsed(view("tx").select("tx_id", _line1(",").alias("value")), "layout1")
 
 
 @query("ingest_layout2", f"SELECT tx_id, tx_date, trim(concat(description, ' ', coalesce(counterparty, ''))) AS description, counterparty, NULL::VARCHAR AS counterparty_doc, {d('amount')} AS amount, CAST(tx_id AS VARCHAR) AS external_ref FROM tx", ("tx",))
 def _(spark, view, sf):
-    return _parsed(view("tx").select("tx_id", _line2().alias("value")), statements.parse_layout2("value"))
+    return _parsed(view("tx").select("tx_id", _line2().alias("value")), "layout2")
 
 
 @query("ingest_layout3", f"SELECT tx_id, tx_date, description, nullif(regexp_extract(description, '-([A-Z].+)$', 1), '') AS counterparty, NULL::VARCHAR AS counterparty_doc, {d('amount')} AS amount, NULL::VARCHAR AS external_ref FROM tx", ("tx",))
 def _(spark, view, sf):
-    return _parsed(view("tx").select("tx_id", _line3().alias("value")), statements.parse_layout3("value"))
+    return _parsed(view("tx").select("tx_id", _line3().alias("value")), "layout3")
 
 
 @query("ingest_sheet", ORACLES["ingest_layout1"])
 def _(spark, view, sf):
     cells = view("tx").select("tx_id", dates.format_br_date("tx_date").alias("c0"), F.col("description").alias("c1"),
                               F.col("counterparty").alias("c2"), F.col("counterparty_doc").alias("c3"), _brl(F.col("amount")).alias("c4"))
-    return _parsed(cells, statements.parse_sheet())
+    return statements.parse_sheet(cells).where("reason IS NULL").select(*_TX_OUT)
 
 
 PREFIXES = {"acct-0": "layout3", "acct-1": "layout1", "acct-2": "layout2"}
@@ -232,15 +232,34 @@ def _(spark, view, sf):
         F.count("*").alias("n"), F.sum("amount").alias("total"))
 
 
-@query("stream_ingest", f"""SELECT month, category, count(*) AS n, {d('sum(amount)')} AS total FROM ledger
+@query("stream_ingest", f"""SELECT month, category, count(*) AS n, count(*) AS joined, {d('sum(amount)')} AS total FROM ledger
  WHERE bank_account_id LIKE 'acct-0%' OR bank_account_id LIKE 'acct-1%' OR bank_account_id LIKE 'acct-2%' GROUP BY 1, 2""", ("ledger",))
 def _(spark, view, sf):
     from tallyweave.streaming import landing
 
     base = scratch(spark, "landing")
     _statement_lines(view("tx")).select("account", "value").write.partitionBy("account").text(f"{base}/in")
-    landing.ingest(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", PREFIXES, view("bank_accounts"), RULE_ROWS).awaitTermination()
-    return spark.read.parquet(f"{base}/out/ledger").groupBy("month", "category").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
+    landing.ingest(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", PREFIXES, view("bank_accounts"), RULE_ROWS, max_files=12).awaitTermination()
+    ledger = spark.read.parquet(f"{base}/out/ledger")
+    # Several batches: an id that stood twice would multiply the rows of this join.
+    again = ledger.join(ledger.select("entry_id", F.col("batch").alias("_b")), "entry_id")
+    counted = again.groupBy("month", "category").agg(F.count("*").alias("joined"))
+    return ledger.groupBy("month", "category").agg(F.count("*").alias("n"), F.sum("amount").alias("total")).join(counted, ["month", "category"])
+
+
+@query("ingest_copies", f"""SELECT a AS bank_account_id, count(*) AS n, count(*) AS ids, {d('sum(amount)')} AS total FROM tx, (VALUES ('acct-0x'), ('acct-0y')) v(a) WHERE bank_account_id LIKE 'acct-0%' GROUP BY a""", ("tx",))
+def _(spark, view, sf):
+    """Two accounts share their files' content and each has a copy: copies go, the other account's rows stay."""
+    base = scratch(spark, "copies")
+    lines = view("tx").where("bank_account_id LIKE 'acct-0%'").select(_line3().alias("value"))
+    for account in ("acct-0x", "acct-0y"):
+        for copy in ("a", "b"):
+            lines.write.text(f"{base}/account={account}/copy={copy}")
+    read = statements.numbered(statements.read_lines(spark, base).withColumn("bank_account_id", F.regexp_extract("path", "account=([^/]+)/", 1)))
+    kept = statements.first_copies(statements.file_fingerprints(read))
+    fresh = statements.with_line_ids(read.join(kept.select("path"), "path", "left_semi"))
+    return statements.accepted(statements.parse_statements(fresh, PREFIXES)).groupBy("bank_account_id").agg(
+        F.count("*").alias("n"), F.count_distinct("tx_id").alias("ids"), F.sum("amount").alias("total"))
 
 
 _OWN_ID = "99999999000199"

@@ -8,6 +8,7 @@ from tallyweave.functions.dates import parse_br_date
 from tallyweave.functions.money import parse_reais
 from tallyweave.functions.text import _c
 from tallyweave.schemas import MONEY
+from tallyweave.sources.statements import once
 
 _PARTY = "STRUCT<CNPJ: STRING, CPF: STRING, xNome: STRING>"
 _INFO = (
@@ -36,7 +37,7 @@ def _digits(party: str) -> Column:
 
 def _int_text(x: str) -> Column:
     n = F.regexp_extract(F.coalesce(_c(x), F.lit("")), r"^\s*(\d+)", 1)
-    return F.when(n != "", n.cast("long").cast("string"))
+    return F.when(n != "", F.regexp_replace(n, r"^0+(?=\d)", ""))
 
 
 def _total(x: str) -> Column:
@@ -51,9 +52,8 @@ def parse_invoices(files: DataFrame, own_id: str, xml: str = "xml") -> DataFrame
     Direction: inbound when the receiver is ``own_id``, else outbound. The
     counterparty is the other side.
     """
-    info = files.withColumn("_r", F.from_xml(xml, XML_SCHEMA)).withColumn(
-        "_i", F.coalesce("_r.NFe.infNFe", "_r.infNFe")
-    ).where("_i IS NOT NULL")
+    parsed = once(files, _r=F.from_xml(xml, XML_SCHEMA))
+    info = parsed.withColumn("_i", F.coalesce("_r.NFe.infNFe", "_r.infNFe")).where("_i IS NOT NULL")
     inbound = _digits("_i.dest") == own_id
     side = F.when(inbound, F.col("_i.emit")).otherwise(F.col("_i.dest"))
     keep = [c for c in files.columns if c != xml]

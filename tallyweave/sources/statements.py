@@ -8,19 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tallyweave.functions.dates import month_of, parse_br_date
 from tallyweave.functions.filenames import extension
 from tallyweave.functions.money import parse_money
 from tallyweave.functions.text import _c, normalize_space
 from tallyweave.schemas import MONEY
-from tallyweave.session import cut
 
-PARSED = (
-    "struct<tx_date:date,description:string,counterparty:string,counterparty_doc:string,"
-    "amount:decimal(18,2),external_ref:string,reason:string>"
-)
 DATE_TEXT = r"\d{2}[./]\d{2}[./]\d{4}"
 SKIPPED = "skipped"  # headers, balance lines, blank values: not data
 
@@ -52,72 +47,105 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns``, each computed once however often later steps name it.
+
+    A projection is copied into every filter and column that reads it; a generator is not.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], made)
+
+
 def _fields(value: Column, sep: str) -> Column:
-    """Split outside double quotes, then strip the quotes and blanks."""
-    parts = F.split(value, f'{sep}(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(parts, lambda p: F.trim(F.regexp_replace(F.trim(p), '^"|"$', "")))
+    """Fields between separators outside double quotes, without quotes and blanks.
+
+    Lines with paired quotes are read in one pass; only the others need a look ahead at
+    the quotes that follow.
+    """
+    paired = (F.octet_length(value) - F.octet_length(F.replace(value, F.lit('"'), F.lit("")))) % 2 == 0
+    plain = F.regexp_extract_all(F.concat(F.lit(sep), value), F.lit(f'{sep}((?:[^{sep}"]++|"[^"]*+")*+)'), F.lit(1))
+    odd = F.split(value, f'{sep}(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    return F.transform(F.when(paired, plain).otherwise(odd), lambda p: F.trim(F.regexp_replace(F.trim(p), '^"|"$', "")))
 
 
 def _nth(parts: Column, i: int) -> Column:
     return F.coalesce(F.get(parts, i), F.lit(""))
 
 
-def _row(date_text: Column, desc: Column, cp: Column, doc: Column, amount: Column, ref: Column, skip: Column) -> Column:
-    date = parse_br_date(date_text)
-    has_date = date_text.rlike(DATE_TEXT)
-    reason = (
-        F.when(~has_date | skip, SKIPPED).when(date.isNull(), "bad_date").when(amount.isNull(), "bad_amount")
-    )
-    empty = F.lit("")
-    return F.struct(
-        date.alias("tx_date"),
-        desc.alias("description"),
-        F.nullif(cp, empty).alias("counterparty"),
-        F.nullif(doc, empty).alias("counterparty_doc"),
-        amount.cast(MONEY).alias("amount"),
-        F.nullif(ref, empty).alias("external_ref"),
-        reason.alias("reason"),
-    ).cast(PARSED)
-
-
-def parse_layout1(value, layout: Layout = LAYOUT1_CSV) -> Column:
+_RAW = "struct<date_text:string,description:string,counterparty:string,counterparty_doc:string,amount_text:string,sign:int,external_ref:string,skip:boolean>"
+
+
+def _raw(date_text: Column, desc: Column, cp, doc, amount: Column, ref, skip: Column, sign=None) -> Column:
+    text = lambda c: F.lit(c) if isinstance(c, str) else c
+    fields = (date_text, desc, text(cp), text(doc), amount, F.lit(None).cast("int") if sign is None else sign, text(ref), skip)
+    return F.struct(*fields).cast(_RAW)
+
+
+def _layout1(p: Column, layout: Layout) -> Column:
     """date, history, name, tax id, value[, balance]; short form date, history, value."""
-    p = _fields(normalize_space(value), layout.sep)
     long_form = F.size(p) >= 5
     raw = F.when(long_form, _nth(p, 4)).otherwise(_nth(p, 2))
     skip = (F.size(p) < 3) | _nth(p, 1).rlike(layout.balance) | (raw == "")
-    name = F.when(long_form, _nth(p, 2)).otherwise("")
-    doc = F.when(long_form, _nth(p, 3)).otherwise("")
-    return _row(_nth(p, 0), _nth(p, 1), name, doc, parse_money(raw, layout.decimal), F.lit(""), skip)
+    return _raw(_nth(p, 0), _nth(p, 1), F.when(long_form, _nth(p, 2)).otherwise(""), F.when(long_form, _nth(p, 3)).otherwise(""), raw, "", skip)
 
 
-def parse_layout2(value, layout: Layout = LAYOUT2) -> Column:
+def _layout2(p: Column, layout: Layout) -> Column:
     """Column 3 date, 7 reference, 9 history, 10 value, 11 D/C sign, 12 detail."""
-    p = _fields(normalize_space(value), layout.sep)
-    amount = parse_money(_nth(p, 10), layout.decimal)
-    signed = F.when(_nth(p, 11) == "D", -F.abs(amount)).otherwise(amount)
     skip = (F.size(p) < 10) | _nth(p, 9).rlike(layout.balance)
     desc = F.trim(F.concat(_nth(p, 9), F.lit(" "), _nth(p, 12)))
-    return _row(_nth(p, 3), desc, _nth(p, 12), F.lit(""), signed, _nth(p, 7), skip)
+    return _raw(_nth(p, 3), desc, _nth(p, 12), "", _nth(p, 10), _nth(p, 7), skip, F.when(_nth(p, 11) == "D", -1))
 
 
-def parse_layout3(value, layout: Layout = LAYOUT3) -> Column:
+def _layout3(p: Column, layout: Layout) -> Column:
     """date; description; value. The counterparty follows a dash and a letter."""
-    p = F.split(normalize_space(value), layout.sep)
     desc = F.trim(F.regexp_replace(_nth(p, 1), '"', ""))
     cp = F.trim(F.regexp_extract(desc, '(?iu)-([A-ZÀ-Ú][^"]+)$', 1))
-    amount = parse_money(_nth(p, 2), layout.decimal)
-    return _row(_nth(p, 0), desc, cp, F.lit(""), amount, F.lit(""), F.size(p) < 3)
+    return _raw(_nth(p, 0), desc, cp, "", _nth(p, 2), "", F.size(p) < 3)
 
 
-def parse_sheet(c0="c0", c1="c1", c2="c2", c3="c3", c4="c4", layout: Layout = LAYOUT1_CSV) -> Column:
-    """The five positional columns of the spreadsheet form of layout 1."""
+def _typed(rows: DataFrame, decimal: str) -> DataFrame:
+    """Dates, amounts and the reason of rejection from the struct column ``_raw``."""
+    typed = once(rows, _date=parse_br_date(F.col("_raw.date_text")), _amount=F.when(F.col("_raw.amount_text").isNotNull(), parse_money(F.col("_raw.amount_text"), decimal)))
+    skipped = ~F.col("_raw.date_text").rlike(DATE_TEXT) | F.col("_raw.skip")
+    reason = F.when(skipped, SKIPPED).when(F.col("_date").isNull(), "bad_date").when(F.col("_amount").isNull(), "bad_amount")
+    text = lambda c: F.nullif(F.col(f"_raw.{c}"), F.lit(""))
+    out = {
+        "tx_date": F.col("_date"), "description": F.col("_raw.description"), "counterparty": text("counterparty"), "counterparty_doc": text("counterparty_doc"),
+        "amount": F.when(F.col("_raw.sign") == -1, -F.abs("_amount")).otherwise(F.col("_amount")).cast(MONEY), "external_ref": text("external_ref"), "reason": reason}
+    return typed.select(*[F.col(f"`{c}`") for c in rows.columns if c != "_raw" and c not in out], *[c.alias(n) for n, c in out.items()])
+
+
+LAYOUTS = {"layout1": LAYOUT1_CSV, "layout1_txt": LAYOUT1_TXT, "layout2": LAYOUT2, "layout3": LAYOUT3}
+_READERS = {"layout1": _layout1, "layout1_txt": _layout1, "layout2": _layout2, "layout3": _layout3}
 
-    def t(x) -> Column:
-        return F.coalesce(normalize_space(x), F.lit(""))
 
-    skip = (t(c1) == "") | t(c1).rlike(layout.balance) | (t(c4) == "")
-    return _row(t(c0), t(c1), t(c2), t(c3), parse_money(t(c4), layout.decimal), F.lit(""), skip)
+def parse_lines(lines: DataFrame, layout: Column, value: str = "value", layouts: dict[str, Layout] | None = None) -> DataFrame:
+    """``lines`` with the parsed fields and ``reason``; ``layout`` names each line's layout, null for none.
+
+    Every line is cleaned, split and typed once. ``layouts`` replaces the standard ones.
+    """
+    layouts = layouts or LAYOUTS
+    clean = once(lines, _layout=layout, _v=F.coalesce(normalize_space(F.col(value)), F.lit("")))
+    separators = {n: x.sep for n, x in layouts.items() if n != "layout3"}
+    fields = F.when(F.col("_layout") == "layout3", F.split("_v", layouts.get("layout3", LAYOUT3).sep))
+    for sep in sorted(set(separators.values())):
+        fields = fields.when(F.col("_layout").isin([n for n, s in separators.items() if s == sep]), _fields(F.col("_v"), sep))
+    split = once(clean, _f=fields)
+    raw = F.lit(None).cast(_RAW)
+    for name, form in layouts.items():
+        raw = F.when(F.col("_layout") == name, _READERS[name](F.col("_f"), form)).otherwise(raw)
+    typed = _typed(once(split.withColumn("_raw", F.lit(None)), _raw=raw).drop("_f", "_v"), ",")
+    return typed.withColumn("reason", F.when(F.col("_layout").isNull(), "no_layout").otherwise(F.col("reason"))).drop("_layout")
+
+
+def parse_sheet(cells: DataFrame, columns: tuple[str, ...] = ("c0", "c1", "c2", "c3", "c4"), layout: Layout = LAYOUT1_CSV) -> DataFrame:
+    """The five positional columns of the spreadsheet form of layout 1."""
+    t = [F.coalesce(normalize_space(F.col(c)), F.lit("")) for c in columns]
+    clean = once(cells, **{f"_t{i}": c for i, c in enumerate(t)})
+    c = [F.col(f"_t{i}") for i in range(5)]
+    skip = (c[1] == "") | c[1].rlike(layout.balance) | (c[4] == "")
+    rows = once(clean.withColumn("_raw", F.lit(None)), _raw=_raw(c[0], c[1], c[2], c[3], c[4], "", skip))
+    return _typed(rows.drop(*columns, *[f"_t{i}" for i in range(5)]), layout.decimal)
 
 
 def layout_of(account, path, prefixes: dict[str, str]) -> Column:
@@ -130,18 +158,8 @@ def layout_of(account, path, prefixes: dict[str, str]) -> Column:
 
 def parse_statements(lines: DataFrame, prefixes: dict[str, str]) -> DataFrame:
     """Parse lines carrying ``path`` and ``bank_account_id`` by their account's layout, in one pass."""
-    unknown = F.lit(None).cast(PARSED)
-    parsed = (
-        F.when(F.col("layout") == "layout1", parse_layout1("value", LAYOUT1_CSV))
-        .when(F.col("layout") == "layout1_txt", parse_layout1("value", LAYOUT1_TXT))
-        .when(F.col("layout") == "layout2", parse_layout2("value", LAYOUT2))
-        .when(F.col("layout") == "layout3", parse_layout3("value", LAYOUT3))
-        .otherwise(unknown)
-    )
-    out = lines.withColumn("layout", layout_of("bank_account_id", "path", prefixes)).withColumn("_p", parsed)
-    return out.select(
-        *[c for c in lines.columns if c != "value"], "layout", "value", "_p.*"
-    ).withColumn("reason", F.when(F.col("layout").isNull(), "no_layout").otherwise(F.col("reason")))
+    named = lines.withColumn("layout", layout_of("bank_account_id", "path", prefixes))
+    return parse_lines(named, F.col("layout"))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
@@ -153,19 +171,34 @@ def quarantined(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("reason").isNotNull() & (F.col("reason") != SKIPPED)).select("path", "value", "reason")
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """``lines`` (``path, block, pos``) with ``line_no``, from 0 in each file.
+
+    Each block counts its own lines; only the blocks' counts, few for a file, are summed
+    in order, so a large file is never gathered in one task.
+    """
+    blocks = lines.groupBy("path", "block").agg(F.min("pos").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    bases = blocks.select("path", "block", "_first", F.coalesce(before, F.lit(0)).alias("_base"))
+    return lines.join(bases, ["path", "block"]).withColumn("line_no", F.col("_base") + F.col("pos") - F.col("_first")).drop("_base", "_first")
+
+
 def file_fingerprints(lines: DataFrame) -> DataFrame:
-    """One row per file with an order-free content fingerprint, built by partial aggregation.
+    """One row per file and account with a fingerprint of the content in its order, by partial aggregation.
 
-    Three independent figures over all lines; a large file is never gathered in one task.
+    Three independent figures over all lines, each line hashed with the text before it in
+    the order of ``line_no``; a large file is never gathered in one task. Files of two
+    accounts never share a fingerprint.
     """
-    h = F.xxhash64("value")
-    return lines.groupBy("path").agg(
+    h = F.xxhash64("value", "line_no")
+    return lines.groupBy("path", "bank_account_id").agg(
         F.concat_ws(
             "-",
+            F.col("bank_account_id"),
             F.count("*").cast("string"),
             F.hex(F.bit_xor(h)),
             F.sum(h.cast("decimal(38,0)")).cast("string"),
-            F.sum(F.crc32("value").cast("decimal(38,0)") * F.length("value")).cast("string"),
+            F.sum(F.crc32("value").cast("decimal(38,0)") * (F.col("line_no") + 1)).cast("string"),
         ).alias("hash")
     )
 
@@ -180,10 +213,12 @@ def duplicate_hashes(files: DataFrame) -> DataFrame:
     return files.groupBy("hash").agg(F.count("*").alias("copies"), F.min("path").alias("first_path")).where("copies > 1")
 
 
-def number_transactions(tx: DataFrame) -> DataFrame:
-    """Ordered long ids in file order, fixed by writing the result.
+def with_line_ids(lines: DataFrame, batch: int = 0) -> DataFrame:
+    """``lines`` (``path, line_no``) with a long ``tx_id`` that a repeated run gives again.
 
-    The global sort makes the order independent of how the files were split.
+    Files follow each other by path, lines by number; a batch has 2^40 ids of its own.
     """
-    ordered = tx.orderBy("path", "block", "pos")
-    return cut(ordered.withColumn("tx_id", F.monotonically_increasing_id()), "transactions")
+    files = lines.groupBy("path").agg((F.max("line_no") + 1).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1))  # one row for each file
+    bases = files.select("path", (F.coalesce(before, F.lit(0)) + F.lit(batch << 40)).alias("_base"))
+    return lines.join(bases, "path").withColumn("tx_id", F.col("_base") + F.col("line_no")).drop("_base")

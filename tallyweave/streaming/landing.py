@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyweave.operators.classify import build_ledger
-from tallyweave.sources.statements import accepted, file_fingerprints, first_copies, parse_statements
+from tallyweave.sources.statements import accepted, file_fingerprints, first_copies, numbered, parse_statements, quarantined, with_line_ids
 
 
-def read_landing(spark: SparkSession, path: str, max_files: int = 10_000) -> DataFrame:
-    """Lines with file path, account and order within the file block."""
+def read_landing(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Lines with file path, account and file block. ``max_files`` only paces the batches."""
+    stream = spark.readStream.schema("value string, account string")
+    stream = stream if max_files is None else stream.option("maxFilesPerTrigger", max_files)
     return (
-        spark.readStream.schema("value string, account string").option("maxFilesPerTrigger", max_files).text(path)
+        stream.text(path)
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("block"),
@@ -36,30 +38,30 @@ def _known(spark: SparkSession, path: str) -> DataFrame | None:
 
 def ingest(
     spark: SparkSession, landing: str, out: str, checkpoint: str, prefixes: dict[str, str],
-    bank_accounts: DataFrame, rules: list[tuple[int, str, str, str, str]], max_files: int = 10_000,
+    bank_accounts: DataFrame, rules: list[tuple[int, str, str, str, str]], max_files: int | None = None,
 ) -> StreamingQuery:
     """Start the stream over everything present; it ends when all of it is read.
 
     Writes ``out/ledger`` by month and batch, ``out/files`` and ``out/quarantine``
-    by batch. A batch that is run again after a failure overwrites its own folder.
+    by batch. A batch that is run again after a failure overwrites its own folder, with
+    the ids it gave before: they follow from batch, file order and line number.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        lines = batch.persist()
+        lines = numbered(batch.withColumn("pos", F.monotonically_increasing_id())).persist()
         known = _known(spark, f"{out}/files")
         if known is not None:
             known = known.where(F.col("batch") != batch_id)
         kept = first_copies(file_fingerprints(lines), known)
         files = kept.withColumn("batch", F.lit(batch_id).cast("long"))
         fresh = lines.join(kept.select("path"), "path", "left_semi")
-        parsed = parse_statements(fresh, prefixes)
-        tx = accepted(parsed).withColumn("tx_id", F.monotonically_increasing_id())
+        parsed = parse_statements(with_line_ids(fresh, batch_id), prefixes)
+        tx = accepted(parsed)
         ledger = build_ledger(tx, bank_accounts, rules).withColumn("batch", F.lit(batch_id).cast("long"))
         # One folder per batch and month: a repeated batch replaces what it wrote before.
         options = {"partitionOverwriteMode": "dynamic"}
         ledger.write.mode("overwrite").options(**options).partitionBy("batch", "month").parquet(f"{out}/ledger")
-        bad = parsed.where("reason IS NOT NULL AND reason <> 'skipped'").select(
-            "path", "value", "reason", F.lit(batch_id).cast("long").alias("batch"))
+        bad = quarantined(parsed).withColumn("batch", F.lit(batch_id).cast("long"))
         bad.write.mode("overwrite").options(**options).partitionBy("batch").parquet(f"{out}/quarantine")
         files.write.mode("overwrite").options(**options).partitionBy("batch").parquet(f"{out}/files")
         lines.unpersist()

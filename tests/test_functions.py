@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.functions import accounts as acc, dates, filenames as fn, money, text
-from tallyweave.operators import classify, matching, names, overlay, ranking
+from tallyweave.operators import classify, links, matching, names, overlay, ranking
 from tallyweave.plans import export, monthly
-from tallyweave.sources import statements
+from tallyweave.sources import invoices, statements
 
 
 def value(spark, col):
@@ -82,20 +82,50 @@ def test_rules_order_case_and_zero(spark):
 
 
 def test_layouts(spark):
-    one = lambda c: spark.range(1).select(c.alias("p")).first().p
-    p = one(statements.parse_layout1(F.lit('05/06/2026,PIX,"ROE, JANE",123,"-1.234,56",0')))
+    def one(line, layout, form=None):
+        df = spark.createDataFrame([(line,)], "value string")
+        return statements.parse_lines(df, F.lit(layout), layouts={**statements.LAYOUTS, **({layout: form} if form else {})}).first()
+
+    p = one('05/06/2026,PIX,"ROE, JANE",123,"-1.234,56",0', "layout1")
     assert (p.counterparty, p.amount, p.reason) == ("ROE, JANE", D("-1234.56"), None)
-    assert one(statements.parse_layout1(F.lit("05/06/2026;PIX;10,00"), statements.LAYOUT1_TXT)).amount == D(10)
-    assert one(statements.parse_layout1(F.lit("05/06/2026;SALDO DO DIA;10,00"), statements.LAYOUT1_TXT)).reason == "skipped"
-    assert one(statements.parse_layout1(F.lit("05/06/2026;JUROS SALDO DEVEDOR;10,00"), statements.LAYOUT1_TXT)).reason is None
+    assert one("05/06/2026;PIX;10,00", "layout1_txt").amount == D(10)
+    assert one("05/06/2026;SALDO DO DIA;10,00", "layout1_txt").reason == "skipped"
+    assert one("05/06/2026;JUROS SALDO DEVEDOR;10,00", "layout1_txt").reason is None
     strict = statements.Layout("layout1", ";", statements.ANY_BALANCE)
-    assert one(statements.parse_layout1(F.lit("05/06/2026;JUROS SALDO DEVEDOR;10,00"), strict)).reason == "skipped"
-    assert one(statements.parse_layout1(F.lit("31/02/2026;PIX;10,00"), statements.LAYOUT1_TXT)).reason == "bad_date"
-    assert one(statements.parse_layout1(F.lit("05/06/2026;PIX;x"), statements.LAYOUT1_TXT)).reason == "bad_amount"
-    p = one(statements.parse_layout2(F.lit("1;2;;05.06.2026;;;;REF;;PIX;10,00;D;JANE")))
+    assert one("05/06/2026;JUROS SALDO DEVEDOR;10,00", "layout1_txt", strict).reason == "skipped"
+    assert one("31/02/2026;PIX;10,00", "layout1_txt").reason == "bad_date"
+    assert one("05/06/2026;PIX;x", "layout1_txt").reason == "bad_amount"
+    p = one("1;2;;05.06.2026;;;;REF;;PIX;10,00;D;JANE", "layout2")
     assert (p.amount, p.external_ref, p.description) == (D(-10), "REF", "PIX JANE")
-    assert one(statements.parse_layout2(F.lit("1;2;;05.06.2026;;;;REF;;S A L D O;10,00;C;"))).reason == "skipped"
-    assert one(statements.parse_layout3(F.lit('05/06/2026;"Cp :123-JANE ROE";-3,50;0'))).counterparty == "JANE ROE"
+    assert one("1;2;;05.06.2026;;;;REF;;S A L D O;10,00;C;", "layout2").reason == "skipped"
+    assert one('05/06/2026;"Cp :123-JANE ROE";-3,50;0', "layout3").counterparty == "JANE ROE"
+    assert one('05/06/2026;a "b;c;1,00', "layout1_txt").description == "c"  # an unpaired quote: the separator before it stands inside
+    assert one(None, "layout2").reason == "skipped" and one("x", None).reason == "no_layout"
+
+
+def test_a_line_is_parsed_once(spark):
+    """The plan splits and types a line once, also below a filter on the result."""
+    df = spark.range(3).select(F.concat(F.lit("05/06/2026;x;"), F.col("id").cast("string")).alias("value"), F.element_at(F.array(F.lit("layout2"), F.lit("layout3")), (F.col("id") % 2 + 1).cast("int")).alias("l"))
+    plan = statements.parse_lines(df, F.col("l")).where("reason IS NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 3 and plan.count("regexp_extract_all(") <= 2  # one for each separator
+    xml = spark.createDataFrame([("<NFe><infNFe><ide><nNF>00012345678901234567890</nNF></ide></infNFe></NFe>",), ("<bad",)], "xml string")
+    got = invoices.parse_invoices(xml, "1")
+    assert got._jdf.queryExecution().optimizedPlan().toString().lower().count("from_xml") + got._jdf.queryExecution().optimizedPlan().toString().count("xmltostructs") <= 1
+    assert [r.doc_number for r in got.collect()] == ["12345678901234567890"]
+
+
+def test_copies_are_told_per_account_and_order(spark):
+    rows = [("p1", "a", "fee", 0), ("p2", "b", "fee", 0), ("p3", "a", "fee", 0), ("q1", "a", "x", 0), ("q1", "a", "y", 1), ("q2", "a", "y", 0), ("q2", "a", "x", 1)]
+    lines = spark.createDataFrame(rows, "path string, bank_account_id string, value string, line_no long")
+    assert {r.path for r in statements.first_copies(statements.file_fingerprints(lines)).collect()} == {"p1", "p2", "q1", "q2"}
+
+
+def test_invoice_pdf_beside_backslash_paths(spark):
+    key = "1" * 44
+    fiscal = spark.createDataFrame([(1, rf"\\srv\docs\06\{key}.xml")], "fiscal_id long, xml_path string")
+    files = spark.createDataFrame([(rf"\\srv\other\{key}.pdf", f"{key}.pdf"), (rf"\\srv\docs\06\{key}.pdf", f"{key}.pdf")], "path string, file_name string")
+    got = links.invoice_pdfs(fiscal, files).collect()
+    assert [(r.place, r.pdf_path.split("\\")[3]) for r in got] == [(1, "docs")]
 
 
 def test_ranks_by_bucket_equal_plain_ranks(spark):
@@ -178,5 +208,6 @@ def test_duplicate_landing_files(spark, tmp_path):
     (src / "c.csv").write_text("07/06/2026;y;1,00;0\n")
     run()
     assert spark.read.parquet(str(tmp_path / "out" / "ledger")).count() == 3
+    assert len({r.entry_id for r in spark.read.parquet(str(tmp_path / "out" / "ledger")).collect()}) == 3
     assert [r.reason for r in spark.read.parquet(str(tmp_path / "out" / "quarantine")).collect()] == ["bad_date"]
     assert acc.CATCH_ALL == "9.9.9.99"
