@@ -172,13 +172,10 @@ def _attached(pairs: DataFrame, rows: DataFrame, side: str, value: str, name: st
     return p.join(copies, [side, "_s"]).drop("_s")
 
 
-def _links(pairs: DataFrame, signed: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+def _links(pairs: DataFrame, signed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts reach ``similarity``. Signatures tell most of the others; only texts in likely pairs move."""
     p = _attached(_attached(pairs, signed, "b", "sig", "sb"), signed, "a", "sig", "sa")
     likely = cut(p.where(_agree("sa", "sb") >= least_agreement(similarity)).select("a", "b"), "likely")
-    nodes = likely.select(F.col("a").alias("_row")).union(likely.select("b")).distinct()
-    named = cut(signed.select("_row", "_id", "_h").join(nodes, "_row"), "nodes")
-    texts = cut(docs.join(named.hint("shuffle_hash"), ["_id", "_h"]).groupBy("_row").agg(F.first("text").alias("text")), "texts")
     t = _attached(_attached(likely, texts, "b", "text", "tb"), texts, "a", "text", "ta")
     return cut(t.where(_similar("ta", "tb") >= similarity).select("a", "b"), "links")
 
@@ -209,26 +206,51 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def _crossed(table: pa.Table) -> pa.Table:
-    """Likely links between the rows of two blocks of one bucket that lie in different classes."""
-    minor = table.filter(table.column("minor"))
-    other = table.filter(table.column("other"))
-    out_a, out_b = [], []
-    if minor.num_rows and other.num_rows:
-        x = np.frombuffer(b"".join(minor.column("sig").to_pylist()), np.uint16).reshape(minor.num_rows, -1)
-        y = np.frombuffer(b"".join(other.column("sig").to_pylist()), np.uint16).reshape(other.num_rows, -1)
-        cx, cy = minor.column("comp").to_numpy(), other.column("comp").to_numpy()
-        rx, ry = minor.column("_row").to_numpy(), other.column("_row").to_numpy()
-        least = least_agreement() * x.shape[1]
-        for i in range(len(x)):
-            hit = np.flatnonzero(((y == x[i]).sum(axis=1) >= least) & (cy != cx[i]))
-            out_a.extend(np.minimum(rx[i], ry[hit]).tolist())
-            out_b.extend(np.maximum(rx[i], ry[hit]).tolist())
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-
-def _across(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """Likely links between classes inside buckets.
+def _crossing(similarity: float):
+    def crossed(table: pa.Table) -> pa.Table:
+        """Links between the rows of two blocks of one bucket that lie in different classes.
+
+        Signatures are compared first, then the texts. Classes that a link has joined here
+        are one from then on, so there are fewer links than classes.
+        """
+        minor, other = table.filter(table.column("minor")), table.filter(table.column("other"))
+        out_a, out_b = [], []
+        if minor.num_rows and other.num_rows:
+            x, y = (np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(t.num_rows, -1) for t in (minor, other))
+            cx, cy, rx, ry, tx, ty = (t.column(c).to_pylist() for c in ("comp", "_row", "text") for t in (minor, other))
+            up = {c: c for c in (*cx, *cy)}
+
+            def root(c):
+                while up[c] != c:
+                    up[c] = up[up[c]]
+                    c = up[c]
+                return c
+
+            known: dict[int, frozenset] = {}
+
+            def of(row, text):
+                if row not in known:
+                    known[row] = frozenset(shingles(text)[0].tolist())
+                return known[row]
+
+            least = least_agreement(similarity) * x.shape[1]
+            for i in range(len(x)):
+                for j in np.flatnonzero((y == x[i]).sum(axis=1) >= least).tolist():
+                    a, b = root(cx[i]), root(cy[j])
+                    if a != b:
+                        s, t = of(rx[i], tx[i]), of(ry[j], ty[j])
+                        both = len(s & t)
+                        if both >= similarity * (len(s) + len(t) - both):
+                            up[a] = b
+                            out_a.append(min(rx[i], ry[j]))
+                            out_b.append(max(rx[i], ry[j]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+    return crossed
+
+
+def _across(members: DataFrame, signed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between classes inside buckets.
 
     ``members``: key, _row, comp, of buckets with several classes. The rows outside a
     bucket's largest class are compared with all of it, block by block.
@@ -238,12 +260,12 @@ def _across(members: DataFrame, signed: DataFrame) -> DataFrame:
         "key", F.col("m.comp").alias("major"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
         F.ceil((F.col("all") - F.col("m.n")) / BLOCK).cast("int").alias("minors"))
     m = salted_join(members, major, ["key"], spread=F.col("_row"))
-    m = m.join(signed.select("_row", "sig"), "_row")
+    m = m.join(signed.select("_row", "sig"), "_row").join(texts, "_row")
     mine = F.pmod(F.xxhash64("_row"), F.col("blocks")).cast("int")
     some = F.pmod(F.xxhash64("_row", F.lit(1)), F.greatest("minors", F.lit(1))).cast("int")
-    first = m.where("comp <> major").select("key", "_row", "comp", "sig", some.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("minor"), F.lit(False).alias("other"))
-    second = m.select("key", "_row", "comp", "sig", F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("i"), mine.alias("j"), F.lit(False).alias("minor"), F.lit(True).alias("other"))
-    return first.unionByName(second).groupBy("key", "i", "j").applyInArrow(_crossed, "a long, b long").distinct()
+    first = m.where("comp <> major").select("key", "_row", "comp", "sig", "text", some.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("minor"), F.lit(False).alias("other"))
+    second = m.select("key", "_row", "comp", "sig", "text", F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("i"), mine.alias("j"), F.lit(False).alias("minor"), F.lit(True).alias("other"))
+    return first.unionByName(second).groupBy("key", "i", "j").applyInArrow(_crossing(similarity), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -265,7 +287,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     nodes = cut(signed.join(copies.where("_row = node").select("_row").hint("shuffle_hash"), "_row", "left_semi").where("sig IS NOT NULL"), "nodes")
     bands = nodes.select("_id", "_row", "sig").mapInArrow(_banded, "key long, _id long, _row long")
     led = cut(first_in_order(bands, ["key"], ["_id", "_row"], label="bands").where("_row <> first__row").select("key", F.col("first__row").alias("a"), F.col("_row").alias("b")), "led")
-    links = _links(led.select("a", "b").distinct(), nodes, rows.select("_id", "_h", "text"), similarity)
+    shared = led.select(F.col("a").alias("_row")).union(led.select("b")).distinct()
+    named = cut(nodes.select("_row", "_id", "_h").join(shared, "_row"), "named")
+    texts = cut(rows.select("_id", "_h", "text").join(named.hint("shuffle_hash"), ["_id", "_h"]).select("_row", "text").dropDuplicates(["_row"]), "texts")
+    links = _links(led.select("a", "b").distinct(), nodes, texts, similarity)
     roots = components(links)
     of = lambda side: salted_join(
         led, roots.select(F.col("u").alias(side), F.col("p").alias("comp")), [side], "left", F.col("b")).select("key", "a", "b", F.coalesce("comp", side).alias("comp"))
@@ -273,8 +298,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     mixed = sides.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     members = cut(salted_join(sides, mixed, ["key"], spread=F.col("_row")), "mixed")
     if not members.isEmpty():
-        more = _links(cut(_across(members, nodes), "across"), nodes, rows.select("_id", "_h", "text"), similarity)
-        roots = components(links.union(more))
+        roots = components(links.union(cut(_across(members, nodes, texts, similarity), "across")))
     joined = salted_join(copies, roots.select(F.col("u").alias("node"), F.col("p").alias("root")), ["node"], "left", F.col("_row"))
     labelled = cut(joined.select("_row", "_id", F.coalesce("root", "node").alias("root")), "labelled")
     sizes = labelled.groupBy("root").agg(F.min("_id").alias("class_id"), F.count("*").alias("class_size"))

@@ -40,12 +40,13 @@ def test_short_and_empty_texts():
 def test_blocks_find_links_between_classes():
     draw = random.Random(6)
     base = words(draw, 300)
-    sig = p.signatures([p.shingles(" ".join(base)), p.shingles(" ".join([*base[:-1], "other"])), p.shingles(" ".join(words(draw, 300)))])
-    rows = [(i, c, s.tobytes()) for i, c, s in zip((7, 3, 5), (7, 3, 5), sig, strict=True)]
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(words(draw, 300)), " ".join([*base[:200], *words(draw, 100)])]
+    sig = p.signatures([p.shingles(t) for t in texts])
+    rows = [(i, i, s.tobytes(), t) for i, s, t in zip((7, 3, 5, 9), sig, texts, strict=True)]
     table = pa.table({
         "_row": [r[0] for r in rows] * 2, "comp": [r[1] for r in rows] * 2, "sig": pa.array([r[2] for r in rows] * 2, pa.binary()),
-        "minor": [True] * 3 + [False] * 3, "other": [False] * 3 + [True] * 3})
-    assert set(zip(*p._crossed(table).to_pydict().values(), strict=True)) == {(3, 7)}
+        "text": [r[3] for r in rows] * 2, "minor": [True] * 4 + [False] * 4, "other": [False] * 4 + [True] * 4})
+    assert set(zip(*p._crossing(0.8)(table).to_pydict().values(), strict=True)) == {(3, 7)}
 
 
 def test_chain_whose_leader_knows_one_link(spark, monkeypatch):
