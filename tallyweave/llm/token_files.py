@@ -16,6 +16,7 @@ run and its low bits: there is no table of 64-bit offsets.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -29,7 +30,7 @@ from tallyweave.session import cut
 MAGIC = b"TOKEF01\n"
 END_ID = 0
 #: Pieces of text with known ids that a worker remembers.
-MEMORY = 400_000
+MEMORY = 700_000
 #: Ids that a reader holds at once, about.
 READ_IDS = 4 << 20
 _STEP = 4096
@@ -123,10 +124,11 @@ class Shard:
 class Encoder:
     """Ids of texts by a file of the tokenizers library.
 
-    A byte-level BPE parts a text before every single space that a word follows, so
-    the ids of a text are those of its space-parted pieces, one after the other. Each
-    piece is encoded by the library once and remembered. Texts where a space stands
-    before white space or at the end go to the library whole.
+    A byte-level BPE parts a text before every single space or line end that stands
+    between two other characters, and a piece's ids don't depend on its neighbours. The
+    pieces of a batch that are not known yet are encoded by the library in two long
+    texts, with line ends between them, and remembered. Texts with white space side by
+    side or at an end go to the library whole.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -137,36 +139,55 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.kind = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
         self.end = np.array([end_id], self.kind).tobytes()
         self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def pieces(text: str) -> list[str] | None:
-        parts = text.split(" ")
-        if len(parts) < 2 or "" in parts[1:] or any(p[0].isspace() for p in parts[1:]):
-            return None
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        line = self._ids(["\n"])[0]
+        self.line = line[0] if len(line) == 1 else None
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Pieces begin with a line end, or stand for a space and themselves."""
+        single, heads, words = [], [], []
+        for p in new:
+            (single if self.line is None or _SPACE.search(p, 1) else heads if p[0] == "\n" else words).append(p)
+        for lead, plain in (("\n", heads), (" ", words)):
+            if plain:
+                ids = self._ids(["".join(plain) if lead == "\n" else "\n " + "\n ".join(plain)])[0]
+                at = np.flatnonzero(ids == self.line)
+                if len(at) == len(plain):
+                    data, width, skip = ids.tobytes(), self.kind.itemsize, 0 if lead == "\n" else 1
+                    ends = [*at[1:].tolist(), len(ids)]
+                    self.known.update((p, data[(s + skip) * width:e * width]) for p, s, e in zip(plain, at.tolist(), ends, strict=True))
+                else:
+                    single += plain
+        for p, ids in zip(single, self._ids([p if p[0] == "\n" else " " + p for p in single]), strict=True):
+            self.known[p] = ids.tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text and the end id."""
+        whole = {i: t for i, t in enumerate(texts) if t and (_SIDE.search(t) or " " not in t)}
+        parted = {i: t.replace("\n", " \n").split(" ") for i, t in enumerate(texts) if t and i not in whole}
+        new = set().union(*(parts[1:] for parts in parted.values()))
+        new.difference_update(self.known)
+        if new and len(self.known) + len(new) > MEMORY:
+            self.known.clear()
+            new = set().union(*(parts[1:] for parts in parted.values()))
+        self._learn(list(new))
+        whole |= {i: parts[0] for i, parts in parted.items()}
+        heads = dict(zip(whole, self._ids(list(whole.values())), strict=True))
+        get = self.known.__getitem__
+        return [self.end if not t else heads[i].tobytes() + (b"".join(map(get, parted[i][1:])) if i in parted else b"") + self.end for i, t in enumerate(texts)]
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return self.end
-        parts = self.pieces(text)
-        if parts is None:
-            return self._library([text])[0] + self.end
-        known = self.known
-        new = list({p for p in parts if p not in known})
-        if new:
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list(set(parts))
-            known.update(zip(new, self._library(new), strict=True))
-        return b"".join([known[p] for p in parts]) + self.end
+        return self.encode_all([text])[0]
+
 
+#: White space as either side knows it, and white space beside white space or at an end.
+_SPACE = re.compile(r"\s")
+_SIDE = re.compile(r"\s(?:\s|\Z)|\A\s")
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
@@ -200,7 +221,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     def encode(batches):
         e = encoder(tokenizer, end_id)
         for batch in batches:
-            data = [e.encode(t) for t in batch.column(1).to_pylist()]
+            data = e.encode_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["id", "ids"])
 
     def place(batches):
