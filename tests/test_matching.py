@@ -1,10 +1,15 @@
-"""Exclusive matching against plain sequential versions, on random and skewed fixtures."""
+"""Exclusive matching on random and skewed fixtures.
+
+The result is pinned down by a property, checked for each left row on its own: its
+match is what it would choose from the candidates that no earlier row holds. Choices
+are stated as filters and sort orders over pandas tables.
+"""
 
 import random
 from datetime import date, timedelta
 from decimal import Decimal
 
-import brute
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +21,37 @@ from tallyweave.sources import documents
 BASE = date(2024, 1, 10)
 
 
+def is_serial(order: list, rights: pd.DataFrame, got: dict, choose) -> bool:
+    """Every row of ``order`` has what ``choose`` picks among the ``rights`` that earlier rows left over."""
+    held = [got[k] for k in order if k in got]
+    assert len(held) == len(set(held)) and set(got) <= set(order)
+    for n, left in enumerate(order):
+        gone = {got[k] for k in order[:n] if k in got}
+        want = choose(left, rights[~rights.index.isin(gone)])
+        assert got.get(left) == want, (left, got.get(left), want)
+    return True
+
+
+def best(candidates: pd.DataFrame, score: str = "score"):
+    """Highest score, then lowest id."""
+    return None if candidates.empty else candidates.sort_values(score, ascending=False, kind="stable").index[0]
+
+
+def reconciled(txs, docs, got) -> bool:
+    rights = pd.DataFrame(docs).set_index("id").sort_index()
+    rights["doc"] = rights.get("doc")
+    left = {t["id"]: t for t in txs}
+
+    def choose(i, free):
+        t = left[i]
+        near = free[((free.cents.abs() - abs(t["cents"])).abs() <= 2) & ((free.day - t["day"]).abs() <= 3)]
+        return best(near.assign(score=(near.doc == t.get("doc")) & near.doc.notna()))
+
+    for k, (r, score) in got.items():
+        assert score == (1.0 if left[k].get("doc") and left[k].get("doc") == rights.doc[r] else 0.7)
+    return is_serial(sorted(left), rights, {k: v[0] for k, v in got.items()}, choose)
+
+
 def money(c):
     return Decimal(c).scaleb(-2)
 
@@ -45,7 +81,7 @@ def test_reconcile_random(spark, seed, cents, days, parties):
     row = lambda i: {"id": i, "cents": 1000 + r.randrange(cents), "day": r.randrange(days), "doc": r.choice([None, doc(r.randrange(1, parties))])}
     ids = r.sample(range(10_000), 240)
     txs, docs = [row(i) for i in ids[:120]], [row(i) for i in sorted(ids[120:])]
-    assert recon(spark, txs, docs) == brute.reconcile(txs, docs)
+    assert reconciled(txs, docs, recon(spark, txs, docs))
 
 
 def test_reconcile_one_hot_amount(spark):
@@ -57,7 +93,8 @@ def test_reconcile_one_hot_amount(spark):
     docs += [{"id": 200_000 + i, "cents": 9001 + 10 * i, "day": i % 20} for i in range(300)]
     left, lists = reconcile.preference_lists(*tx_frames(spark, txs, docs))
     got = {x.left_id: x.right_id for x in greedy_assign(left, lists, max_rounds=3).collect()}
-    want = {k: v[0] for k, v in brute.reconcile(txs, docs).items()}
+    hot, rest = [t["id"] for t in txs[:700]], range(200_000, 200_300)
+    want = dict(zip(sorted(hot), sorted(d["id"] for d in docs[:650]), strict=False)) | {i: i for i in rest}
     assert got == want and len(got) == 950
 
 
@@ -68,7 +105,7 @@ def test_reconcile_hot_amount_with_tax_ids(spark):
     r.shuffle(people)
     docs = [{"id": 1000 + i, "cents": 5000, "day": 3, "doc": doc(p)} for i, p in enumerate(people)]
     got = recon(spark, txs, docs)
-    assert got == brute.reconcile(txs, docs)
+    assert reconciled(txs, docs, got)
     assert all(s == 1.0 for _, s in got.values())
 
 
@@ -96,6 +133,11 @@ def test_result_does_not_depend_on_partitioning(spark):
     assert len({x.tx_id for x in a}) == len(a) == len({x.fiscal_id for x in a})
 
 
+def plain(name):
+    """Letters and digits of a name, without accents."""
+    return None if name is None else "".join(c for c in name.translate(str.maketrans("ÇÃ", "CA")) if c.isalnum())
+
+
 NAMES = ["ANA LIMA", "JOAO SILVA", "LOJA", "LOJA AZUL", "AZUL", "MARIA JOSE", "ÇÃO PAULO", "XYZ"]
 
 
@@ -106,16 +148,38 @@ def test_receipts_random(spark, seed, named):
     docs = [{"id": 1000 + i, "cents": 1000 + r.randrange(12), "day": r.randrange(20), "model": r.choice(["55", "65"]),
              "name": r.choice(NAMES) if r.random() < named else None, "pdf": r.random() < 0.4} for i in range(80)]
     e = spark.createDataFrame(
-        [(x["id"], x["cents"], x["day"], x["client"], None if x["client"] is None else brute.norm(x["client"])) for x in entries],
+        [(x["id"], x["cents"], x["day"], x["client"], plain(x["client"])) for x in entries],
         "left_id long, cents long, day int, client string, cname string")
     d = spark.createDataFrame(
         [(x["id"], x["cents"], x["day"], x["name"], x["model"], f"p{x['id']}" if x["pdf"] else None, f"x{x['id']}",
-          None if x["name"] is None else brute.norm(x["name"])) for x in docs],
+          plain(x["name"])) for x in docs],
         "right_id long, cents long, day int, receiver string, doc_model string, pdf_path string, xml_path string, dname string")
     m = links.match_receipts(e, d)
     att = links.receipt_attachments(m, d).where("file_type = 'xml'").collect()
     got = {a.entry_id: (int(a.file_path[1:]), a.match_score) for a in att}
-    assert got == brute.receipts(entries, docs)
+    rights = pd.DataFrame(docs).set_index("id")
+    rights["score"] = 0.7 + 0.05 * rights["pdf"]
+    left = {x["id"]: x for x in entries}
+
+    def goes(a, b):
+        return min(len(a), len(b)) >= 4 and (a in b or b in a)
+
+    def reach(i, free):
+        return free[((free.cents - left[i]["cents"]).abs() <= 5) & ((free.day - left[i]["day"]).abs() <= 7)]
+
+    def choose(i, free):
+        near, client = reach(i, free), plain(left[i]["client"])
+        bare = near["name"].isna()
+        if client is None:
+            return best(near.assign(score=near.score + 0.05 * (bare & (near.model == "65"))))
+        named = near[[x is not None and goes(plain(x), client) for x in near["name"].where(~bare, None)]]
+        return best(named) if len(named) else near[bare].index[0] if bare.sum() == 1 else None
+
+    assert is_serial(sorted(left), rights, {k: v[0] for k, v in got.items()}, choose)
+    for k, (r, score) in got.items():
+        own, d = left[k]["client"], rights.loc[r]
+        base = 0.95 if own and isinstance(d["name"], str) else 0.75 if not isinstance(d["name"], str) and d.model == "65" else 0.7
+        assert score == round(base + 0.05 * d["pdf"], 2)
 
 
 def test_receipts_pool(spark):
@@ -131,36 +195,55 @@ def test_receipts_pool(spark):
 def test_files_random(spark, seed):
     r = random.Random(seed)
     people = ["ANA LIMA", "JOAO SILVA", "BDFGKL LTDA", "BDFGKL SA", "AZUL"]
-    day = lambda: BASE + timedelta(r.randrange(14))
+    day = lambda: r.randrange(14)
+    shown = lambda d, form: (BASE + timedelta(d)).strftime(form)
     entries, files = [], []
     for i in range(60):
-        cp = r.choice(people + [None])
-        entries.append({"id": i, "cents": 1000 + r.randrange(25), "date": day(), "cp": cp, "bank": r.choice(["a", "b"]),
+        entries.append({"id": i, "cents": 1000 + r.randrange(25), "day": day(), "cp": r.choice([*people, None]), "bank": r.choice(["a", "b"]),
                         "desc": r.choice(["PIX ENVIADO", "BOLETO ANA LIMA", "DIVERSOS"])})
     for i in range(55):
-        dd, c = day(), 1000 + r.randrange(25)
+        d, c, who, kind = day(), 1000 + r.randrange(25), r.choice(people), r.randrange(4)
         amount = f"{c // 100},{c % 100:02d}"
-        name = r.choice([
-            f"{i} - {dd:%d%m%Y} - Pagamento - {amount}.pdf",
-            f"{i} - {dd + timedelta(9):%d%m%Y} - {r.choice(people)} - {amount}.pdf",
-            f"PIX_{dd:%Y-%m-%d}_{r.choice(people)}.pdf",
-            f"{i} - {dd:%d%m%Y} - {r.choice(people)} {day():%Y%m%d} - {amount}.pdf",
-            f"{r.choice(people)} recibo {i}.pdf",
-        ])
-        files.append({"id": 500 + i, "name": name, "bank": r.choice(["a", "b", None])})
+        f = {"id": 500 + i, "bank": r.choice(["a", "b", None]), "cents": None, "slip_day": None, "iso": None, "who": None}
+        if kind == 0:
+            f |= {"name": f"{i} - {shown(d, '%d%m%Y')} - Pagamento - {amount}.pdf", "cents": c, "slip_day": d}
+        elif kind == 1:
+            f |= {"name": f"{i} - {shown(d + 9, '%d%m%Y')} - {who} - {amount}.pdf", "cents": c, "slip_day": d + 9}
+        elif kind == 2:
+            f |= {"name": f"PIX{i}_{shown(d, '%Y-%m-%d')}_{who}.pdf", "iso": d, "who": plain(who)}
+        else:
+            f |= {"name": f"{who} recibo {i}.pdf"}
+        files.append(f)
     led = spark.createDataFrame(
-        [(e["id"], e["date"], e["desc"], e["cp"], e["bank"], money(e["cents"])) for e in entries],
+        [(e["id"], BASE + timedelta(e["day"]), e["desc"], e["cp"], e["bank"], money(e["cents"])) for e in entries],
         "entry_id long, entry_date date, description string, counterparty string, bank_account_id string, amount decimal(18,2)")
     fl = spark.createDataFrame(
         [(f["id"], "COMPROVANTES/" + f["name"], f["name"], f["bank"], 10) for f in files],
         "file_id long, path string, file_name string, bank_account_id string, size long",
     ).withColumn("kind", F.lit("comprovante")).withColumn("ext", F.lit(".pdf"))
-    got = {a.entry_id: (a.file_path.split("/")[1], round(a.match_score, 2)) for a in links.file_attachments(led, fl).collect()}
-    for e in entries:
-        e["day"] = e["date"].toordinal()
-    names = {f["id"]: f["name"] for f in files}
-    want = {k: (names[v[0]], v[1]) for k, v in brute.attach(entries, files).items()}
-    assert got == want and len(want) > 15
+    names = {f["name"]: f["id"] for f in files}
+    got = {a.entry_id: (names[a.file_path.split("/")[1]], round(a.match_score, 2)) for a in links.file_attachments(led, fl).collect()}
+    rights, left, scores = pd.DataFrame(files).set_index("id"), {e["id"]: e for e in entries}, {}
+    rights["plain"] = rights["name"].map(plain).str.upper()
+
+    def goes(a, b):
+        return bool(a) and bool(b) and (a in b or b in a or a[:6] == b[:6])
+
+    def choose(i, free):
+        e = left[i]
+        value = (free.cents - e["cents"]).abs() <= 5
+        away = (free.slip_day - e["day"]).abs()
+        dated = (free.iso - e["day"]).abs() <= 2
+        payer = [goes(w, plain(e["cp"] or e["desc"])) for w in free.who.where(free.who.notna(), None)]
+        named = [goes(n, plain(e["cp"])) or goes(n, plain(e["desc"])) for n in free.plain]
+        s = pd.Series(0.0, free.index).mask(pd.Series(named, free.index) & value, 0.8).mask(pd.Series(payer, free.index) & dated, 0.75)
+        s = s.mask(value & (away <= 2), 0.9).mask(value & (away == 0), 1.0)
+        s = (s + 0.05 * (free.bank == e["bank"])).round(2)
+        scores[i] = s
+        return best(free.assign(score=s)[s > 0.5])
+
+    assert is_serial(sorted(left), rights, {k: v[0] for k, v in got.items()}, choose) and len(got) > 15
+    assert all(scores[k][f] == s for k, (f, s) in got.items())
 
 
 @pytest.mark.parametrize("seed,days,n,m", [(1, 8, 20, 30), (2, 30, 25, 25), (3, 12, 40, 20), (4, 40, 20, 34)])
@@ -175,7 +258,26 @@ def test_fuel_random(spark, seed, days, n, m):
     epoch = (BASE - date(1970, 1, 1)).days
     e = spark.createDataFrame([(x["id"], epoch + x["day"], x["minute"]) for x in entries], "entry_id long, day int, minute int")
     got = {x.doc_id: (x.entry_id, x.score) for x in links.match_fuel(d, e).collect()}
-    assert got == brute.fuel(docs, entries)
+    rights, left, scores = pd.DataFrame(entries).set_index("id"), {x["id"]: x for x in docs}, {}
+    rights["minute"] = rights["minute"].astype(float)
+
+    def choose(i, free):
+        doc = left[i]
+        if doc["day"] is None:
+            return None
+        here, beside = free[free.day == doc["day"]], free[(free.day - doc["day"]).abs() == 1]
+        gap = (here.minute - (float("nan") if doc["minute"] is None else doc["minute"])).abs()
+        graded = pd.Series(0.7, here.index).mask(gap <= 120, 0.85).mask(gap <= 30, 0.98)
+        if len(here) == 1:
+            graded[:] = 0.95
+        elif here.empty and len(beside) == 1:
+            here, graded = beside, pd.Series(0.6, beside.index)
+        scores[i] = graded
+        return best(here.assign(score=graded)) if len(graded) else None
+
+    order = sorted(left, key=lambda i: (left[i]["day"] is not None, left[i]["day"] or 0, i))
+    assert is_serial(order, rights, {k: v[0] for k, v in got.items()}, choose)
+    assert all(scores[k][x] == s for k, (x, s) in got.items())
 
 
 def test_fuel_scores(spark):
