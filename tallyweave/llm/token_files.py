@@ -29,8 +29,8 @@ from tallyweave.session import cut
 
 MAGIC = b"TOKEF01\n"
 END_ID = 0
-#: Pieces of text with known ids that a worker remembers.
-MEMORY = 700_000
+#: Runs with known ids that a worker remembers.
+MEMORY = 800_000
 #: Ids that a reader holds at once, about.
 READ_IDS = 4 << 20
 _STEP = 4096
@@ -124,11 +124,10 @@ class Shard:
 class Encoder:
     """Ids of texts by a file of the tokenizers library.
 
-    A byte-level BPE parts a text before every single space or line end that stands
-    between two other characters, and a piece's ids don't depend on its neighbours. The
-    pieces of a batch that are not known yet are encoded by the library in two long
-    texts, with line ends between them, and remembered. Texts with white space side by
-    side or at an end go to the library whole.
+    A byte-level BPE merges only inside runs of letters, numbers, symbols or white space,
+    so a text's ids are those of its runs. The library's model encodes each new run, and
+    its ids are remembered. Texts with characters that libraries might class differently
+    go to the library whole.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -139,55 +138,49 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.kind = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
         self.end = np.array([end_id], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
-        line = self._ids(["\n"])[0]
-        self.line = line[0] if len(line) == 1 else None
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.runs: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
-        """Pieces begin with a line end, or stand for a space and themselves."""
-        single, heads, words = [], [], []
-        for p in new:
-            (single if self.line is None or _SPACE.search(p, 1) else heads if p[0] == "\n" else words).append(p)
-        for lead, plain in (("\n", heads), (" ", words)):
-            if plain:
-                ids = self._ids(["".join(plain) if lead == "\n" else "\n " + "\n ".join(plain)])[0]
-                at = np.flatnonzero(ids == self.line)
-                if len(at) == len(plain):
-                    data, width, skip = ids.tobytes(), self.kind.itemsize, 0 if lead == "\n" else 1
-                    ends = [*at[1:].tolist(), len(ids)]
-                    self.known.update((p, data[(s + skip) * width:e * width]) for p, s, e in zip(plain, at.tolist(), ends, strict=True))
-                else:
-                    single += plain
-        for p, ids in zip(single, self._ids([p if p[0] == "\n" else " " + p for p in single]), strict=True):
-            self.known[p] = ids.tobytes()
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text and the end id."""
-        whole = {i: t for i, t in enumerate(texts) if t and (_SIDE.search(t) or " " not in t)}
-        parted = {i: t.replace("\n", " \n").split(" ") for i, t in enumerate(texts) if t and i not in whole}
-        new = set().union(*(parts[1:] for parts in parted.values()))
-        new.difference_update(self.known)
-        if new and len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = set().union(*(parts[1:] for parts in parted.values()))
-        self._learn(list(new))
-        whole |= {i: parts[0] for i, parts in parted.items()}
-        heads = dict(zip(whole, self._ids(list(whole.values())), strict=True))
-        get = self.known.__getitem__
-        return [self.end if not t else heads[i].tobytes() + (b"".join(map(get, parted[i][1:])) if i in parted else b"") + self.end for i, t in enumerate(texts)]
+        size, tokenize = self.kind.itemsize, self.model.tokenize
+        for run in new:
+            shown = run.encode().decode("latin-1").translate(_BYTE_CHARS)
+            self.runs[run] = b"".join([t.id.to_bytes(size, "little") for t in tokenize(shown)])
 
     def encode(self, text: str | None) -> bytes:
-        return self.encode_all([text])[0]
+        """Ids of a text and the end id."""
+        if not text:
+            return self.end
+        if _FAR.search(text):
+            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            return np.array(ids, self.kind).tobytes() + self.end
+        runs, known = _RUNS.findall(text), self.runs
+        try:
+            return b"".join(map(known.__getitem__, runs)) + self.end
+        except KeyError:
+            new = {r for r in runs if r not in known}
+        if len(known) + len(new) > MEMORY:
+            known.clear()
+            new = set(runs)
+        self._learn(list(new))
+        return b"".join(map(known.__getitem__, runs)) + self.end
+
+
+#: Fixed value: the runs that a byte-level BPE of this kind merges inside. Up to U+024F, and without
+#: the superscripts, fractions and controls of ``_FAR``, these classes are the tokenizer's own.
+_RUNS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_FAR = re.compile("[^\x00-\u024f]|[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe]")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The printable character that stands for each byte: itself where it has one, else the next from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
 
 
-#: White space as either side knows it, and white space beside white space or at an end.
-_SPACE = re.compile(r"\s")
-_SIDE = re.compile(r"\s(?:\s|\Z)|\A\s")
+_BYTE_CHARS = _byte_chars()
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
@@ -221,7 +214,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     def encode(batches):
         e = encoder(tokenizer, end_id)
         for batch in batches:
-            data = e.encode_all(batch.column(1).to_pylist())
+            data = [e.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["id", "ids"])
 
     def place(batches):

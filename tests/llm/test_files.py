@@ -43,8 +43,8 @@ def library():
 def test_pieces_encode_as_the_library_does():
     t, e = library(), tf.Encoder(TOKENIZER)
     draw = random.Random(2)
-    alphabet = ["a", "th", " ", " ", "  ", "\n", "\t", "é", " ", "1", "'s", "!", "<|endoftext|>", "𝒳", " ", "\x1c", "\x85", "Don't"]
-    for _ in range(3000):
+    alphabet = ["a", "th", " ", " ", "  ", "\n", "\t", "é", " ", "1", "'s", "!", "<|endoftext|>", "𝒳", " ", "\x1c", "\x85", "Don't", "²", "_", "ª", "½x", "ŉ", "ǅ", "ß", "\r\n", "\x0b", "·", "÷", "\xad", "ʹ", "٣", "9"]
+    for _ in range(6000):
         text = "".join(draw.choice(alphabet) for _ in range(draw.randrange(1, 14)))
         want = np.array([*t.encode(text, add_special_tokens=False).ids, 0], e.kind).tobytes()
         assert e.encode(text) == want, repr(text)
