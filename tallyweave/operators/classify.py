@@ -5,8 +5,9 @@ that users keep in any table. Two ways to apply them give the same result:
 
 * ``classify``: rules known when the plan is built are folded into one CASE
   column. It short-circuits at the first hit and needs no shuffle.
-* ``classify_by_table``: a rule table of any length joined in as an array of
-  structs; the array is one broadcast row, checked against ``MAX_BROADCAST_RULES``.
+* ``classify_by_table``: a rule table of any length, read in blocks of ``RULE_BLOCK``
+  rules; each block is one CASE of literal patterns, and rows that an earlier block
+  took are not looked at again.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallyweave.functions.dates import month_of
 from tallyweave.functions.text import _c
 from tallyweave.schemas import CATCH_ALL, RULES
+from tallyweave.session import once
 
-MAX_BROADCAST_RULES = 20_000
+RULE_BLOCK = 200
 VERIFY = "a_verificar"  # fixed value: nature whose rows wait for review
 UNCLASSIFIED = "Não classificado ⚠️"  # fixed value: category of rows no rule takes
 
@@ -95,8 +97,11 @@ def _pattern(p: str, whole_words: bool) -> str:
     return rf"(?iu)\b(?:{p})\b" if whole_words else f"(?iu){p}"
 
 
-def classify_column(rows: list[tuple[int, str, str, str, str]], text: Column, whole_words: bool = False) -> Column:
-    """One CASE over the rule list: struct of category, counter_account, status."""
+HIT = "struct<category:string,counter_account:string,status:string>"
+
+
+def classify_column(rows: list[tuple[int, str, str, str, str]], text: Column, whole_words: bool = False, otherwise: Column | None = None) -> Column:
+    """One CASE over the rule list: struct of category, counter_account, status; ``otherwise`` where no rule fits."""
 
     def hit(category: str, account: str, nature: str) -> Column:
         status = "manual_review" if nature == VERIFY else "matched"
@@ -104,7 +109,7 @@ def classify_column(rows: list[tuple[int, str, str, str, str]], text: Column, wh
             F.lit(category).alias("category"), F.lit(account).alias("counter_account"), F.lit(status).alias("status")
         )
 
-    out = hit(UNCLASSIFIED, CATCH_ALL, VERIFY)
+    out = hit(UNCLASSIFIED, CATCH_ALL, VERIFY) if otherwise is None else otherwise
     for _, p, category, account, nature in sorted(rows, reverse=True):
         out = F.when(text.rlike(_pattern(p, whole_words)), hit(category, account, nature)).otherwise(out)
     return out
@@ -122,25 +127,27 @@ def classify(
 
 
 def classify_by_table(tx: DataFrame, rules: DataFrame) -> DataFrame:
-    """As ``classify`` for a rule table. The first match is found inside an array, so rows never multiply."""
-    n = rules.count()
-    if n > MAX_BROADCAST_RULES:
-        raise ValueError(f"{n} rules exceed the broadcast bound of {MAX_BROADCAST_RULES}")
-    packed = rules.agg(
-        F.sort_array(F.collect_list(F.struct("priority", "pattern", "category", "counter_account", "nature"))).alias("_rules")
-    )
-    first = F.get(F.filter("_rules", lambda r: F.regexp_like(haystack(), F.concat(F.lit("(?iu)"), r["pattern"]))), 0)
-    return (
-        tx.crossJoin(F.broadcast(packed))  # one row
-        .withColumn("_hit", first)
-        .withColumn("category", F.coalesce("_hit.category", F.lit(UNCLASSIFIED)))
-        .withColumn("counter_account", F.coalesce("_hit.counter_account", F.lit(CATCH_ALL)))
-        .withColumn(
-            "status",
-            F.when(F.col("_hit").isNull() | (F.col("_hit.nature") == VERIFY), "manual_review").otherwise("matched"),
-        )
-        .drop("_rules", "_hit")
-    )
+    """As ``classify`` for a rule table of any length.
+
+    Patterns become literals, compiled once for a task, and a row passes through the
+    blocks until one takes it. Each block is a generator, so no later block repeats it.
+    """
+    ordered = rules.select("priority", "pattern", "category", "counter_account", "nature").orderBy("priority", "pattern")
+    out = once(tx, _hay=haystack(), _hit=F.lit(None).cast(HIT))
+    block: list[tuple[int, str, str, str, str]] = []
+
+    def through(df: DataFrame) -> DataFrame:
+        case = classify_column(block, F.col("_hay"), otherwise=F.lit(None).cast(HIT))
+        return once(df, _hit=F.when(F.col("_hit").isNull(), case).otherwise(F.col("_hit")))
+
+    for r in ordered.toLocalIterator():
+        block.append(tuple(r))
+        if len(block) == RULE_BLOCK:
+            out, block = through(out), []
+    if block:
+        out = through(out)
+    last = F.struct(F.lit(UNCLASSIFIED).alias("category"), F.lit(CATCH_ALL).alias("counter_account"), F.lit("manual_review").alias("status"))
+    return out.withColumn("_hit", F.coalesce("_hit", last)).select(*[F.col(f"`{c}`") for c in tx.columns], "_hit.category", "_hit.counter_account", "_hit.status")
 
 
 def post_double_entry(classified: DataFrame, bank_coa: str = "bank_coa") -> DataFrame:

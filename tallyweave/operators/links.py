@@ -148,14 +148,14 @@ def receipt_lists(entries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
 RECEIPT_SCORES = {0: 1.0, 1: 0.95, 10: 0.8, 11: 0.75, 12: 0.7}
 
 
-def match_receipts(entries: DataFrame, docs: DataFrame, max_passes: int = 1000) -> DataFrame:
+def match_receipts(entries: DataFrame, docs: DataFrame) -> DataFrame:
     """Exclusive receipt-invoice matches.
 
     A named payer without a matching name left takes a nameless invoice only
     when exactly one is left in reach at its turn. Whether that holds depends
     on what earlier payers took, so the choices are repeated until they agree
     with the matches they produce. Each pass settles at least the earliest
-    payer still wrong, and an agreeing state is the sequential result.
+    payer still wrong, so the passes end, and an agreeing state is the sequential result.
     """
     entries, docs = cut(entries, "receipt-entries"), cut(docs, "receipt-docs")
     left_lists, lists, nameless = (cut(x, "receipts") for x in receipt_lists(entries, docs))
@@ -164,7 +164,7 @@ def match_receipts(entries: DataFrame, docs: DataFrame, max_passes: int = 1000)
         F.count("*").alias("n"), F.sum(F.col("right_id").cast("decimal(38,0)")).alias("ids"))
     asks = cut(asks.join(totals, "list_id"), "asks")
     choice = asks.where("n = 1").select("left_id", F.col("ids").cast("long").alias("right_id"))
-    for _ in range(max_passes):
+    while True:
         choice = cut(choice, "choice")
         own = F.concat(F.lit("x|"), F.col("left_id").cast("string"))
         matches = cut(
@@ -189,7 +189,6 @@ def match_receipts(entries: DataFrame, docs: DataFrame, max_passes: int = 1000)
         if again.exceptAll(choice).limit(1).count() == 0 and choice.exceptAll(again).limit(1).count() == 0:
             return matches
         choice = again
-    raise RuntimeError("receipt choices did not settle")
 
 
 def receipt_candidates(entries: DataFrame, docs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tallyweave.operators.ranking import WIDTH, ranked, running
+from tallyweave.operators.ranking import ranked, running
 from tallyweave.session import cut
 
 BLOCK = 256  # list positions per join key
@@ -43,36 +43,30 @@ CHUNK = 5_000  # left rows per chunk
 EDGE = "left_id long, tier int, right_id long, list_id string, chunk long"
 
 
-def _chunks(left_lists: DataFrame, chunk: int) -> tuple[DataFrame | None, int]:
-    """``left_id, chunk`` and the number of chunks; no table when one chunk holds all.
+def _chunks(left_lists: DataFrame, chunk: int) -> DataFrame:
+    """``left_id, chunk``.
 
     Places are hashed onto enough chunks for an even share each; a place with
     more rows than one chunk holds is spread over several by salt.
     """
-    n = left_lists.select("left_id").distinct().count()
-    if n <= chunk:
-        return None, 1
     place = F.col("place") if "place" in left_lists.columns else F.lit(None).cast("string")
     lefts = cut(left_lists.groupBy("left_id").agg(F.coalesce(F.min(place), F.lit("")).alias("place")), "lefts")
-    total = -(-n // chunk)
+    total = max(1, -(-lefts.count() // chunk))
     crowded = lefts.groupBy("place").agg(F.ceil(F.count("*") / chunk).cast("long").alias("_salts"))
     salted = lefts.join(crowded, "place").withColumn("_salt", F.pmod(F.xxhash64("left_id"), F.col("_salts")))
-    return salted.select("left_id", F.pmod(F.xxhash64("place", "_salt"), F.lit(total)).alias("chunk")), total
+    return salted.select("left_id", F.pmod(F.xxhash64("place", "_salt"), F.lit(total)).alias("chunk"))
 
 
-def _cursors(left_lists: DataFrame, sizes: DataFrame, chunks: DataFrame | None) -> DataFrame:
+def _cursors(left_lists: DataFrame, sizes: DataFrame, chunks: DataFrame) -> DataFrame:
     """Where each left row starts on each of its lists."""
-    rows = left_lists.count()
     mine = left_lists.select("left_id", "tier", "list_id").join(sizes, "list_id")
     per_left = W.partitionBy("left_id")
     mine = mine.withColumn("_first", F.min("tier").over(per_left))
     firsts = F.count_if(F.col("tier") == F.col("_first")).over(per_left)
     starts_here = ((F.col("tier") == F.col("_first")) & (firsts == 1)).cast("long")
     mine = mine.select("left_id", "tier", "list_id", "size", starts_here.alias("_s"))
-    mine = mine.withColumn("chunk", F.lit(0).cast("long")) if chunks is None else mine.join(chunks, "left_id")
-    if rows > WIDTH:
-        mine = cut(mine, "cursors")
-    counted = running(mine, ["list_id"], "left_id", {"before": F.col("_s")}, rows=rows)
+    mine = cut(mine.join(chunks, "left_id"), "cursors")
+    counted = running(mine, ["list_id"], "left_id", {"before": F.col("_s")})
     return cut(
         counted.select("left_id", "chunk", "tier", "list_id", "size", (F.col("before") + 1).cast("long").alias("next")), "cursors")
 
@@ -148,13 +142,11 @@ def greedy_assign(
     ``max_rounds`` only guards tests against a loop that does not end; reaching
     it raises. Progress is sure: each round refuses or draws at least one row.
     """
-    raw = cut(lists, "raw-lists")
-    numbered = ranked(raw, ["list_id"], "right_id", rows=raw.count())
+    numbered = ranked(cut(lists, "raw-lists"), ["list_id"], "right_id")
     lists = cut(numbered.withColumn("block", F.floor((F.col("pos") - 1) / BLOCK)), "lists")
     sizes = lists.groupBy("list_id").agg(F.max("pos").alias("size"))
     left_lists = cut(left_lists, "left-lists")
-    chunks, parts = _chunks(left_lists, chunk)
-    cursors = _cursors(left_lists, sizes, chunks)
+    cursors = _cursors(left_lists, sizes, _chunks(left_lists, chunk))
     window = FIRST_WINDOW
     fresh = edges = cut(_draw(cursors, lists, window), "edges")
     rounds = 0
@@ -163,11 +155,9 @@ def greedy_assign(
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"no fixed point after {max_rounds} rounds")
         edges = _settle(edges)
-        refused = 0
-        if parts > 1:
-            kept = _refuse(edges)
-            refused = edges.count() - kept.count()
-            edges = kept
+        kept = _refuse(edges)
+        refused = edges.count() - kept.count()
+        edges = kept
         moved = cursors if fresh is None else _advance(cursors, fresh)
         idle = moved.where("next <= size").join(edges.select("left_id").distinct(), "left_id", "left_anti")
         window = min(window * 8, LAST_WINDOW)

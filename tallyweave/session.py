@@ -1,13 +1,15 @@
-"""Session defaults and lineage cutting."""
+"""Session defaults, lineage cutting, and columns that are computed once."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "tallyweave", master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -29,12 +31,16 @@ def build_session(app: str = "tallyweave", master: str | None = None, partitions
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests, a laptop) a local folder is made, once per application.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the
+    session runs in this process alone (tests, a laptop) a local folder is made, once per
+    application; on a cluster an unset folder is an error, for executors would each write
+    to a disk of their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return f"{named.rstrip('/')}/tallyweave"
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="tallyweave-")
@@ -49,5 +55,28 @@ def cut(df: DataFrame, label: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_intermediate(spark: SparkSession) -> int:
+    """Delete the tables that ``cut`` has written in this application; returns how many.
+
+    To be called when the results that read them are written.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    return len(paths)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns``, each computed once however often later steps name it.
+
+    A projection is copied into every filter and column that reads it; a generator is not.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], made)

@@ -8,7 +8,7 @@ from tallyweave.functions.dates import parse_br_date
 from tallyweave.functions.money import parse_reais
 from tallyweave.functions.text import _c
 from tallyweave.schemas import MONEY
-from tallyweave.sources.statements import once
+from tallyweave.session import once
 
 _PARTY = "STRUCT<CNPJ: STRING, CPF: STRING, xNome: STRING>"
 _INFO = (

@@ -15,6 +15,7 @@ from tallyweave.functions.filenames import extension
 from tallyweave.functions.money import parse_money
 from tallyweave.functions.text import _c, normalize_space
 from tallyweave.schemas import MONEY
+from tallyweave.session import once
 
 DATE_TEXT = r"\d{2}[./]\d{2}[./]\d{4}"
 SKIPPED = "skipped"  # headers, balance lines, blank values: not data
@@ -47,15 +48,6 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with ``columns``, each computed once however often later steps name it.
-
-    A projection is copied into every filter and column that reads it; a generator is not.
-    """
-    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], made)
-
-
 def _fields(value: Column, sep: str) -> Column:
     """Fields between separators outside double quotes, without quotes and blanks.
 

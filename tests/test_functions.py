@@ -4,7 +4,7 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from tallyweave.functions import accounts as acc, dates, filenames as fn, money, text
 from tallyweave.operators import classify, links, matching, names, overlay, ranking
@@ -130,12 +130,48 @@ def test_invoice_pdf_beside_backslash_paths(spark):
 
 def test_ranks_by_bucket_equal_plain_ranks(spark):
     df = spark.range(500).select((F.col("id") * 7 % 1009).alias("o"), (F.col("id") % 3).alias("k"))
-    a = sorted(ranking.ranked(df, ["k"], "o", width=16).select("k", "o", "pos").collect())
-    b = sorted(ranking.ranked(df, ["k"], "o", rows=500).select("k", "o", "pos").collect())
-    assert a == b
-    a = sorted(ranking.running(df, ["k"], "o", {"s": F.col("o")}, width=16).select("k", "o", "s").collect())
-    b = sorted(ranking.running(df, ["k"], "o", {"s": F.col("o")}, rows=500).select("k", "o", "s").collect())
-    assert a == b
+    w = W.partitionBy("k").orderBy("o")
+    a = sorted(ranking.ranked(df, ["k"], "o").select("k", "o", "pos").collect())
+    assert a == sorted(df.select("k", "o", F.row_number().over(w).cast("long")).collect())
+    a = sorted(ranking.running(df, ["k"], "o", {"s": F.col("o")}).select("k", "o", "s").collect())
+    assert a == sorted(df.select("k", "o", F.coalesce(F.sum("o").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).collect())
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace as NS
+
+    from tallyweave import session
+
+    bare = lambda master: NS(conf=NS(get=lambda k, d=None: None), sparkContext=NS(master=master, applicationId=f"x-{master}"))
+    assert session.work_dir(bare("local[4]")).startswith("/") and session.work_dir(bare("local"))
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            session.work_dir(bare(master))
+
+
+def test_intermediate_tables_are_dropped(spark):
+    import os
+
+    from tallyweave import session
+
+    def tables():
+        return set(os.listdir(session.work_dir(spark)))
+
+    session.drop_intermediate(spark)
+    before = tables()
+    for _ in range(2):
+        left = spark.range(20).select(F.col("id").alias("left_id"), F.lit(0).alias("tier"), F.lit("a").alias("list_id"))
+        right = spark.range(9).select(F.lit("a").alias("list_id"), F.col("id").alias("right_id"))
+        assert matching.greedy_assign(left, right).count() == 9
+        assert session.drop_intermediate(spark) > 5 and tables() == before
+
+
+def test_rule_table_of_any_length(spark):
+    n = 2 * classify.RULE_BLOCK + 7
+    rules = spark.createDataFrame([(i, f"WORD{i}X", f"c{i}", "1", "operacional") for i in range(n)], "priority int, pattern string, category string, counter_account string, nature string")
+    tx = spark.createDataFrame([(i, f"a WORD{n - 1 - i}X WORD{n - 1}X", None) for i in range(n)] + [(n, None, None)], "tx_id long, description string, counterparty string")
+    got = {r.tx_id: r.category for r in classify.classify_by_table(tx, rules).collect()}
+    assert got == {i: f"c{n - 1 - i}" for i in range(n)} | {n: classify.UNCLASSIFIED}
 
 
 def test_matching_in_small_chunks(spark):
