@@ -777,6 +777,18 @@ def _(spark, view, sf):
     return links.invoice_pdfs(view("fiscal"), view("files"))
 
 
+def _serial(choose: str, lists: str) -> str:
+    """Rows of ``p`` (rn from 1 and ``lists``) in turn; ``choose`` names what a row takes of its lists, given the list ``used``."""
+    return f""", step(rn, used, pick) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT)
+  UNION ALL SELECT rn, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick
+   FROM (SELECT p.rn, s.used, {choose} AS pick FROM step s JOIN p ON p.rn = s.rn + 1) z)
+"""
+
+
+def _free(column: str) -> str:
+    return f"list_filter(p.{column}, lambda x: NOT list_contains(s.used, x))"
+
+
 def _receipts(view) -> tuple[DataFrame, DataFrame]:
     return links.client_receipts(view("ledger")), links.receipt_invoices(view("fiscal"), links.invoice_pdfs(view("fiscal"), view("files")))
 
@@ -798,7 +810,23 @@ def _(spark, view, sf):
     return links.receipt_candidates(*_receipts(view))
 
 
-@query("receipt_greedy")
+_RECEIPT_GREEDY = "RECURSIVE" + _RECEIPTS[:_RECEIPTS.index(" dc AS (")] + f""" pd AS ({_PDF_SQL}),
+ dc AS (SELECT f.fiscal_id, total_value, issue_date, counterparty_name AS receiver, {_NORM.format(x='counterparty_name')} AS dn, xml_path, pdf_path,
+   0.7E0 + CASE WHEN pdf_path IS NULL THEN 0 ELSE 0.05E0 END AS plain, counterparty_name IS NULL AND doc_model = '65' AS bare65
+   FROM fiscal f LEFT JOIN pd ON pd.fiscal_id = f.fiscal_id WHERE NOT cancelled AND doc_model IN ('55', '65')),
+ e AS (SELECT en.entry_id, dc.fiscal_id, en.client IS NULL AS open_, receiver IS NULL AS bare, round(plain + CASE WHEN en.client IS NOT NULL AND receiver IS NOT NULL THEN 0.25E0 WHEN bare65 THEN 0.05E0 ELSE 0 END, 2) AS score,
+   CASE WHEN en.client IS NULL THEN true WHEN receiver IS NULL THEN true ELSE length(cn) >= 4 AND length(dn) >= 4 AND (contains(cn, dn) OR contains(dn, cn)) END AS ok
+  FROM en JOIN dc ON abs(en.amount - dc.total_value) <= 0.05 AND abs(date_diff('day', en.entry_date, dc.issue_date)) <= 7),
+ p AS (SELECT entry_id, row_number() OVER (ORDER BY entry_id) AS rn, coalesce(list(fiscal_id ORDER BY score DESC, fiscal_id) FILTER (WHERE open_ OR NOT bare), []) AS docs,
+   coalesce(list(fiscal_id) FILTER (WHERE bare AND NOT open_), []) AS bares FROM e WHERE ok GROUP BY entry_id)""" + _serial(
+    f"coalesce({_free('docs')}[1], CASE WHEN len({_free('bares')}) = 1 THEN {_free('bares')}[1] END)", "docs, bares") + """,
+ m AS (SELECT p.entry_id, fiscal_id, score FROM step JOIN p USING (rn) JOIN e ON e.entry_id = p.entry_id AND e.fiscal_id = pick),
+ rows AS (SELECT m.entry_id, pdf_path AS file_path, 'DANFE — ' AS label, score FROM m JOIN dc USING (fiscal_id) WHERE pdf_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pdf_path ORDER BY m.entry_id, fiscal_id) = 1
+  UNION ALL SELECT m.entry_id, xml_path, 'XML NF-e — ', score FROM m JOIN dc USING (fiscal_id) WHERE xml_path IS NOT NULL)
+ SELECT entry_id, file_path, label || regexp_extract(file_path, '[^/]*$') AS file_name, CASE WHEN score >= 0.9 THEN 'exact' ELSE 'fuzzy' END AS match_type, score AS match_score FROM rows"""
+
+
+@query("receipt_greedy", _RECEIPT_GREEDY, ("ledger", "fiscal", "files"))
 def _(spark, view, sf):
     entries, docs = _receipts(view)
     return links.receipt_attachments(links.match_receipts(entries, docs), docs).select("entry_id", "file_path", "file_name", "match_type", "match_score")
@@ -836,12 +864,30 @@ def _(spark, view, sf):
     return links.deduction_attachments(view("ledger"), _files(view), view("attachments")).select("entry_id", "file_path", "match_score")
 
 
-@query("attach_candidates")
+_ATTACH = f""", fx AS (SELECT file_id, path, bank_account_id AS bank, {_NORM.format(x='file_name')} AS fn,
+   try_strptime(nullif(regexp_extract(file_name, '^[0-9]+ - ([0-9]{{8}}) - [^-]+ - [0-9.,]+', 1), ''), '%d%m%Y')::DATE AS slip_day,
+   CAST(round(CAST(replace(nullif(regexp_extract(file_name, '^[0-9]+ - [0-9]{{8}} - [^-]+ - ([0-9,]+)', 1), ''), ',', '.') AS DECIMAL(18,2)) * 100) AS BIGINT) AS cents,
+   try_strptime(nullif(regexp_extract(file_name, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'), ''), '%Y-%m-%d')::DATE AS iso, {_NORM.format(x="regexp_extract(file_name, '_([^_]+)[.]pdf$', 1)")} AS payee FROM files),
+ ex AS (SELECT entry_id, entry_date AS day, bank_account_id AS bank, CAST(round(abs(amount) * 100) AS BIGINT) AS cents, {_NORM.format(x='counterparty')} AS cn, {_NORM.format(x='description')} AS dn,
+   {_NORM.format(x="coalesce(nullif(counterparty, ''), description)")} AS who FROM ledger),
+ byv AS (SELECT entry_id, file_id, e.bank = f.bank AS own, CASE WHEN slip_day = day THEN 1 WHEN abs(slip_day - day) <= 2 THEN 3 WHEN iso IS NOT NULL AND abs(iso - day) <= 2 THEN NULL
+    WHEN f.cents > 0 AND ({{n1}} OR {{n2}}) THEN 5 END AS tier FROM ex e JOIN fx f ON f.cents BETWEEN e.cents - 5 AND e.cents + 5 WHERE slip_day IS NOT NULL),
+ byd AS (SELECT entry_id, file_id, e.bank = f.bank AS own, CASE WHEN {{n3}} THEN 6 END AS tier FROM ex e JOIN fx f ON f.iso BETWEEN e.day - 2 AND e.day + 2 WHERE f.cents IS NULL OR f.slip_day IS NULL),
+ e AS (SELECT entry_id, file_id, min(tier - coalesce(own, false)::INT) AS tier FROM (SELECT * FROM byv UNION ALL SELECT * FROM byd) z WHERE tier IS NOT NULL GROUP BY ALL),
+ sc AS (SELECT * FROM (VALUES (0, 1.05E0), (1, 1.0E0), (2, 0.95E0), (3, 0.9E0), (4, 0.85E0), (5, 0.8E0), (6, 0.75E0)) v(tier, score))
+"""
+for _k, (_a, _b) in {"n1": ("fn", "cn"), "n2": ("fn", "dn"), "n3": ("payee", "who")}.items():
+    _ATTACH = _ATTACH.replace("{" + _k + "}", f"({_a} <> '' AND {_b} <> '' AND (contains({_a}, {_b}) OR contains({_b}, {_a}) OR left({_a}, 6) = left({_b}, 6)))")
+
+
+@query("attach_candidates", _ATTACH + """SELECT entry_id, file_id, score FROM (SELECT entry_id, min_by(file_id, (tier, file_id)) AS file_id, min(tier) AS tier FROM e GROUP BY entry_id) b JOIN sc USING (tier)""", ("ledger", "files"))
 def _(spark, view, sf):
     return links.file_candidates(links.file_entries(view("ledger")), links.attachable(_files(view)))
 
 
-@query("attach_greedy")
+@query("attach_greedy", "RECURSIVE" + _ATTACH + """, p AS (SELECT entry_id, row_number() OVER (ORDER BY entry_id) AS rn, list(file_id ORDER BY tier, file_id) AS docs FROM e GROUP BY entry_id)"""
+       + _serial(_free("docs") + "[1]", "docs") + """ SELECT p.entry_id, fx.path AS file_path, CASE WHEN score >= 0.95 THEN 'exact' ELSE 'fuzzy' END AS match_type, score AS match_score
+ FROM step JOIN p USING (rn) JOIN e ON e.entry_id = p.entry_id AND e.file_id = pick JOIN sc USING (tier) JOIN fx ON fx.file_id = pick""", ("ledger", "files"))
 def _(spark, view, sf):
     return links.file_attachments(view("ledger"), _files(view)).select("entry_id", "file_path", "match_type", "match_score")
 
@@ -862,13 +908,29 @@ def _(spark, view, sf):
         "doc_id", F.coalesce("s", F.lit(0)).alias("same_day"), F.coalesce("o", F.lit(0)).alias("next_days"))
 
 
-@query("fuel_link")
+_FUEL = f"""RECURSIVE, dt AS (SELECT doc_id, modified AS doc_date, CASE WHEN file_name LIKE 'Scan%' THEN concat(substr(file_name, 15, 2), ':', substr(file_name, 17, 2)) WHEN file_name LIKE 'Digi%' THEN concat(substr(file_name, 23, 2), ':', substr(file_name, 25, 2)) END AS doc_time, file_name FROM fuel_docs),
+ dm AS (SELECT *, CAST(left(doc_time, 2) AS INT) * 60 + CAST(right(doc_time, 2) AS INT) AS minute FROM dt),
+ em AS (SELECT entry_id, entry_date, CAST(regexp_extract(description, '([0-9][0-9]):([0-9][0-9])', 1) AS INT) * 60 + CAST(regexp_extract(description, '([0-9][0-9]):([0-9][0-9])', 2) AS INT) AS minute FROM fuel_spend),
+ sd AS (SELECT doc_id, entry_id, CASE WHEN abs(d.minute - e.minute) <= 30 THEN 0.98E0 WHEN abs(d.minute - e.minute) <= 120 THEN 0.85E0 ELSE 0.7E0 END AS score FROM dm d JOIN em e ON e.entry_date = d.doc_date),
+ nd AS (SELECT doc_id, entry_id FROM dm d JOIN em e ON e.entry_date IN (d.doc_date - 1, d.doc_date + 1)),
+ sl AS (SELECT doc_id, list(entry_id ORDER BY score DESC, entry_id) AS docs FROM sd GROUP BY doc_id),
+ nl AS (SELECT doc_id, list(entry_id) AS near FROM nd GROUP BY doc_id),
+ p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_date, doc_id) AS rn, coalesce(docs, []) AS docs, coalesce(near, []) AS near FROM dm LEFT JOIN sl USING (doc_id) LEFT JOIN nl USING (doc_id) WHERE doc_date IS NOT NULL)""" + _serial(
+    f"coalesce({_free('docs')}[1], CASE WHEN len({_free('near')}) = 1 THEN {_free('near')}[1] END)", "docs, near") + f""",
+ m AS (SELECT p.doc_id, pick AS entry_id, CASE WHEN NOT list_contains(p.docs, pick) THEN 0.6E0 WHEN len(list_filter(p.docs, lambda x: NOT list_contains(s.used, x) OR x = pick)) = 1 THEN 0.95E0 ELSE sd.score END AS score
+   FROM step s JOIN p USING (rn) LEFT JOIN sd ON sd.doc_id = p.doc_id AND sd.entry_id = pick WHERE pick IS NOT NULL),
+ rec AS (SELECT d.doc_id, d.file_name, d.doc_date, d.doc_time, {d('f.amount')} AS amount, f.bank_account_id, m.entry_id, coalesce(f.category, 'Despesa combustível') AS category, coalesce(f.debit_account, '{links.FUEL_DEFAULT_ACCOUNT}') AS debit_account,
+   CASE WHEN m.entry_id IS NULL THEN 'documento' ELSE 'conciliado' END AS status, m.score FROM dm d LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN fuel_spend f ON f.entry_id = m.entry_id)
+"""
+
+
+@query("fuel_link", _FUEL + "SELECT rec.*, coalesce(nullif(f.counterparty, ''), nullif(regexp_replace(f.description, '.*POSTO', 'POSTO'), '')) AS station FROM rec LEFT JOIN fuel_spend f ON f.entry_id = rec.entry_id", ("fuel_docs", "fuel_spend"))
 def _(spark, view, sf):
     docs, entries = _fuel(view)
     return links.fuel_records(docs, entries, links.match_fuel(docs, entries))
 
 
-@query("fuel_stats")
+@query("fuel_stats", _FUEL + "SELECT count(*) AS documents, count(entry_id) AS linked, count(*) - count(entry_id) AS document_only, sum(amount) AS total FROM rec", ("fuel_docs", "fuel_spend"))
 def _(spark, view, sf):
     docs, entries = _fuel(view)
     return reports.receipt_counts(links.fuel_records(docs, entries, links.match_fuel(docs, entries)))
