@@ -173,7 +173,7 @@ def build_ledger(
     scanned = F.col("scanned_coa") if "scanned_coa" in tx.columns else F.lit(None).cast("string")
     with_bank = tx.join(banks, "bank_account_id", "left").withColumn(
         "bank_coa", F.coalesce(scanned, F.col("_coa"), F.col("bank_account_id"))
-    )
+    ).withColumn("signed_amount", F.col("amount"))
     return post_double_entry(classify(with_bank, rows)).select(
         F.col("tx_id").alias("entry_id"),
         "tx_id",
@@ -188,4 +188,5 @@ def build_ledger(
         "amount",
         "debit_account",
         "credit_account",
+        "signed_amount",
     )

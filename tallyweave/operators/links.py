@@ -37,8 +37,16 @@ INBOUND, SLIP, FUEL = "NF entrada — ", "Comprovante PIX — ", "Cupom combust
 INBOUND_FOLDER = r"(?i)NOTAS FISCAL DE ENTRADA"
 
 
-def with_inflow(ledger: DataFrame) -> DataFrame:
-    return ledger.withColumn("inflow", F.col("debit_account") == F.col("bank_coa"))
+def with_flow(ledger: DataFrame) -> DataFrame:
+    """Whether money came in or went out, by ``signed_amount``.
+
+    A ledger without that column (one read back from an export) is judged by which side
+    its bank stands on.
+    """
+    if "signed_amount" in ledger.columns:
+        return ledger.withColumn("inflow", F.col("signed_amount") > 0).withColumn("outflow", F.col("signed_amount") < 0)
+    at_bank = F.col("debit_account") == F.col("bank_coa")
+    return ledger.withColumn("inflow", at_bank).withColumn("outflow", ~at_bank)
 
 
 def invoice_pdfs(fiscal: DataFrame, files: DataFrame) -> DataFrame:
@@ -78,7 +86,7 @@ def client_receipts(ledger: DataFrame, own: list[str] = (), partners: list[str]
     hay = F.concat(F.coalesce("description", F.lit("")), F.lit(" "), F.coalesce("counterparty", F.lit("")))
     own_hit, partner_hit = matches_any(hay, list(own)), matches_any(hay, list(partners))
     return (
-        with_inflow(ledger).where(F.col("inflow") & F.col("category").ilike("%cliente%") & ~own_hit & ~partner_hit)
+        with_flow(ledger).where(F.col("inflow") & F.col("category").ilike("%cliente%") & ~own_hit & ~partner_hit)
         .select(
             F.col("entry_id").alias("left_id"), cents("amount").alias("cents"), day_number("entry_date").alias("day"),
             F.nullif(client_name("description", "counterparty", F.lit(False), F.lit(False)), F.lit("")).alias("client"),
@@ -229,7 +237,7 @@ def supplier_payments(ledger: DataFrame, attached: DataFrame | None = None, vend
     """Outgoing supplier payments with a supplier name and no invoice attached yet."""
     text = F.concat_ws(" ", "description", "counterparty")
     wanted = F.col("category").ilike("%fornecedor%") | matches_any(text, list(vendors))
-    out = with_inflow(ledger).where(~F.col("inflow") & wanted).select(
+    out = with_flow(ledger).where(F.col("outflow") & wanted).select(
         "entry_id", cents("amount").alias("cents"), day_number("entry_date").alias("day"),
         normalize_name(supplier_name("description", "counterparty")).alias("sname"),
     ).where(F.length("sname") >= 3)

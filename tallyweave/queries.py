@@ -411,7 +411,7 @@ _LEDGER_SQL = ", ".join(d(c) + " AS amount" if c == "amount" else c for c in _LE
 
 @query("ledger_build", f"SELECT {_LEDGER_SQL} FROM ledger", ("ledger",))
 def _(spark, view, sf):
-    return classify.build_ledger(view("tx"), view("bank_accounts"), RULE_ROWS)
+    return classify.build_ledger(view("tx"), view("bank_accounts"), RULE_ROWS).drop("signed_amount")
 
 
 @query("double_entry", f"SELECT debit_account, credit_account, count(*) AS n, {d('sum(amount)')} AS total FROM ledger GROUP BY 1, 2", ("ledger",))

@@ -120,6 +120,16 @@ def test_copies_are_told_per_account_and_order(spark):
     assert {r.path for r in statements.first_copies(statements.file_fingerprints(lines)).collect()} == {"p1", "p2", "q1", "q2"}
 
 
+def test_money_in_and_out_by_sign(spark):
+    """A payment whose debit side is its own bank's code still goes out; nothing moves for a zero amount."""
+    rows = [(1, "x", "ACME LTDA", "fornecedor", "B", "B", D(5), D(-5)), (2, "x", "ACME LTDA", "fornecedor", "B", "2.01", D(0), D(0)), (3, "x", "JANE ROE", "cliente", "B", "9", D(5), D(5))]
+    schema = "entry_id long, description string, counterparty string, category string, bank_coa string, debit_account string, amount decimal(18,2), signed_amount decimal(18,2)"
+    led = spark.createDataFrame(rows, schema).withColumn("entry_date", F.lit("2026-06-05").cast("date"))
+    assert [r.entry_id for r in links.supplier_payments(led).collect()] == [1]
+    assert [r.left_id for r in links.client_receipts(led).collect()] == [3]
+    assert {r.entry_id for r in links.supplier_payments(led.drop("signed_amount")).collect()} == {2}
+
+
 def test_invoice_pdf_beside_backslash_paths(spark):
     key = "1" * 44
     fiscal = spark.createDataFrame([(1, rf"\\srv\docs\06\{key}.xml")], "fiscal_id long, xml_path string")
