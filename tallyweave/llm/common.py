@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from tallyweave.session import cut, work_dir
+from tallyweave.operators.ranking import dealt_by_range, places
+from tallyweave.session import work_dir
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,39 +30,9 @@ def id_order(column: str | Column = "doc_id") -> Column:
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("long"), F.lit(LAST_ID))
 
 
-def dealt_by_range(df: DataFrame, *order: Column | str, label: str = "ranges") -> DataFrame:
-    """``df`` cut into ranges of ``order``, written, with the range number in ``_part``.
-
-    A key that fills many rows spans several ranges as long as ``order`` goes on
-    after it, so no task ever holds the whole key. Written once, because the
-    number of a range must not change when a task is repeated.
-    """
-    n = partitions(df.sparkSession)
-    return cut(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), label)
-
-
 def running(df: DataFrame, keys: list[str], order: list[str], sums: list[str], label: str = "running") -> DataFrame:
-    """``df`` with ``before_<x>``: the sum of each long ``x`` over the key's rows that come earlier in ``order``.
-
-    Rows equal in ``order`` count as one place: none of them is before the other;
-    ``same_<x>`` is the sum over that place.
-    Ranges of the rows are summed on their own, and the totals of the ranges, one
-    row for each key and range, are summed in turn.
-    """
-    dealt = dealt_by_range(df, *keys, *order, label=label)
-    totals = dealt.groupBy("_part", *keys).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    base = totals.select("_part", *keys, *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_b_{s}") for s in sums])
-    upto = W.partitionBy("_part", *keys).orderBy(*order).rangeBetween(W.unboundedPreceding, W.currentRow)
-    same = W.partitionBy("_part", *keys, *order)
-    local = dealt.select("*", *[F.sum(s).over(upto).alias(f"_l_{s}") for s in sums], *[F.sum(s).over(same).alias(f"same_{s}") for s in sums])
-    on = ["_part", *keys]
-    base = base.select(*[F.col(k).alias(f"_k_{k}") for k in on], *[f"_b_{s}" for s in sums])
-    match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in on]
-    out = local.join(base, match)
-    for s in sums:
-        out = out.withColumn(f"before_{s}", F.col(f"_l_{s}") - F.col(f"same_{s}") + F.col(f"_b_{s}"))
-    return out.drop("_part", *[f"_k_{k}" for k in on], *[f"_b_{s}" for s in sums], *[f"_l_{s}" for s in sums])
+    """``df`` with ``before_<x>`` and ``same_<x>`` of each long ``x``: see ``ranking.places``."""
+    return places(df, keys, order, sums, label)
 
 
 def first_in_order(df: DataFrame, keys: list[str], order: list[str], label: str = "first") -> DataFrame:
@@ -150,7 +121,9 @@ def filesystem(uri: str):
 
 def batches_by_bytes(batch, column: int, limit: int) -> Iterator:
     """Slices of an Arrow batch whose ``column`` holds about ``limit`` bytes each; one long row stays whole."""
-    sizes = [len(v) if v is not None else 0 for v in batch.column(column).to_pylist()]
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, held = 0, 0
     for i, n in enumerate(sizes):
         if i > start and held + n > limit:

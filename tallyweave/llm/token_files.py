@@ -24,13 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from tallyweave.llm.common import filesystem, id_order, partitions, path_of
+from tallyweave.llm.common import batches_by_bytes, filesystem, id_order, partitions, path_of
 from tallyweave.session import cut
 
 MAGIC = b"TOKEF01\n"
 END_ID = 0
 #: Runs with known ids that a worker remembers.
-MEMORY = 800_000
+MEMORY = 600_000
+#: Text bytes that a worker encodes at once, about.
+PART_BYTES = 4 << 20
 #: Ids that a reader holds at once, about.
 READ_IDS = 4 << 20
 _STEP = 4096
@@ -214,8 +216,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     def encode(batches):
         e = encoder(tokenizer, end_id)
         for batch in batches:
-            data = [e.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["id", "ids"])
+            for part in batches_by_bytes(batch, 1, PART_BYTES):
+                data = [e.encode(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], names=["id", "ids"])
 
     def place(batches):
         for batch in batches:
