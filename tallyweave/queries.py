@@ -151,6 +151,12 @@ def _(spark, view, sf):
         fn.invoice_key("path").alias("invoice_key"))
 
 
+@query("scalar_hashes", "SELECT doc_id, sha1(file_name) AS content, sha1(concat(file_name, CAST(modified AS VARCHAR))) AS id, left(sha1(concat(file_name, CAST(modified AS VARCHAR))), 16) AS short_id FROM fuel_docs", ("fuel_docs",))
+def _(spark, view, sf):
+    id_ = fn.path_id("file_name", "modified")
+    return view("fuel_docs").select("doc_id", fn.content_id("file_name").alias("content"), id_.alias("id"), F.left(id_, F.lit(16)).alias("short_id"))
+
+
 # --- sources ------------------------------------------------------------------
 
 def _brl(x: Column) -> Column:
@@ -535,15 +541,15 @@ def _(spark, view, sf):
     return reports.top_receipts(view("ledger")).select("entry_id", "entry_date", "amount")
 
 
-@query("ledger_sorted", "SELECT row_number() OVER (ORDER BY entry_date, entry_id) AS place, entry_id FROM (SELECT * FROM ledger WHERE month = '1998-10') z", ("ledger",))
+@query("ledger_sorted", "SELECT row_number() OVER (ORDER BY entry_date, entry_id) AS place, entry_id FROM ledger", ("ledger",))
 def _(spark, view, sf):
     from pyspark.sql import Window as W
 
-    month = reports.filter_ledger(view("ledger"), "1998-10")
-    day = month.groupBy("entry_date").agg(F.count("*").alias("n"))
+    ledger = view("ledger")
+    day = ledger.groupBy("entry_date").agg(F.count("*").alias("n"))
     before = day.select("entry_date", F.coalesce(F.sum("n").over(W.orderBy("entry_date").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("b"))
     inside = F.row_number().over(W.partitionBy("entry_date").orderBy("entry_id"))
-    return month.withColumn("r", inside).join(before, "entry_date").select((F.col("b") + F.col("r")).cast("long").alias("place"), "entry_id")
+    return ledger.withColumn("r", inside).join(before, "entry_date").select((F.col("b") + F.col("r")).cast("long").alias("place"), "entry_id")
 
 
 @query("coa_sorted", "SELECT code, name, type FROM chart_of_accounts", ("chart_of_accounts",))
@@ -739,14 +745,19 @@ def _(spark, view, sf):
     return reconcile.candidate_summary(view("dense_tx"), view("dense_fiscal"))
 
 
-@query("recon_pending", f"SELECT tx_id, tx_date, description, {d('amount')} AS amount FROM tx WHERE NOT EXISTS (SELECT 1 FROM recon r WHERE r.tx_id = tx.tx_id)", ("tx", "recon"))
+_MATCHED = _GREEDY.format(tx="tx", fiscal="fiscal")
+_MATCHED = _MATCHED[:_MATCHED.index(" SELECT s.tx_id, s.pick")] + ", recon AS (SELECT tx_id, pick AS fiscal_id FROM step WHERE pick IS NOT NULL)"
+
+
+@query("recon_pending", _MATCHED + f" SELECT tx_id, tx_date, description, {d('amount')} AS amount FROM tx WHERE NOT EXISTS (SELECT 1 FROM recon r WHERE r.tx_id = tx.tx_id)", ("tx", "fiscal"))
 def _(spark, view, sf):
-    return reconcile.unreconciled(view("tx"), view("recon")).select("tx_id", "tx_date", "description", "amount")
+    matches = reconcile.match_invoices(view("tx"), view("fiscal"))
+    return reconcile.unreconciled(view("tx"), matches).select("tx_id", "tx_date", "description", "amount")
 
 
-@query("recon_stats", "SELECT count(r.tx_id) AS matched, count(*) - count(r.tx_id) AS unmatched_bank FROM tx t LEFT JOIN recon r ON r.tx_id = t.tx_id", ("tx", "recon"))
+@query("recon_stats", _MATCHED + " SELECT count(r.tx_id) AS matched, count(*) - count(r.tx_id) AS unmatched_bank FROM tx t LEFT JOIN recon r ON r.tx_id = t.tx_id", ("tx", "fiscal"))
 def _(spark, view, sf):
-    return reconcile.match_counts(view("tx"), view("recon"))
+    return reconcile.match_counts(view("tx"), reconcile.match_invoices(view("tx"), view("fiscal")))
 
 
 @query("card_settlement", f"""SELECT t.tx_id, t.tx_date, {d('t.amount')} AS bank_amount, {d('x.s')} AS expected_sales, {d('round(t.amount - x.s, 2)')} AS diff,
@@ -936,6 +947,12 @@ def _(spark, view, sf):
     return reports.receipt_counts(links.fuel_records(docs, entries, links.match_fuel(docs, entries)))
 
 
+@query("receipt_search", _FUEL + "SELECT doc_id FROM (SELECT rec.*, coalesce(nullif(f.counterparty, ''), nullif(regexp_replace(f.description, '.*POSTO', 'POSTO'), '')) AS station FROM rec LEFT JOIN fuel_spend f ON f.entry_id = rec.entry_id) z WHERE contains(lower(concat_ws(' ', file_name, station, CAST(doc_date AS VARCHAR))), 'posto central')", ("fuel_docs", "fuel_spend"))
+def _(spark, view, sf):
+    docs, entries = _fuel(view)
+    return reports.search_text(links.fuel_records(docs, entries, links.match_fuel(docs, entries)), "Posto Central", reports.RECEIPT_SEARCH).select("doc_id")
+
+
 @query("attachments_all")
 def _(spark, view, sf):
     fuel = documents.fuel_receipts(view("fuel_docs"))
