@@ -29,12 +29,6 @@ def month_folder(x) -> Column:
     return F.concat_ws("-", p[1], p[0])
 
 
-def folder_month(x) -> Column:
-    """``MM-YYYY`` folder name to ``YYYY-MM``."""
-    p = F.split(_c(x), "-")
-    return F.concat_ws("-", p[1], p[0])
-
-
 def minutes_in_text(x) -> Column:
     """First ``HH:MM`` or ``HH MM`` as minutes; null when absent."""
     p = r"(\d{2})[:\s](\d{2})"
@@ -47,10 +41,6 @@ def minutes_gap(a, b) -> Column:
     return F.coalesce(F.abs(_c(a) - _c(b)), F.lit(NO_TIME_GAP))
 
 
-def days_gap(a, b) -> Column:
-    return F.abs(F.datediff(_c(a), _c(b)))
-
-
 def day_number(x) -> Column:
     """Days since 1970-01-01, for window keys."""
     return F.datediff(_c(x), F.lit("1970-01-01").cast("date"))

@@ -15,6 +15,20 @@ SKIPPED_FILES = r"(?i)^(desktop\.ini|thumbs\.db)$"
 ATTACHABLE_KINDS = ("comprovante", "anexo", "nota_fiscal", "boleto", "fatura_cartao", "xml_nfe")
 
 
+# Forms of file names and folders, and the words that name a kind of file.
+SLIP = r"(\d+)\s*-\s*(\d{2})(\d{2})(\d{4})\s*-\s*([^-]+)\s*-\s*([\d.,]+)"
+ISO_DATE = r"(\d{4})-(\d{2})-(\d{2})"
+TRANSFER_NAME = r"(?i)_([^_]+)\.pdf$"
+SCAN = r"(?i)Scan_(\d{4})(\d{2})(\d{2})_(\d{2})(\d{2})(\d{2})"
+DIGITALIZED = r"(?i)Digitalizado_(\d{4})(\d{2})(\d{2})-(\d{2})(\d{2})"
+FULL_DATE = r"(\d{2})(\d{2})(\d{4})"
+MONTH_ONLY = r"(\d{2})(\d{4})"
+DANFE_PATH = r"XML\s+\d{2}-\d{4}|/NFE/|/NFCE/|\d{44}\.PDF$"
+SLIP_START = r"^\d+ - \d{8}"
+INVOICE_KEY = r"(\d{44})"
+KIND_WORDS = {"extrato": "EXTRATO", "xml_nfe": "XML", "combustivel": "COMBUST", "comprovante": "COMPROVANTE", "boleto": "BOLETO"}
+
+
 def slashes(path) -> Column:
     return F.translate(_c(path), "\\", "/")
 
@@ -32,15 +46,15 @@ def file_kind(path) -> Column:
     """Ordered classification of a path; the first case that holds wins."""
     p, base, ext = F.upper(slashes(path)), base_name(path), extension(path)
     return (
-        F.when((ext == ".pdf") & p.rlike(r"XML\s+\d{2}-\d{4}|/NFE/|/NFCE/|\d{44}\.PDF$"), "danfe")
-        .when(ext.isin(*STATEMENT_EXTENSIONS) & F.upper(base).contains("EXTRATO"), "extrato")
+        F.when((ext == ".pdf") & p.rlike(DANFE_PATH), "danfe")
+        .when(ext.isin(*STATEMENT_EXTENSIONS) & F.upper(base).contains(KIND_WORDS["extrato"]), "extrato")
         .when(ext == ".xml", "xml_nfe")
-        .when(p.contains("XML"), "xml_nfe")
-        .when(p.contains("COMBUST"), "combustivel")
-        .when(p.contains("COMPROVANTE") | base.rlike(r"^\d+ - \d{8}"), "comprovante")
+        .when(p.contains(KIND_WORDS["xml_nfe"]), "xml_nfe")
+        .when(p.contains(KIND_WORDS["combustivel"]), "combustivel")
+        .when(p.contains(KIND_WORDS["comprovante"]) | base.rlike(SLIP_START), "comprovante")
         .when(p.contains("NOTA FISCAL") | p.contains("NOTAS FISCAL"), "nota_fiscal")
         .when(p.contains("FATURA CART") | p.contains("FATURA-INTER"), "fatura_cartao")
-        .when(p.contains("BOLETO"), "boleto")
+        .when(p.contains(KIND_WORDS["boleto"]), "boleto")
         .when(ext.isin(*ATTACHMENT_EXTENSIONS), "anexo")
         .otherwise("outro")
     )
@@ -75,9 +89,8 @@ def with_bank_by_path(files: DataFrame, rules: list[tuple[str, str, str]], path:
 
 def slip_meta(name) -> Column:
     """``n - DDMMYYYY - type - amount``: date, type, amount, is_payment; null when the name has another form."""
-    p = r"(\d+)\s*-\s*(\d{2})(\d{2})(\d{4})\s*-\s*([^-]+)\s*-\s*([\d.,]+)"
     n = F.coalesce(_c(name), F.lit(""))
-    g = [F.regexp_extract(n, p, i) for i in range(7)]
+    g = [F.regexp_extract(n, SLIP, i) for i in range(7)]
     return F.when(
         g[0] != "",
         F.struct(
@@ -92,10 +105,9 @@ def slip_meta(name) -> Column:
 def transfer_meta(name) -> Column:
     """First ISO date in the name and the last ``_Name.pdf`` part."""
     n = F.coalesce(_c(name), F.lit(""))
-    p = r"(\d{4})-(\d{2})-(\d{2})"
-    who = F.regexp_extract(n, r"(?i)_([^_]+)\.pdf$", 1)
+    who = F.regexp_extract(n, TRANSFER_NAME, 1)
     return F.struct(
-        try_date(*[F.regexp_extract(n, p, i) for i in (1, 2, 3)]).alias("date"),
+        try_date(*[F.regexp_extract(n, ISO_DATE, i) for i in (1, 2, 3)]).alias("date"),
         F.when(who != "", who).alias("counterparty"),
     )
 
@@ -108,10 +120,7 @@ def fuel_meta(name, modified=None) -> Column:
     def g(p: str, k: int) -> list[Column]:
         return [F.regexp_extract(n, p, i) for i in range(k + 1)]
 
-    scan = g(r"(?i)Scan_(\d{4})(\d{2})(\d{2})_(\d{2})(\d{2})(\d{2})", 6)
-    digi = g(r"(?i)Digitalizado_(\d{4})(\d{2})(\d{2})-(\d{2})(\d{2})", 5)
-    full = g(r"(\d{2})(\d{2})(\d{4})", 3)
-    part = g(r"(\d{2})(\d{4})", 2)
+    scan, digi, full, part = g(SCAN, 6), g(DIGITALIZED, 5), g(FULL_DATE, 3), g(MONTH_ONLY, 2)
     day = F.coalesce(F.date_format(mod, "dd"), F.lit("01"))
     no_time = F.lit(None).cast("string")
 
@@ -129,7 +138,7 @@ def fuel_meta(name, modified=None) -> Column:
 
 def invoice_key(path) -> Column:
     """The 44-digit invoice key in a path, else null."""
-    k = F.regexp_extract(F.coalesce(_c(path), F.lit("")), r"(\d{44})", 1)
+    k = F.regexp_extract(F.coalesce(_c(path), F.lit("")), INVOICE_KEY, 1)
     return F.when(k != "", k)
 
 

@@ -35,11 +35,6 @@ def cents(x) -> Column:
     return F.round(F.abs(_c(x)).cast("decimal(20,4)") * 100, 0).cast("long")
 
 
-def same_value(a, b, tol: int) -> Column:
-    """Absolute amounts differ by at most ``tol`` cents."""
-    return F.coalesce(F.abs(cents(a) - cents(b)) <= tol, F.lit(False))
-
-
 def format_brl(x) -> Column:
     """1234.5 to ``1.234,50``."""
     return F.translate(F.format_number(F.coalesce(_c(x), F.lit(0).cast(MONEY)), 2), ",.", ".,")

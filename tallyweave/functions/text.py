@@ -29,37 +29,24 @@ def normalize_space(x) -> Column:
     return F.trim(F.translate(_c(x), " ", " "))
 
 
-def name_match_general(a, b) -> Column:
-    """On normalised names: either holds the other, or the first six letters agree."""
-    a, b = _c(a), _c(b)
-    return (a != "") & (b != "") & (a.contains(b) | b.contains(a) | (F.left(a, F.lit(6)) == F.left(b, F.lit(6))))
-
-
-def name_match_receipt(a, b) -> Column:
-    """On normalised names: both at least four long and one holds the other."""
-    a, b = _c(a), _c(b)
-    return (F.length(a) >= 4) & (F.length(b) >= 4) & (a.contains(b) | b.contains(a))
-
-
-def name_match_supplier(a, b) -> Column:
-    """On normalised names: the first at least three long, the second not empty, one holds the other."""
-    a, b = _c(a), _c(b)
-    return (F.length(a) >= 3) & (b != "") & (a.contains(b) | b.contains(a))
+# Forms of payer names in bank histories.
+PAYER_DATED = r"(?iu)Pix\s*-\s*Recebido\s+(?:\d{2}/\d{2}\s+\d{2}:\d{2}\s+)?\d{11,14}\s+(.+)$"
+PAYER_PLAIN = r"(?iu)Pix\s*-\s*Recebido\s+(.+)$"
+PAYER_AFTER = r"(?iu)(?:Cp\s*:|Recebido\s+)(?:\d+-)?([A-ZÀ-Ú][A-ZÀ-Ú\s]+)"
+PAYER_PREFIX = r"^\d{2}/\d{2}.*?\d{11,14}\s+"
+PAYER_TAIL = r"^(.*?)(?:\s+\d{2}/\d{2}.*)?$"
 
 
 def client_name(description, counterparty, own_company: Column, partner: Column) -> Column:
     """Readable payer name from a bank history line; null for own company and partners."""
     cp = F.coalesce(_c(counterparty), F.lit(""))
     hay = F.trim(F.concat(F.coalesce(_c(description), F.lit("")), F.lit(" "), cp))
-    dated = r"(?iu)Pix\s*-\s*Recebido\s+(?:\d{2}/\d{2}\s+\d{2}:\d{2}\s+)?\d{11,14}\s+(.+)$"
-    plain = r"(?iu)Pix\s*-\s*Recebido\s+(.+)$"
-    after = r"(?iu)(?:Cp\s*:|Recebido\s+)(?:\d+-)?([A-ZÀ-Ú][A-ZÀ-Ú\s]+)"
-    plain_hit = F.regexp_extract(hay, plain, 1)
-    fallback = F.trim(F.regexp_replace(cp, r"^\d{2}/\d{2}.*?\d{11,14}\s+", ""))
+    plain_hit = F.regexp_extract(hay, PAYER_PLAIN, 1)
+    fallback = F.trim(F.regexp_replace(cp, PAYER_PREFIX, ""))
     name = (
-        F.when(hay.rlike(dated), F.trim(F.regexp_extract(F.regexp_extract(hay, dated, 1), r"^(.*?)(?:\s+\d{2}/\d{2}.*)?$", 1)))
+        F.when(hay.rlike(PAYER_DATED), F.trim(F.regexp_extract(F.regexp_extract(hay, PAYER_DATED, 1), PAYER_TAIL, 1)))
         .when((plain_hit != "") & ~plain_hit.rlike(r"^\d"), F.trim(plain_hit))
-        .when(hay.rlike(after), F.trim(F.regexp_extract(hay, after, 1)))
+        .when(hay.rlike(PAYER_AFTER), F.trim(F.regexp_extract(hay, PAYER_AFTER, 1)))
         .otherwise(F.when(fallback != "", fallback))
     )
     return F.when(own_company | partner, F.lit(None).cast("string")).otherwise(name)

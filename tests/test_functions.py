@@ -32,9 +32,6 @@ def test_date(spark, raw, want):
 
 def test_names(spark):
     assert value(spark, text.normalize_name(F.lit("João Çã-1"))) == "JOAOCA1"
-    assert value(spark, text.name_match_general(F.lit("MARIAXABC"), F.lit("MARIAXYZ")))
-    assert not value(spark, text.name_match_receipt(F.lit("ANA"), F.lit("ANALIMA")))
-    assert value(spark, text.name_match_supplier(F.lit("ANA"), F.lit("ANALIMA")))
 
 
 def test_slip_and_minutes(spark):
