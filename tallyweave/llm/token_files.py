@@ -212,6 +212,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     """
     spark: SparkSession = docs.sparkSession
     edges = bounds(docs, id_col)
+    kind = Encoder(tokenizer, end_id).kind.itemsize
 
     def encode(batches):
         e = encoder(tokenizer, end_id)
@@ -230,8 +231,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
 
         from pyspark import TaskContext
 
+        _ENCODERS.clear()  # all texts are encoded: what the worker remembers is not needed any more
         part = TaskContext.get().partitionId()
-        kind = encoder(tokenizer, end_id).kind.itemsize
         names: list[int | None] = []
         sizes: list[int] = []
         data = []
