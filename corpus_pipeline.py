@@ -7,7 +7,7 @@ of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tallyweave.llm import mixing, positional, probminhash, quality, token_files
 from tallyweave.llm.common import id_order, table, without
@@ -16,8 +16,8 @@ from tallyweave.session import cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line frequencies keep."""
-    return without(docs, quality.judge(docs).where(~F.col("kept")).select("_id", "_h"))
+    """Documents that the base rules and the line frequencies keep, without their lines above the limits."""
+    return quality.cleaned(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

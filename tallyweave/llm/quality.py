@@ -3,7 +3,8 @@
 Each task reads whole texts and returns numbers and line hashes. A line's
 frequency is the number of distinct texts of the host that hold it. Lines above
 the limit are removed from all documents but the host's first; a document of
-which too little is left is rejected.
+which too little is left is rejected. ``judge`` gives the figures, ``cleaned`` the
+kept documents without those lines.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
-from tallyweave.llm.common import BLANKS, id_order, salted_join, text_id
+from tallyweave.llm.common import BLANKS, id_order, packed, salted_join, text_id, unpacked
 from tallyweave.session import cut
 
 SYMBOLS = "#*$%&|<>"
@@ -64,6 +67,26 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(cover) > 0).sum())
 
 
+def line_key(line: str) -> tuple[int, int] | None:
+    """Hash of a line in lower case with single spaces, and its words; None for a blank line."""
+    bare = line.strip(BLANKS)
+    if not bare:
+        return None
+    parts = bare.lower().encode("utf-8", "surrogatepass").split()
+    return xxhash.xxh3_64_intdigest(b" ".join(parts)) - (1 << 63), len(parts)
+
+
+def without_lines(text: str, gone: set[int]) -> str:
+    """``text`` without the lines whose hash is in ``gone``, the others in order."""
+    keys = [(line, line_key(line)) for line in text.split("\n")]
+    return "\n".join(line for line, key in keys if key is None or key[0] not in gone)
+
+
+@F.pandas_udf(StringType())
+def _without_lines(text: pd.Series, gone: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else without_lines(t, set(g)) for t, g in zip(text, gone, strict=True)], dtype=object)
+
+
 def measure(text: str | None) -> tuple:
     """Statistics of one text, and its distinct normalised lines as (hash, words on all its copies)."""
     if not text:
@@ -74,15 +97,13 @@ def measure(text: str | None) -> tuple:
     lines: dict[int, int] = {}
     dups = 0
     for line in text.split("\n"):
-        bare = line.strip(BLANKS)
-        if not bare:
+        found = line_key(line)
+        if found is None:
             continue
         if line in seen:
             dups += 1
         seen.add(line)
-        parts = bare.lower().encode("utf-8", "surrogatepass").split()
-        key = xxhash.xxh3_64_intdigest(b" ".join(parts)) - (1 << 63)
-        lines[key] = lines.get(key, 0) + len(parts)
+        lines[found[0]] = lines.get(found[0], 0) + found[1]
     return len(words), len(text) - blanks, sum(text.count(c) for c in SYMBOLS), dups, repeated_words(words), list(lines.items())
 
 
@@ -101,7 +122,7 @@ def _measured(batches):
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS,
           line_share: float = LINE_SHARE, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE) -> DataFrame:
     """One row for each input row: ``_id, _raw, _h`` (identifier and text hash), the statistics,
-    ``removed_words, base_failed, kept``.
+    ``removed_words, base_failed, kept``, and ``_host`` and ``gone``, the hashes of the removed lines (null if none are).
 
     A null or empty text has no words and fails. Null hosts are one host. Equal texts
     count once in a line's frequency, so copies don't make their lines boilerplate. The
@@ -122,11 +143,29 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     over = cut(over.where(F.col("n") > F.col("texts") * F.lit(line_share)).select(F.coalesce("_host", F.lit("")).alias("_hk"), F.col("_host").isNull().alias("_hn"), "hash", "first"), "lines")
     keyed = held.select("_row", "_id", "hash", "words", F.coalesce("_host", F.lit("")).alias("_hk"), F.col("_host").isNull().alias("_hn"))
     hits = salted_join(keyed, over, ["_hk", "_hn", "hash"], spread=F.col("_row")).where(F.col("_id") > F.col("first"))
-    removed = hits.groupBy("_row").agg(F.sum("words").alias("removed_words"))
-    judged = stats.drop("lines", "_host").join(removed, "_row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
+    removed = hits.groupBy("_row").agg(F.sum("words").alias("removed_words"), F.collect_list("hash").alias("gone"))
+    judged = stats.drop("lines").join(removed, "_row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("removed_words")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     depleted = (F.col("removed_words") > 0) & ((left < left_words) | (left < F.col("n_words") * F.lit(left_share)))
     return judged.select(
         "_id", "_raw", "_h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words",
-        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "_host", "gone")
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """The kept rows of ``docs`` with all their columns, their text without the removed lines.
+
+    The lines that stay are as they were and in order. A kept text has ``n_words -
+    removed_words`` words. Rows that are neither rejected nor changed pass as they are:
+    only the others' names are joined.
+    """
+    judged = judge(docs, id_col, text_col, host_col, **limits)
+    name = F.coalesce("_host", F.lit("")).alias("_hk"), F.col("_host").isNull().alias("_hn")
+    change = judged.where("NOT kept OR gone IS NOT NULL").select("_id", "_h", *name, "kept", "gone").dropDuplicates(["_id", "_h", "_hk", "_hn"])
+    host = F.col(host_col).cast("string")
+    rows = packed(docs, id_order(id_col).alias("_id"), text_id(text_col).alias("_h"), F.coalesce(host, F.lit("")).alias("_hk"), host.isNull().alias("_hn"))
+    left = rows.join(change.hint("shuffle_hash"), ["_id", "_h", "_hk", "_hn"], "left").where("coalesce(kept, true)")
+    text = F.col("_doc").getField(text_col)
+    fresh = left.select("_doc", _without_lines(F.when(F.col("gone").isNotNull(), text), "gone").alias("_fresh"))
+    return unpacked(fresh.withColumn("_doc", F.col("_doc").withField(f"`{text_col}`", F.coalesce("_fresh", text))), docs)
