@@ -4,7 +4,9 @@ A document is a set of word shingles with weights. Each shingle is a Poisson
 process of arrivals whose rate is its weight and which fall on random registers; a
 register keeps the shingle that arrives first. Two documents agree on a register
 with the probability Jaccard similarity. Arrivals are drawn only up to a horizon at
-which all registers are filled, so most shingles stop after one draw.
+which all registers are filled, so most shingles stop after one draw. The classes
+are made of links by plain Jaccard, so their signatures give all distinct shingles
+of a document one weight: repeats don't lower the agreement.
 
 Documents that agree on a band of registers are candidates. Each is compared with
 its bucket's leader, on the texts themselves. What a leader can't settle, buckets
@@ -114,11 +116,17 @@ def _bands(sig: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def plain(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of a text, each counted once."""
+    found, counts = shingles(text)
+    return found, np.ones_like(counts)
+
+
 def _signed(batches):
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for at in range(0, len(texts), 128):
-            sets = [shingles(t) for t in texts[at:at + 128]]
+            sets = [plain(t) for t in texts[at:at + 128]]
             some = [i for i, (h, _) in enumerate(sets) if len(h)]
             sig = signatures([sets[i] for i in some]) if some else np.zeros((0, BANDS * ROWS), np.uint16)
             data: list[bytes | None] = [None] * len(sets)
@@ -138,7 +146,7 @@ def _banded(batches):
 
 
 def agreement(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Share of equal registers: estimates the probability Jaccard similarity."""
+    """Share of equal registers: estimates the probability Jaccard similarity, which is the plain one for equal weights."""
     x = np.frombuffer(b"".join(a), np.uint16).reshape(len(a), -1)
     y = np.frombuffer(b"".join(b), np.uint16).reshape(len(b), -1)
     return (x == y).mean(axis=1)
@@ -276,8 +284,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     more; equal texts are one node. ``class_id`` is the smallest identifier of the class
     (null only if all are). Texts without words have no shingles: they form classes of
     equal texts only, null and empty ones being equal. Texts of fewer words than a
-    shingle are one shingle. Rows with equal identifiers are rows of their own. The
-    chance that a link at exactly 0.8 shares no band is 0.00006.
+    shingle are one shingle. Rows with equal identifiers are rows of their own. However
+    often shingles are repeated, the chance that a link at exactly 0.8 shares no band is
+    0.00006.
     """
     h1, h2 = two_hashes(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(id_order(id_col).alias("_id"), text_id(text_col).alias("_h"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("text"))
