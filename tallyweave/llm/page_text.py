@@ -44,6 +44,8 @@ BOILER_WORDS = frozenset(
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 LAYOUT_WORDS = frozenset("has with without no".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Zone inside a form and no other boilerplate: an article or a main element opens content again.
+FORM_ZONE = -2
 
 
 class Block:
@@ -53,29 +55,29 @@ class Block:
         self.text, self.tag, self.zone, self.parent, self.depth, self.path, self.linked = text, tag, zone, parent, depth, path, linked
 
 
-def _boiler_name(name: str) -> bool:
-    """Whether a class or id begins or ends with a word for boilerplate, other than as in ``has-sidebar``."""
+def _boiler_name(name: str, inside: bool = False) -> bool:
+    """Whether a class or id begins or ends with a word for boilerplate, other than as in ``has-sidebar``, or ``entry-header`` in an article."""
     words = [w for w in re.split(r"[^a-z]+", name) if w]
-    return bool(words) and (words[0] in BOILER_WORDS or words[-1] in BOILER_WORDS) and LAYOUT_WORDS.isdisjoint(words)
+    return bool(words) and any(w in BOILER_WORDS and not (inside and w == "header") for w in (words[0], words[-1])) and LAYOUT_WORDS.isdisjoint(words)
 
 
 def _zone(tag: str, attributes: str, zone: int, inside: bool) -> int:
-    """Zone that an element opens: 1 content, -1 boilerplate, else that of its parent. Once boilerplate, always."""
-    if zone < 0 or tag in BOILER_TAGS or (tag == "header" and not inside):
+    """Zone that an element opens: 1 content, -1 boilerplate, else that of its parent. Once boilerplate, always, but for a form alone."""
+    if zone == -1 or (tag in BOILER_TAGS and tag != "form") or (tag == "header" and not inside):
         return -1
     if attributes:
         for name, a, b, c in _ATTR.findall(attributes):
             value, name = (a or b or c).lower(), name.lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
                 return -1
-            if name in ("class", "id") and tag not in ("html", "body") and any(map(_boiler_name, value.split())):
+            if name in ("class", "id") and tag not in ("html", "body") and any(_boiler_name(w, inside) for w in value.split()):
                 return -1
             if name == "role":
                 if value in BOILER_ROLES:
                     return -1
                 if value in ("main", "article"):
                     return 1
-    return 1 if tag in CONTENT_TAGS else zone
+    return 1 if tag in CONTENT_TAGS else FORM_ZONE if tag == "form" else zone
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -93,7 +95,7 @@ def blocks_of(page: str) -> list[Block]:
             if text:
                 holders = [s for s in stack if s[0] in BLOCK] or [stack[0]]
                 parent = holders[-2][1] if len(holders) > 1 else 0
-                found.append(Block(text, holders[-1][0], stack[-1][2], parent, len(holders), tuple(s[1] for s in holders), min(linked, len(text))))
+                found.append(Block(text, holders[-1][0], max(stack[-1][2], -1), parent, len(holders), tuple(s[1] for s in holders), min(linked, len(text))))
         linked = 0
 
     at, end = 0, len(page)
