@@ -129,17 +129,21 @@ class Encoder:
     A byte-level BPE merges only inside runs of letters, numbers, symbols or white space,
     so a text's ids are those of its runs. The library's model encodes each new run, and
     its ids are remembered. Texts with characters that libraries might class differently
-    go to the library whole.
+    go to the library whole. With ``added``, as in token files, so do texts that hold an
+    added token such as ``<|endoftext|>``, which has its own id then, as the library's
+    plain call gives it; without, such a token is encoded like other text.
     """
 
-    def __init__(self, path: str, end_id: int = END_ID):
+    def __init__(self, path: str, end_id: int = END_ID, added: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        # Those that aren't special are found by the library under both settings.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if added or not t.special]
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
         self.end = np.array([end_id], self.kind).tobytes()
@@ -155,7 +159,7 @@ class Encoder:
         """Ids of a text and the end id."""
         if not text:
             return self.end
-        if _FAR.search(text):
+        if _FAR.search(text) or any(t in text for t in self.added):
             ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
             return np.array(ids, self.kind).tobytes() + self.end
         runs, known = _RUNS.findall(text), self.runs
@@ -190,7 +194,7 @@ _ENCODERS: dict[tuple[str, int], Encoder] = {}
 def encoder(path: str, end_id: int = END_ID) -> Encoder:
     """One for each worker process."""
     if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = Encoder(path, end_id)
+        _ENCODERS[path, end_id] = Encoder(path, end_id, added=True)
     return _ENCODERS[path, end_id]
 
 
