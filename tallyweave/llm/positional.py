@@ -5,11 +5,12 @@ of a search engine: for every term of the tests, the sorted positions where the
 segment's documents hold it. Searches run segment by segment from the index alone:
 a phrase's lists are shifted by their offsets and intersected from the rarest term
 on. Nothing is shuffled; a term that all documents hold is one more list in each
-segment.
+segment. ``hits`` gives exact phrase matches, ``near_hits`` proximity matches.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,9 @@ from tallyweave.llm.common import batches_by_bytes
 from tallyweave.session import cut
 
 WINDOW = 13
+#: A proximity match holds this share of a window's distinct words within so many document words.
+SPAN = 16
+SHARE = 0.9
 #: Text bytes in a segment, about; a longer document is a segment of its own.
 SEGMENT_BYTES = 8 << 20
 #: Tests are searched in blocks of at most this many items and text bytes, which is what a broadcast holds.
@@ -126,6 +130,54 @@ class Segment:
             ok &= np.searchsorted(other, high, "right") > np.searchsorted(other, low, "left")
         return np.unique(docs[ok])
 
+    def stretches(self, terms: list[int], span: int, share: float) -> list[tuple[int, int]]:
+        """Shortest stretches (start, end) of at most ``span`` words of one document with ``share`` of the distinct ``terms``, in any order.
+
+        No stretch lies in another. Each holds one of the rarest terms, as fewer may be
+        missing: only places near those are looked at.
+        """
+        wanted = list(dict.fromkeys(terms))
+        need = max(1, math.ceil(share * len(wanted) - 1e-9))
+        lists = sorted((x for x in map(self.positions, wanted) if x is not None), key=len)
+        spare = len(lists) - need
+        if spare < 0:
+            return []
+        pivot = np.unique(np.concatenate(lists[:spare + 1]))
+        missed = np.zeros(len(pivot), np.int64)
+        for x in lists:
+            missed += np.searchsorted(x, pivot + span - 1, "right") == np.searchsorted(x, pivot - span + 1, "left")
+            keep = missed <= spare
+            pivot, missed = pivot[keep], missed[keep]
+            if not len(pivot):
+                return []
+        # The places near the pivots that are left, each once, with the number of the term there.
+        near, which = [], []
+        for k, x in enumerate(lists):
+            at = np.searchsorted(pivot, x - span + 1, "left")
+            ok = (at < len(pivot)) & (pivot[np.minimum(at, len(pivot) - 1)] <= x + span - 1)
+            near.append(x[ok])
+            which.append(np.full(int(ok.sum()), k))
+        places, kinds = np.concatenate(near), np.concatenate(which)
+        order = np.argsort(places)
+        places, kinds = places[order].tolist(), kinds[order].tolist()
+        docs = self.documents(np.array(places)).tolist()
+        out: list[tuple[int, int]] = []
+        held = [0] * len(lists)
+        distinct = low = 0
+        for high, place in enumerate(places):
+            held[kinds[high]] += 1
+            distinct += held[kinds[high]] == 1
+            # Leave what is too far off or in another document, then what the stretch doesn't need.
+            while place - places[low] >= span or docs[low] != docs[high] or distinct > need or held[kinds[low]] > 1:
+                held[kinds[low]] -= 1
+                distinct -= held[kinds[low]] == 0
+                low += 1
+            if distinct == need:
+                if out and out[-1][0] == places[low]:
+                    continue
+                out.append((places[low], place + 1))
+        return out
+
 
 def _windows(items: list[tuple[str, list[int]]], window: int) -> Iterator[tuple[int, list[int]]]:
     """Distinct windows of each item; an item of fewer words is one window."""
@@ -249,3 +301,48 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["end"] - 1))))
     n_hit = F.when(F.size("spans") == 0, F.lit(0)).otherwise(F.size(hit)).cast("long")
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+_NEAR = pa.schema([("_raw", pa.int64()), ("_h", pa.int64()), ("item", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+
+
+def search_near(index: DataFrame, tests, span: int = SPAN, share: float = SHARE) -> DataFrame:
+    """Proximity matches of each document and item: ``_raw, _h, item, spans``."""
+
+    def search(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                seg = Segment(row["lengths"], row["terms"], row["postings"])
+                found: dict[tuple[int, str | None], set[tuple[int, int]]] = {}
+                for n, terms in tests.value.windows:
+                    for s, e in seg.stretches(terms, span, share):
+                        d = int(seg.documents(np.array([s]))[0])
+                        begin = int(seg.begins[d])
+                        found.setdefault((d, tests.value.ids[n]), set()).add((s - begin, e - begin))
+                yield pa.RecordBatch.from_pydict({
+                    "_raw": [row["ids"][d] for d, _ in found], "_h": [row["hashes"][d] for d, _ in found], "item": [i for _, i in found],
+                    "spans": [[{"start": s, "end": e} for s, e in sorted(x)] for x in found.values()]}, schema=_NEAR)
+
+    return index.mapInArrow(search, "_raw long, _h long, item string, spans array<struct<start:bigint,end:bigint>>")
+
+
+def near_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+              window: int = WINDOW, span: int = SPAN, share: float = SHARE) -> DataFrame:
+    """One row for each document and item that match by proximity: ``_raw, _h, item, spans``.
+
+    ``spans`` are the shortest ranges of at most ``span`` document words that hold
+    ``share`` of the distinct words of one of the item's windows, in any order, so
+    passages with an inserted or changed word are found as well. Equal rows of ``docs``
+    are one document; items without identifier are one item.
+    """
+    spark: SparkSession = docs.sparkSession
+    parts = []
+    for block in blocks(benchmark, item_col, item_text):
+        tests = spark.sparkContext.broadcast(Tests(block, window))
+        parts.append(search_near(build_index(docs, tests, id_col, text_col), tests, span, share))
+    if not parts:
+        return spark.createDataFrame([], "_raw long, _h long, item string, spans array<struct<start:bigint,end:bigint>>")
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found.groupBy("_raw", "_h", "item").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
