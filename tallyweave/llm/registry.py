@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import line_dedup, mixing, page_text, positional, probminhash, quality, secret_forest, token_files, url_lists, warc_zip
+from tallyweave.llm import line_dedup, mixing, ngram_quality, page_text, positional, probminhash, quality, secret_forest, spelling, token_files, url_lists, warc_zip
 from tallyweave.llm.common import table
 
 
@@ -228,3 +228,34 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     found = secret_forest.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", F.char_length("run").cast("long").alias("n_chars"), F.sha2("run", 256).alias("run_sha256"), "probability", "is_secret")
+
+
+@query("op12_ftrl_ngrams")
+def _(spark, sf_dir):
+    return ngram_quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: A checksum of bytes is the exclusive or of what each byte alone gives at its place (``zt``) and of what as many zero bytes give (``zc``).
+_CRC_SQL = """ct AS (SELECT i AS b, list_reduce([i] || list_value(0, 0, 0, 0, 0, 0, 0, 0)::BIGINT[], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS t
+   FROM range(256) r(i)),
+ zt(k, b, z) AS (SELECT 0, b, t FROM ct UNION ALL SELECT k + 1, zt.b, xor(ct.t, z >> 8) FROM zt JOIN ct ON ct.b = z & 255 WHERE k < (SELECT max(strlen(s)) FROM asked)),
+ zc(n, s) AS (SELECT 0, 4294967295::BIGINT UNION ALL SELECT n + 1, xor(t, s >> 8) FROM zc JOIN ct ON b = s & 255 WHERE n < (SELECT max(strlen(s)) FROM asked)),
+ bytes AS (SELECT s, strlen(s) AS n, CAST('0x' || substr(hex(encode(s)), 2 * i + 1, 2) AS INT) AS b, strlen(s) - 1 - i AS k FROM (SELECT s, unnest(range(strlen(s))) AS i FROM asked)),
+ crc AS (SELECT bytes.s, xor(xor(any_value(zc.s), 4294967295), bit_xor(z)) AS h FROM bytes JOIN zt USING (k, b) JOIN zc ON zc.n = bytes.n GROUP BY bytes.s)"""
+
+
+@query("op11_trie_frontier", f"""WITH RECURSIVE runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{_UP}', '{_LOW}') AS run FROM documents),
+ per AS (SELECT concat(doc_id, ':', run) AS s, run, count(*) AS c FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+ asked AS (SELECT DISTINCT s FROM per), {_CRC_SQL},
+ made AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM per JOIN crc USING (s)),
+ v AS (SELECT word, sum(c)::BIGINT AS n FROM made WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+ gaps AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+ one AS (SELECT gaps.word AS a, v.word AS b FROM gaps JOIN v ON v.word = k),
+ near AS (SELECT a, b FROM one UNION SELECT b, a FROM one UNION SELECT x.word, y.word FROM gaps x JOIN gaps y ON x.i = y.i AND x.k = y.k AND x.word <> y.word),
+ ranked AS (SELECT a, b, v.n AS bn, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) AS place FROM near JOIN v ON v.word = b),
+ formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 2 * n THEN b END AS form, CASE WHEN bn >= 2 * n THEN bn END AS form_n
+   FROM v LEFT JOIN ranked ON a = word AND place = 1),
+ walk(word, here, step) AS (SELECT word, word, 0 FROM v UNION ALL SELECT walk.word, form, step + 1 FROM walk JOIN formed ON formed.word = walk.here WHERE form IS NOT NULL)
+ SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN (SELECT word, max_by(here, step) AS root FROM walk GROUP BY word) w USING (word)""")
+def _(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
