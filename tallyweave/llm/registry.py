@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyweave.llm import line_dedup, mixing, ngram_quality, page_text, positional, probminhash, quality, secret_forest, spelling, token_files, url_lists, warc_zip
-from tallyweave.llm.common import table
+from tallyweave.llm import hard_negatives, line_dedup, mixing, ngram_quality, page_text, positional, probminhash, quality, secret_forest, spelling, token_files, url_lists, warc_zip
+from tallyweave.llm.common import LAST_ID, table
 
 
 def _vocabulary(name: str) -> str:
@@ -259,3 +259,16 @@ _CRC_SQL = """ct AS (SELECT i AS b, list_reduce([i] || list_value(0, 0, 0, 0, 0,
  SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN (SELECT word, max_by(here, step) AS root FROM walk GROUP BY word) w USING (word)""")
 def _(spark, sf_dir):
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_packed_rtree", """WITH valid AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ met AS (SELECT a.id AS anchor_id, a.label AS anchor_label, b.id, b.label, list_inner_product(a.v, b.v)::BIGINT AS score FROM valid a, valid b WHERE a.id % 50 = 0),
+ pos AS (SELECT * FROM (SELECT anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place
+   FROM met WHERE label = anchor_label AND id <> anchor_id) WHERE place <= 5)
+ SELECT * FROM (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+   FROM pos JOIN met USING (anchor_id) WHERE label <> anchor_label AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score) WHERE rank <= 3""")
+def _(spark, sf_dir):
+    label = F.when((F.col("_id") % 7 == 0) & (F.col("_id") != LAST_ID), (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("_id") % 50 == 0, label)
