@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyweave.llm.common import id_order, text_id
 from tallyweave.session import cut
@@ -205,6 +205,6 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return scored.select("doc_id", "held_out", F.round("score", 6).alias("score"), (F.round("score", 6) >= threshold).cast("int").alias("predicted"))
 
 
-def classified(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every row of ``docs`` scored by a model of ``labels``: see ``score``."""
     return score(docs, train(docs, labels))

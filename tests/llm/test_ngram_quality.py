@@ -31,11 +31,11 @@ def test_held_out_accuracy_and_no_leak(spark):
     rows, labels = corpus(random.Random(1), 500)
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score double")
     marks = spark.createDataFrame(labels, "doc_id long, quality int, text int")
-    got = {r.doc_id: r for r in nq.classified(spark, docs, marks).collect()}
+    got = {r.doc_id: r for r in nq.classified(docs, marks).collect()}
     assert len(got) == 500 and all(r.held_out == held(i) for i, r in got.items()) and all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in got.values())
     assert np.mean([got[i].predicted == y for i, y, _ in labels if held(i)]) > 0.95
     flipped = spark.createDataFrame([(i, 1 - y if held(i) else y, 7) for i, y, _ in labels], "doc_id long, quality int, text int")
-    again = {r.doc_id: r.score for r in nq.classified(spark, docs.repartition(5), flipped).collect()}
+    again = {r.doc_id: r.score for r in nq.classified(docs.repartition(5), flipped).collect()}
     assert again == {i: r.score for i, r in got.items()}
 
 
@@ -44,11 +44,11 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
     schema = "doc_id long, quality int"
     for marks in ([], [(1, 1)], [(1, 0), (1, 1), (None, 1), (3, None), (9, 1), (4, 5)]):
-        got = nq.classified(spark, docs, spark.createDataFrame(marks, schema)).collect()
+        got = nq.classified(docs, spark.createDataFrame(marks, schema)).collect()
         assert len(got) == 6 and all(0 <= r.score <= 1 for r in got) and next(r for r in got if r.doc_id is None).held_out
         if not marks:
             assert {r.score for r in got} == {0.5}
-    assert nq.classified(spark, docs.limit(0), spark.createDataFrame([(1, 1)], schema)).collect() == []
+    assert nq.classified(docs.limit(0), spark.createDataFrame([(1, 1)], schema)).collect() == []
 
 
 def test_vector_in_pieces_equals_one(monkeypatch):
