@@ -28,7 +28,7 @@ from tallyweave.operators.matching import greedy_assign
 from tallyweave.operators.names import containment
 from tallyweave.operators.ranking import ranked, running
 from tallyweave.operators.reconcile import cell_lists, day_blocks, near_value, spread
-from tallyweave.session import cut
+from tallyweave.session import cut, once
 
 # Date windows in days and labels put before file names.
 RECEIPT_DAYS, SUPPLIER_DAYS, FILE_DAYS = 7, 30, 2
@@ -335,12 +335,13 @@ FILE_SCORES = {0: 1.05, 1: 1.0, 2: 0.95, 3: 0.9, 4: 0.85, 5: 0.8, 6: 0.75}
 
 def attachable(files: DataFrame) -> DataFrame:
     slip, transfer = fn.slip_meta("file_name"), fn.transfer_meta("file_name")
-    return files.where(F.col("kind").isin(*fn.ATTACHABLE_KINDS) & ~F.col("file_name").endswith(".zip")).select(
-        F.col("file_id").alias("right_id"), F.col("bank_account_id").alias("bank"),
-        cents(slip["amount"]).alias("cents"), day_number(slip["date"]).alias("day"),
-        day_number(transfer["date"]).alias("iso"), normalize_name(transfer["counterparty"]).alias("iname"),
-        normalize_name("file_name").alias("fname"),
-    )
+    named = files.where(F.col("kind").isin(*fn.ATTACHABLE_KINDS) & ~F.col("file_name").endswith(".zip")).select(
+        F.col("file_id").alias("right_id"), F.col("bank_account_id").alias("bank"), "file_name")
+    # each step on its own: together they are too long for one generated method
+    parsed = once(once(named, _slip=slip), _transfer=transfer)
+    parsed = once(parsed, cents=cents(F.col("_slip.amount")), day=day_number(F.col("_slip.date")), iso=day_number(F.col("_transfer.date")))
+    parsed = once(parsed, iname=normalize_name(F.col("_transfer.counterparty")))
+    return once(parsed, fname=normalize_name("file_name")).select("right_id", "bank", "cents", "day", "iso", "iname", "fname")
 
 
 def file_entries(ledger: DataFrame, attached: DataFrame | None = None) -> DataFrame:

@@ -14,33 +14,39 @@ a *list*, and a left row names its lists by tier:
 * ``left_lists(left_id, tier, list_id)``, optionally with a text ``place``
 * ``lists(list_id, right_id)``, read in right-id order
 
-Candidates are drawn from a list in windows of a few positions. The j-th left
-row that starts on a list cannot get anything before position j (the j-1
-earlier ones hold j-1 better entries), so its window starts there: a list
-shared by any number of left rows is handed out by rank. Further windows, then
-further tiers, are drawn only for rows all of whose candidates refused them.
-
-Each round has two steps. Left rows are cut into chunks of bounded size; inside
-a chunk all refusals among its own rows are settled at once. Then refusals
-between chunks are found by one aggregation and join over all candidates.
-Chunking changes the number of rounds, never the result: ``place`` only says
-which left rows are likely to compete, and a crowded place is split by salt.
+The j-th left row that starts on a list cannot get anything before position j (the j-1
+earlier ones hold j-1 better entries), so it starts there: a list shared by any number
+of left rows is handed out by rank. A chunk of left rows gets each list's entries once,
+however many of its rows share the list: from where they start to where they would all
+be served if nobody else took any, and a few more. Further entries, then further tiers,
+are looked at only for rows all of whose entries refused them.
+
+Left rows are cut into chunks of bounded size. The rounds are semi-naive: the *frontier*
+is made of the rows refused in the last round (and those whose windows are used up), and
+only its chunks are looked at again. Inside a chunk all rows choose anew in id order, so
+a refusal is followed through the whole chunk at once. What is new in their choices is
+added to a log; nothing settled is ever rewritten. A right row is held by the smallest
+left row that ever proposed to it, so the places held are that minimum over the log, and
+a candidate whose holder comes earlier has refused for good. So a round writes no more
+than its proposals and its frontier. Chunking changes the number of rounds, never the
+result: ``place`` only says which left rows are likely to compete, and a crowded place is
+split by salt.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tallyweave.operators.ranking import ranked, running
-from tallyweave.session import cut
+from tallyweave.session import cut, cut_path
 
 BLOCK = 256  # list positions per join key
-FIRST_WINDOW = 32
-LAST_WINDOW = 256
-CHUNK = 5_000  # left rows per chunk
-EDGE = "left_id long, tier int, right_id long, list_id string, chunk long"
+SPARE = 128  # entries of a list at hand beyond those that a chunk's own rows would take
+NOBODY = int(np.iinfo(np.int64).max)
+CHUNK = 20_000  # left rows per chunk
+ROUND = "chunk long, left_id long, tier int, right_id long, list_id string, upto long"
 
 
 def _chunks(left_lists: DataFrame, chunk: int) -> DataFrame:
@@ -71,99 +77,163 @@ def _cursors(left_lists: DataFrame, sizes: DataFrame, chunks: DataFrame) -> Data
         counted.select("left_id", "chunk", "tier", "list_id", "size", (F.col("before") + 1).cast("long").alias("next")), "cursors")
 
 
-def _draw(cursors: DataFrame, lists: DataFrame, window: int) -> DataFrame:
-    """The next window of every open list, as candidate rows.
+def _entries(cursors: DataFrame, lists: DataFrame) -> DataFrame:
+    """The list entries that each chunk needs: ``chunk, list_id, pos, right_id``.
 
-    A row's candidates must be a gapless start of its preferences: nothing
-    beyond the end of a window that was cut short may be used yet, neither of
-    the same tier nor of a later one.
+    The i-th row of a chunk on a list, by start, would be served at ``i`` plus the largest
+    lead of a start over its rank so far. Each row asks for the stretch from the place of
+    the row before it (or its own start) to ``SPARE`` entries beyond its place; together the
+    stretches have no gap from any row's start to its place.
     """
-    now = cursors.where("next <= size").withColumn("end", F.least(F.col("next") + (window - 1), F.col("size")))
-    blocks = F.sequence(F.floor((F.col("next") - 1) / BLOCK), F.floor((F.col("end") - 1) / BLOCK))
-    keyed = now.withColumn("block", F.explode(blocks))
-    drawn = keyed.join(lists, ["list_id", "block"]).where("pos BETWEEN next AND end")
-    at_end = (F.col("pos") == F.col("end")) & (F.col("end") < F.col("size"))
-    place = F.struct("tier", "right_id")
-    guard = F.min(F.when(at_end, place)).over(W.partitionBy("left_id"))
-    return (
-        drawn.withColumn("_guard", guard).where(F.col("_guard").isNull() | (place <= F.col("_guard")))
-        .select("left_id", "tier", "right_id", "list_id", "chunk")
-    )
-
-
-def _advance(cursors: DataFrame, drawn: DataFrame) -> DataFrame:
-    taken = drawn.groupBy("left_id", "list_id").agg(F.count("*").alias("_k"))
-    moved = cursors.join(taken, ["left_id", "list_id"], "left")
-    return moved.withColumn("next", F.col("next") + F.coalesce("_k", F.lit(0))).drop("_k")
-
-
-def _settle_chunk(edges: pd.DataFrame) -> pd.DataFrame:
-    """Drop the candidates refused within the chunk: its left rows in id order, best free candidate each."""
-    edges = edges.sort_values(["left_id", "tier", "right_id"], kind="stable")
-    rights = edges["right_id"].to_numpy()
-    starts = np.flatnonzero(np.r_[True, np.diff(edges["left_id"].to_numpy()) != 0]) if len(edges) else []
-    keep = np.ones(len(edges), dtype=bool)
+    w = W.partitionBy("chunk", "list_id").orderBy("next", "left_id")
+    ranks = cursors.where("next <= size").withColumn("_i", F.row_number().over(w))
+    lead = F.max(F.col("next") - F.col("_i")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    asked = ranks.withColumn("_at", F.col("_i") + lead).select(
+        "chunk", "list_id", F.greatest("next", F.col("_at") - 1).alias("lo"), F.least(F.col("_at") + SPARE, "size").alias("hi")).where("lo <= hi")
+    blocks = asked.withColumn("block", F.explode(F.sequence(F.floor((F.col("lo") - 1) / BLOCK), F.floor((F.col("hi") - 1) / BLOCK))))
+    need = blocks.groupBy("chunk", "list_id", "block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return need.join(lists, ["list_id", "block"]).where("pos BETWEEN lo AND hi").select("chunk", "list_id", "pos", "right_id")
+
+
+def _propose(key: tuple, rows: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+    """Within a chunk: its left rows in id order, each its best entry that none before it took.
+
+    Returned are choices that are new, and, without a right row, how far the lists of those
+    rows were read that found all entries at hand taken. Entries only ever close as the
+    rows go on, so closed ones are jumped over for good.
+    """
+    rows = rows.sort_values(["left_id", "tier"], kind="stable")
+    entries = entries.sort_values(["list_id", "pos"], kind="stable")
+    names, codes = np.unique(np.r_[entries["list_id"].to_numpy(dtype=object), rows["list_id"].to_numpy(dtype=object)], return_inverse=True)
+    of_entry, of_row = codes[:len(entries)], codes[len(entries):]
+    pos, right = entries["pos"].to_numpy(), entries["right_id"].to_numpy()
+    holder = entries["holder"].to_numpy(dtype=np.int64)
+    begin, end = np.searchsorted(of_entry, np.arange(len(names))), np.searchsorted(of_entry, np.arange(len(names)), side="right")
+    jump = np.arange(len(entries) + 1)
     held: set[int] = set()
-    for lo, hi in zip(starts, [*starts[1:], len(edges)]):
-        own = None
-        for i in range(lo, hi):
-            r = rights[i]
-            if r == own:
-                continue
-            if r in held:
-                keep[i] = False
-            elif own is None:
-                own = r
-        if own is not None:
-            held.add(own)
-    return edges[keep]
-
-
-def _settle(edges: DataFrame) -> DataFrame:
-    return cut(edges.groupBy("chunk").applyInPandas(_settle_chunk, EDGE), "edges")
-
-
-def _best(edges: DataFrame) -> DataFrame:
-    best = edges.groupBy("left_id").agg(F.min(F.struct("tier", "right_id")).alias("b"))
-    return best.select("left_id", F.col("b.right_id").alias("right_id"), F.col("b.tier").alias("tier"))
-
 
-def _refuse(edges: DataFrame) -> DataFrame:
-    held = _best(edges).groupBy("right_id").agg(F.min("left_id").alias("holder"))
-    kept = edges.join(held, "right_id", "left").where("holder IS NULL OR left_id <= holder")
-    return cut(kept.select("left_id", "tier", "right_id", "list_id", "chunk"), "edges")
+    def first_open(i: int, stop: int, at: int, left: int) -> tuple[int, int]:
+        """Index of the first open entry from ``i``, or -1, and the position up to which all are closed."""
+        passed = []
+        while i < stop and pos[i] == at:
+            if jump[i] != i:
+                passed.append(i)
+                at, i = at + (jump[i] - i), jump[i]
+            elif holder[i] < left or right[i] in held:
+                jump[i] = i + 1
+            else:
+                break
+        for p in passed:
+            jump[p] = i
+        return (i, at) if i < stop and pos[i] == at else (-1, at)
+
+    out: list[tuple] = []
+    lefts, tiers, starts, sizes = (rows[c].to_numpy() for c in ("left_id", "tier", "next", "size"))
+    k, n = 0, len(rows)
+    while k < n:
+        left, best, sure, moved = lefts[k], -1, True, []
+        last = k
+        while last < n and lefts[last] == left:
+            last += 1
+        while k < last and best < 0 and sure:
+            tier, limit = tiers[k], None
+            while k < last and tiers[k] == tier:
+                c, at = of_row[k], starts[k]
+                if at <= sizes[k]:
+                    i = begin[c] + np.searchsorted(pos[begin[c]:end[c]], at)
+                    i, at = first_open(i, end[c], at, left)
+                    if i >= 0:
+                        best = i if best < 0 or right[i] < right[best] else best
+                    elif at <= sizes[k]:  # there are entries that are not at hand, all beyond the last one read
+                        seen = begin[c] + np.searchsorted(pos[begin[c]:end[c]], at) - 1
+                        bound = right[seen] if seen >= begin[c] else np.iinfo(np.int64).min
+                        limit = bound if limit is None else min(limit, bound)
+                        moved.append((key[0], left, None, None, names[c], at))
+                k += 1
+            if limit is not None and (best < 0 or right[best] > limit):
+                best, sure = -1, False
+        if best >= 0:
+            held.add(right[best])
+            if holder[best] != left:
+                out.append((key[0], left, tier, right[best], None, None))
+        elif not sure:
+            out += moved
+        k = last
+    columns = list(zip(*out, strict=True)) or [()] * 6
+    kinds = {"chunk": "int64", "left_id": "int64", "tier": "Int32", "right_id": "Int64", "list_id": object, "upto": "Int64"}
+    return pd.DataFrame({name: pd.array(list(values), dtype=kind) for (name, kind), values in zip(kinds.items(), columns, strict=True)})
+
+
+class _Log:
+    """Tables of one schema, written one by one and read together."""
+
+    def __init__(self, spark: SparkSession, label: str, schema: str):
+        self.spark, self.label, self.schema, self.parts = spark, label, schema, []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        part, path = cut_path(df, self.label)
+        self.parts.append(path)
+        return part
+
+    def proposals(self) -> DataFrame:
+        return self._all().where("right_id IS NOT NULL").select("chunk", "left_id", "tier", "right_id")
+
+    def moves(self) -> DataFrame:
+        return self._all().where("right_id IS NULL").select("chunk", "left_id", "list_id", "upto")
+
+    def _all(self) -> DataFrame:
+        if not self.parts:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*self.parts)
+
+
+def _now(cursors: DataFrame, log: _Log, frontier: DataFrame | None) -> DataFrame:
+    """Cursors of the frontier's chunks, moved on where entries were used up."""
+    if frontier is None:
+        return cursors
+    chunks = frontier.select("chunk").distinct()
+    mine = cursors.join(chunks, "chunk", "left_semi")
+    moved = log.moves().join(chunks, "chunk", "left_semi").groupBy("left_id", "list_id").agg(F.max("upto").alias("upto"))
+    return mine.join(moved, ["left_id", "list_id"], "left").select(
+        "left_id", "chunk", "tier", "list_id", "size", F.coalesce("upto", "next").alias("next"))
 
 
 def greedy_assign(
-    left_lists: DataFrame, lists: DataFrame, max_rounds: int | None = None, chunk: int = CHUNK
+    left_lists: DataFrame, lists: DataFrame, max_rounds: int | None = None, chunk: int = CHUNK, trace: list[dict] | None = None
 ) -> DataFrame:
     """Matches ``left_id, right_id, tier``. Ids are longs, list ids texts; both inputs hold no duplicates.
 
     ``max_rounds`` only guards tests against a loop that does not end; reaching
     it raises. Progress is sure: each round refuses or draws at least one row.
+    ``trace`` receives the rows that each round wrote to the log and to its frontier.
     """
+    spark = left_lists.sparkSession
     numbered = ranked(cut(lists, "raw-lists"), ["list_id"], "right_id")
     lists = cut(numbered.withColumn("block", F.floor((F.col("pos") - 1) / BLOCK)), "lists")
     sizes = lists.groupBy("list_id").agg(F.max("pos").alias("size"))
     left_lists = cut(left_lists, "left-lists")
     cursors = _cursors(left_lists, sizes, _chunks(left_lists, chunk))
-    window = FIRST_WINDOW
-    fresh = edges = cut(_draw(cursors, lists, window), "edges")
-    rounds = 0
+    log, frontier, rounds = _Log(spark, "round", ROUND), None, 0
     while True:
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-        edges = _settle(edges)
-        kept = _refuse(edges)
-        refused = edges.count() - kept.count()
-        edges = kept
-        moved = cursors if fresh is None else _advance(cursors, fresh)
-        idle = moved.where("next <= size").join(edges.select("left_id").distinct(), "left_id", "left_anti")
-        window = min(window * 8, LAST_WINDOW)
-        drawn = cut(_draw(idle, lists, window), "fresh")
-        if drawn.count():
-            cursors, fresh = cut(moved, "cursors"), drawn
-            edges = edges.unionByName(drawn)
-        elif refused == 0:
-            return _best(edges)
+        now = _now(cursors, log, frontier)
+        before = log.proposals().groupBy("right_id").agg(F.min(F.struct("left_id", "chunk")).alias("h")).select(
+            "right_id", F.col("h.left_id").alias("holder"), F.col("h.chunk").alias("holder_chunk"))
+        at_hand = _entries(now, lists).join(before.select("right_id", "holder"), "right_id", "left").na.fill({"holder": NOBODY})
+        at_hand = at_hand.select(*[F.col(c).alias(c) for c in at_hand.columns])  # columns of their own, apart from those of ``now``
+        new = log.add(now.groupBy("chunk").cogroup(at_hand.groupBy("chunk")).applyInPandas(_propose, ROUND))
+        made = new.where("right_id IS NOT NULL").select("right_id", "left_id", "chunk")
+        if frontier is None:
+            rivals = made
+        else:
+            rivals = made.unionByName(before.join(made, "right_id", "left_semi").select("right_id", F.col("holder").alias("left_id"), F.col("holder_chunk").alias("chunk")))
+        refused = rivals.withColumn("holder", F.min("left_id").over(W.partitionBy("right_id"))).where("left_id <> holder").select("left_id", "chunk")
+        frontier = cut(refused.unionByName(new.where("right_id IS NULL").select("left_id", "chunk")).distinct(), "frontier")
+        left = frontier.count()
+        if trace is not None:
+            trace.append({"log": new.count(), "frontier": left})
+        if not left:
+            final = log.proposals().groupBy("right_id").agg(F.min(F.struct("left_id", "tier")).alias("h"))
+            return final.select(F.col("h.left_id").alias("left_id"), "right_id", F.col("h.tier").alias("tier"))

@@ -53,11 +53,16 @@ def cut(df: DataFrame, label: str = "t") -> DataFrame:
     Cuts the lineage like a checkpoint, computes the plan once, survives lost
     executors, and gives the next join a real size statistic.
     """
+    return cut_path(df, label)[0]
+
+
+def cut_path(df: DataFrame, label: str = "t") -> tuple[DataFrame, str]:
+    """As ``cut``, with the folder written, for tables that are read together with others."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_intermediate(spark: SparkSession) -> int:

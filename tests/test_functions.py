@@ -181,7 +181,7 @@ def test_rule_table_of_any_length(spark):
     assert got == {i: f"c{n - 1 - i}" for i in range(n)} | {n: classify.UNCLASSIFIED}
 
 
-def test_matching_in_small_chunks(spark):
+def test_matching_in_small_chunks(spark, monkeypatch):
     """Many chunks and a crowded place give what one chunk gives."""
     left = spark.range(90).select(F.col("id").alias("left_id"), F.lit("p").alias("place"), F.explode(F.array(
         F.struct(F.lit(0).alias("tier"), F.concat(F.lit("a"), (F.col("id") % 4).cast("string")).alias("list_id")),
@@ -202,8 +202,36 @@ def test_matching_in_small_chunks(spark):
                 used.add(free[0])
                 want[i] = free[0]
                 break
-    for chunk in (1000, 11):
-        assert {r.left_id: r.right_id for r in matching.greedy_assign(left, right, chunk=chunk).collect()} == want
+    for chunk, spare, block in ((1000, 128, 256), (11, 128, 256), (11, 0, 2), (1000, 1, 3)):
+        monkeypatch.setattr(matching, "SPARE", spare)
+        monkeypatch.setattr(matching, "BLOCK", block)
+        trace = []
+        assert {r.left_id: r.right_id for r in matching.greedy_assign(left, right, chunk=chunk, trace=trace).collect()} == want
+        # a round writes its new proposals and used-up lists, and a frontier that falls to nothing
+        assert trace[-1]["frontier"] == 0 and sum(t["log"] for t in trace[1:]) < trace[0]["log"] * len(trace)
+
+
+def test_matching_writes_with_its_frontier(spark):
+    """Settled rows are not written again: later rounds write no more than their frontier can move."""
+    n = 3000
+    left = spark.range(n).select(F.col("id").alias("left_id"), F.lit("p").alias("place"), F.explode(F.array(
+        F.struct(F.lit(0).alias("tier"), F.concat(F.lit("a"), (F.col("id") % 500).cast("string")).alias("list_id")),
+        F.struct(F.lit(1).alias("tier"), F.concat(F.lit("b"), (F.col("id") % 97).cast("string")).alias("list_id")))).alias("x")).select("left_id", "place", "x.*")
+    right = spark.range(n).select(F.col("id").alias("right_id"), F.explode(F.array(
+        F.concat(F.lit("a"), (F.col("id") * 7 % 510).cast("string")), F.concat(F.lit("b"), (F.col("id") % 97).cast("string")))).alias("list_id"))
+    trace = []
+    got = matching.greedy_assign(left, right.distinct(), chunk=300, trace=trace)
+    assert got.select("right_id").distinct().count() == got.count() and len(trace) > 2
+    assert all(b["log"] <= a["frontier"] * 300 for a, b in zip(trace, trace[1:], strict=False))
+    assert all(b["log"] + b["frontier"] < 0.5 * trace[0]["log"] for b in trace[2:]) and trace[-1]["log"] < trace[1]["log"] < trace[0]["log"]
+
+
+def test_matching_keeps_large_ids(spark):
+    """Identifiers above 2^53 stay what they are."""
+    top = (1 << 62) + 1
+    left = spark.range(6).select((F.col("id") + top).alias("left_id"), F.lit(0).alias("tier"), F.lit("a").alias("list_id"))
+    right = spark.range(4).select(F.lit("a").alias("list_id"), (F.col("id") * 2 + top).alias("right_id"))
+    assert {(r.left_id - top, r.right_id - top) for r in matching.greedy_assign(left, right, chunk=2).collect()} == {(i, 2 * i) for i in range(4)}
 
 
 def test_containment_equals_all_pairs(spark):
