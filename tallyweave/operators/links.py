@@ -156,7 +156,42 @@ def receipt_lists(entries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataF
 RECEIPT_SCORES = {0: 1.0, 1: 0.95, 10: 0.8, 11: 0.75, 12: 0.7}
 
 
-def match_receipts(entries: DataFrame, docs: DataFrame) -> DataFrame:
+def _tier_two(choice: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nameless invoice chosen for each payer as a list of its own."""
+    own = F.concat(F.lit("x|"), F.col("left_id").cast("string"))
+    lefts = choice.select("left_id", F.lit(None).cast("string").alias("place"), F.lit(2).alias("tier"), own.alias("list_id"))
+    return lefts, choice.select(own.alias("list_id"), "right_id")
+
+
+def _touched(seed: DataFrame, left_lists: DataFrame, lists: DataFrame) -> DataFrame:
+    """``left_id`` of the connected groups of the candidate graph that hold a row of ``seed``.
+
+    A search from the changed rows outwards: each round follows only the rows that are
+    new (their lists, the lists' invoices, all lists that hold those, and the rows that
+    name them), so groups without a changed row are never visited.
+    """
+    new = cut(seed.select("left_id").distinct(), "touched")
+    lefts, rights = [new], []
+    while True:
+        found = lists.join(left_lists.join(new, "left_id", "left_semi").select("list_id").distinct(), "list_id", "left_semi").select("right_id").distinct()
+        for known in rights:
+            found = found.join(known, "right_id", "left_anti")
+        found = cut(found, "touched")
+        rights.append(found)
+        held_in = lists.join(found, "right_id", "left_semi").select("list_id").distinct()
+        new = left_lists.join(held_in, "list_id", "left_semi").select("left_id").distinct()
+        for known in lefts:
+            new = new.join(known, "left_id", "left_anti")
+        new = cut(new, "touched")
+        if new.isEmpty():
+            out = lefts[0]
+            for more in lefts[1:]:
+                out = out.unionByName(more)
+            return out
+        lefts.append(new)
+
+
+def match_receipts(entries: DataFrame, docs: DataFrame, trace: list[int] | None = None) -> DataFrame:
     """Exclusive receipt-invoice matches.
 
     A named payer without a matching name left takes a nameless invoice only
@@ -164,6 +199,11 @@ def match_receipts(entries: DataFrame, docs: DataFrame) -> DataFrame:
     on what earlier payers took, so the choices are repeated until they agree
     with the matches they produce. Each pass settles at least the earliest
     payer still wrong, so the passes end, and an agreeing state is the sequential result.
+
+    The first pass matches all rows. A later one matches again only the connected groups
+    that hold a payer whose choice changed, and looks again only at the choices of payers
+    in reach of an invoice whose holder changed. ``trace`` receives the payers matched in
+    each pass.
     """
     entries, docs = cut(entries, "receipt-entries"), cut(docs, "receipt-docs")
     left_lists, lists, nameless = (cut(x, "receipts") for x in receipt_lists(entries, docs))
@@ -171,32 +211,55 @@ def match_receipts(entries: DataFrame, docs: DataFrame) -> DataFrame:
     totals = nameless.groupBy("list_id").agg(
         F.count("*").alias("n"), F.sum(F.col("right_id").cast("decimal(38,0)")).alias("ids"))
     asks = cut(asks.join(totals, "list_id"), "asks")
-    choice = asks.where("n = 1").select("left_id", F.col("ids").cast("long").alias("right_id"))
-    while True:
-        choice = cut(choice, "choice")
-        own = F.concat(F.lit("x|"), F.col("left_id").cast("string"))
-        matches = cut(
-            greedy_assign(
-                left_lists.unionByName(choice.select(
-                    "left_id", F.lit(None).cast("string").alias("place"), F.lit(2).alias("tier"), own.alias("list_id"))),
-                lists.unionByName(choice.select(own.alias("list_id"), "right_id")),
-            ),
-            "receipt-matches",
-        )
-        taken = nameless.join(matches.select("right_id", "left_id"), "right_id").select(
+
+    def match(choice: DataFrame, of: DataFrame | None = None) -> DataFrame:
+        two, two_lists = _tier_two(choice)
+        mine = left_lists.unionByName(two)
+        if of is not None:
+            mine = cut(mine.join(of, "left_id", "left_semi"), "touched-lists")
+            return greedy_assign(mine, lists.unionByName(two_lists).join(mine.select("list_id").distinct(), "list_id", "left_semi"))
+        return greedy_assign(mine, lists.unionByName(two_lists))
+
+    def choices(matches: DataFrame, of: DataFrame) -> DataFrame:
+        """What the payers of ``of`` would choose, given who holds what."""
+        reach = nameless.join(of.select("list_id").distinct(), "list_id", "left_semi")
+        taken = reach.join(matches.select("right_id", "left_id"), "right_id").select(
             "list_id", "left_id", F.lit(1).cast("long").alias("one"), F.col("right_id").cast("decimal(38,0)").alias("id"),
             F.lit(None).cast("long").alias("n"), F.lit(None).cast("decimal(38,0)").alias("ids"))
-        rows = taken.unionByName(asks.select(
+        rows = taken.unionByName(of.select(
             "list_id", "left_id", F.lit(0).cast("long").alias("one"), F.lit(0).cast("decimal(38,0)").alias("id"), "n", "ids"))
         seen = running(rows, ["list_id"], "left_id", {"used": F.col("one"), "used_ids": F.col("id")})
-        again = cut(
-            seen.where((F.col("n").isNotNull()) & (F.col("n") - F.col("used") == 1))
-            .select("left_id", (F.col("ids") - F.col("used_ids")).cast("long").alias("right_id")),
-            "choice",
-        )
-        if again.exceptAll(choice).limit(1).count() == 0 and choice.exceptAll(again).limit(1).count() == 0:
+        return seen.where((F.col("n").isNotNull()) & (F.col("n") - F.col("used") == 1)).select(
+            "left_id", (F.col("ids") - F.col("used_ids")).cast("long").alias("right_id"))
+
+    choice = cut(asks.where("n = 1").select("left_id", F.col("ids").cast("long").alias("right_id")), "choice")
+    matches = cut(match(choice), "receipt-matches")
+    if trace is not None:
+        trace.append(entries.count())
+    asked = asks
+    while True:
+        again = choices(matches, asked)
+        if asked is not asks:
+            again = choice.join(asked.select("left_id"), "left_id", "left_anti").unionByName(again)
+        again = cut(again, "choice")
+        changed = cut(again.exceptAll(choice).unionByName(choice.exceptAll(again)).select("left_id").distinct(), "changed")
+        if changed.isEmpty():
             return matches
+        # groups joined by what was chosen before as well as by what is chosen now
+        before, before_lists = _tier_two(choice.select("left_id", "right_id"))
+        now, now_lists = _tier_two(again)
+        graph, graph_lists = left_lists.unionByName(before).unionByName(now), lists.unionByName(before_lists).unionByName(now_lists)
+        touched = cut(_touched(changed, graph.select("left_id", "list_id").distinct(), graph_lists.distinct()), "touched")
+        redone = cut(match(again, touched), "receipt-matches")
+        old = matches.join(touched, "left_id", "left_semi")
+        moved = redone.select("right_id", "left_id").exceptAll(old.select("right_id", "left_id")).unionByName(
+            old.select("right_id", "left_id").exceptAll(redone.select("right_id", "left_id"))).select("right_id").distinct()
+        cells = nameless.join(moved, "right_id", "left_semi").select("list_id").distinct()
+        asked = cut(asks.join(cells, "list_id", "left_semi"), "asks")
+        matches = cut(matches.join(touched, "left_id", "left_anti").unionByName(redone), "receipt-matches")
         choice = again
+        if trace is not None:
+            trace.append(touched.count())
 
 
 def receipt_candidates(entries: DataFrame, docs: DataFrame) -> DataFrame:

@@ -191,6 +191,26 @@ def test_receipts_pool(spark):
     assert links.match_receipts(e, spark.createDataFrame(rows[:1], schema)).count() == 1
 
 
+def test_receipts_later_passes_touch_changed_groups_only(spark):
+    """A payer without a name leaves one of two nameless invoices; only its group is matched again."""
+    e_schema = "left_id long, cents long, day int, client string, cname string"
+    d_schema = "right_id long, cents long, day int, receiver string, doc_model string, pdf_path string, xml_path string, dname string"
+    entries = [(1, 1000, 0, None, None), (2, 1000, 0, "ANA LIMA", "ANALIMA"), (3, 1003, 2, "LOJA AZUL", "LOJAAZUL")]
+    docs = [(11, 1000, 0, None, "55", None, "a", None), (12, 1001, 1, None, "55", None, "b", None), (13, 1004, 3, None, "55", None, "c", None), (14, 1008, 9, None, "55", None, "d", None)]
+    entries += [(100 + i, 5000 + 20 * i, i % 9, "XYZW", "XYZW") for i in range(40)]
+    docs += [(1000 + i, 5000 + 20 * i, i % 9, "XYZW" if i % 2 else None, "55", None, "x", "XYZW" if i % 2 else None) for i in range(40)]
+    trace = []
+    got = {r.left_id: r.right_id for r in links.match_receipts(spark.createDataFrame(entries, e_schema), spark.createDataFrame(docs, d_schema), trace).collect()}
+    # payer 1 takes 11; 12 and 13 are left for payer 2, so none; payer 3 too
+    assert {k: v for k, v in got.items() if k < 100} == {1: 11} and all(got[100 + i] == 1000 + i for i in range(40)) and trace == [43]
+    trace = []
+    got = {r.left_id: r.right_id for r in links.match_receipts(
+        spark.createDataFrame(entries, e_schema), spark.createDataFrame([d for d in docs if d[0] != 13], d_schema), trace).collect()}
+    # now payer 2 finds 12 alone, which leaves 14 to payer 3: one more choice in each pass
+    assert {k: v for k, v in got.items() if k < 100} == {1: 11, 2: 12, 3: 14} and len(got) == 43
+    assert trace[0] == 43 and len(trace) > 1 and all(n <= 3 for n in trace[1:])
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_files_random(spark, seed):
     r = random.Random(seed)
