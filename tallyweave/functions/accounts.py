@@ -8,6 +8,8 @@ from tallyweave.schemas import CATCH_ALL
 # Fuel account prefix, fuel words, words that mark equity accounts.
 FUEL_PREFIX = "4.02.01.01.06"
 FUEL_DEFAULT_ACCOUNT = "4.02.01.01.06.0001"
+# Whether a fuel receipt found its entry.
+LINKED, UNLINKED = "conciliado", "documento"
 FUEL_WORDS = r"POSTOS?\s|POSTO\s|COMBUST|LUBRIFIC|GASOLINA|DIESEL|ABASTEC"
 EQUITY_WORDS = r"PATRIM|CAPITAL SOCIAL|LUCRO|PREJU|RESULTADO"
 

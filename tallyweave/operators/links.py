@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tallyweave.functions import filenames as fn
-from tallyweave.functions.accounts import FUEL_DEFAULT_ACCOUNT, fuel_linkable
+from tallyweave.functions.accounts import FUEL_DEFAULT_ACCOUNT, LINKED, UNLINKED, fuel_linkable
 from tallyweave.functions.dates import day_number, minutes_in_text
 from tallyweave.functions.money import LINK_CENTS, cents
 from tallyweave.functions.text import client_name, matches_any, normalize_name, station_name, supplier_name
@@ -621,7 +621,7 @@ def fuel_records(documents: DataFrame, entries: DataFrame, matches: DataFrame) -
         "doc_id", "file_name", "doc_date", "doc_time", "amount", "station", "bank_account_id", "entry_id",
         F.coalesce("category", F.lit("Despesa combustível")).alias("category"),
         F.coalesce("debit_account", F.lit(FUEL_DEFAULT_ACCOUNT)).alias("debit_account"),
-        F.when(F.col("entry_id").isNotNull(), "conciliado").otherwise("documento").alias("status"),
+        F.when(F.col("entry_id").isNotNull(), LINKED).otherwise(UNLINKED).alias("status"),
         "score",
     )
 

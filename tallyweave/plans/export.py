@@ -101,6 +101,20 @@ def report_summary_lines(summary: DataFrame) -> DataFrame:
                           F.lit(0).cast("long").alias("key2"), line.alias("line"))
 
 
+# Titles of the text report's sections.
+REPORT_TITLE, SUMMARY_TITLE, ENTRIES_TITLE = "RAZÃO - CONCILIAÇÃO", "--- RESUMO POR CONTA ---", "--- LANÇAMENTOS ---"
+
+
+def report_header_lines(ledger: DataFrame, company: str, generated: str) -> DataFrame:
+    """Title, company and month, time of making, and the two section titles, once for each month."""
+    heads = [
+        (0, "1", F.lit(REPORT_TITLE)), (0, "2", F.concat(F.lit(f"{company} | Competência: "), "month")), (0, "3", F.lit(f"Gerado em: {generated}")),
+        (0, "4", F.lit("")), (0, "5", F.lit(SUMMARY_TITLE)), (2, "", F.lit("")), (2, "!", F.lit(ENTRIES_TITLE)),
+    ]
+    made = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(k).alias("key1"), F.lit(i - len(heads)).cast("long").alias("key2"), line.alias("line")) for i, (p, k, line) in enumerate(heads)])
+    return ledger.select("month").distinct().select("month", F.inline(made))
+
+
 def write_report(lines: DataFrame, path: str) -> None:
     """Text report, one folder per month, lines in order."""
     ordered = lines.repartitionByRange("month", "part", "key1", "key2").sortWithinPartitions("month", "part", "key1", "key2")

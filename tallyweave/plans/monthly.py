@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyweave.functions.accounts import LINKED
 from tallyweave.operators.reconcile import match_invoices
 
 
-def write_month(df: DataFrame, path: str) -> None:
-    """Replace exactly the months present in ``df``; running it twice changes nothing."""
+def write_month(df: DataFrame, path: str, months: list[str] | None = None) -> None:
+    """Replace the months present in ``df``; running it twice changes nothing.
+
+    ``months`` names the months that are rebuilt: one of them without rows is cleared.
+    Readers may meet a half-replaced table; ``publish`` swaps whole versions.
+    """
+    if months is not None:
+        spark = df.sparkSession
+        held = {r.month for r in df.where(F.col("month").isin(list(months))).select("month").distinct().collect()}
+        conf = spark._jsc.hadoopConfiguration()
+        for month in set(months) - held:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/month={month}")
+            folder.getFileSystem(conf).delete(folder, True)
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
 
 
@@ -35,8 +47,14 @@ def not_in(left: DataFrame, key: str, right: DataFrame, right_key: str) -> DataF
     ).select(*left.columns)
 
 
-def month_stats(ledger: DataFrame, attachments: DataFrame, fiscal: DataFrame, recon: DataFrame) -> DataFrame:
-    """Imported, pending, attachments, invoices, reconciliations per month."""
+def month_stats(
+    ledger: DataFrame, attachments: DataFrame, fiscal: DataFrame, recon: DataFrame, fuel_records: DataFrame | None = None,
+) -> DataFrame:
+    """Imported, pending, attachments, invoices, reconciliations per month of the ledger.
+
+    With ``fuel_records(month, status)`` also fuel receipts and those linked; months that
+    only they have are added.
+    """
     base = ledger.groupBy("month").agg(
         F.count("*").alias("imported"), F.count_if(F.col("status") == "manual_review").alias("pending"))
     att = attachments.groupBy("entry_id").agg(F.count("*").alias("n")).join(ledger.select("entry_id", "month"), "entry_id")
@@ -46,7 +64,14 @@ def month_stats(ledger: DataFrame, attachments: DataFrame, fiscal: DataFrame, re
     out = base
     for side in (att, fis, rec):
         out = out.join(side, "month", "left")
-    return out.na.fill(0, ["attachments", "fiscal", "reconciliations"])
+    if fuel_records is None:
+        return out.na.fill(0, ["attachments", "fiscal", "reconciliations"])
+    return out.join(fuel_counters(fuel_records), "month", "full_outer").na.fill(0)
+
+
+def fuel_counters(fuel_records: DataFrame) -> DataFrame:
+    """Receipts of each ``month`` and those with an entry."""
+    return fuel_records.groupBy("month").agg(F.count("*").alias("fuel_documents"), F.count_if(F.col("status") == LINKED).alias("fuel_linked"))
 
 
 def reconcile_month(tx: DataFrame, fiscal: DataFrame, month: str, recon: DataFrame | None = None, **kwargs) -> DataFrame:

@@ -99,7 +99,7 @@ def dashboard(ledger: DataFrame, attachments: DataFrame) -> DataFrame:
 
 
 def receipt_counts(fuel_records: DataFrame) -> DataFrame:
-    linked = F.col("status") == "conciliado"
+    linked = F.col("status") == acc.LINKED
     return fuel_records.agg(
         F.count("*").alias("documents"),
         F.count_if(linked).alias("linked"),

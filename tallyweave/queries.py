@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallyweave import sample
 from tallyweave.functions import accounts as acc, dates, filenames as fn, money, text
 from tallyweave.operators import classify, links, overlay, quality, reconcile
-from tallyweave.plans import export, monthly, reports
+from tallyweave.plans import export, monthly, publish, reports
 from tallyweave.sample import RULE_ROWS, with_clause
 from tallyweave.session import work_dir
 from tallyweave.sources import accounts, documents, invoices, statements
@@ -627,6 +627,57 @@ def _(spark, view, sf):
         F.count("*").alias("n"), F.sum("amount").alias("total"), F.count_if(F.col("status") == "pending").alias("rebuilt"))
 
 
+_LEFT = """led AS (SELECT * REPLACE (CASE WHEN month LIKE '1998%' THEN 'pending' ELSE status END AS status) FROM ledger WHERE month <> '1998-06')"""
+
+
+@query("month_cleared", f", {_LEFT} SELECT month, count(*) AS n, {d('sum(amount)')} AS total, count(*) FILTER (WHERE status = 'pending') AS rebuilt FROM led GROUP BY 1", ("ledger",))
+def _(spark, view, sf):
+    path = scratch(spark, "ledger-by-month")
+    led = view("ledger")
+    monthly.write_month(led, path)
+    again = led.where(F.col("month").startswith("1998") & (F.col("month") != "1998-06")).withColumn("status", F.lit("pending"))
+    for _ in range(2):
+        monthly.write_month(again, path, [f"1998-{m:02d}" for m in range(1, 13)])
+    return monthly.read_month(spark, path).groupBy("month").agg(
+        F.count("*").alias("n"), F.sum("amount").alias("total"), F.count_if(F.col("status") == "pending").alias("rebuilt"))
+
+
+def _months_of(df: DataFrame, column: str) -> list[str]:
+    return [r[0] for r in df.select(F.date_format(column, "yyyy-MM")).distinct().collect() if r[0]]
+
+
+@query("month_publish", f""", {_LEFT}, a AS (SELECT entry_id, count(*) AS n FROM attachments GROUP BY 1),
+ e AS (SELECT led.month, count(*) AS entries, {d('sum(amount)')} AS total, count(*) FILTER (WHERE status = 'pending') AS rebuilt, count(*) FILTER (WHERE status = 'manual_review') AS pending, coalesce(sum(a.n), 0)::BIGINT AS attachments
+   FROM led LEFT JOIN a ON a.entry_id = led.entry_id GROUP BY 1),
+ b AS (SELECT month, count(DISTINCT led.bank_account_id) AS banks FROM led JOIN bank_accounts k ON k.bank_account_id = led.bank_account_id GROUP BY 1),
+ r AS (SELECT month, count(*) AS reconciliations FROM recon JOIN led ON led.tx_id = recon.tx_id GROUP BY 1),
+ f AS (SELECT strftime(issue_date, '%Y-%m') AS month, count(*) AS fiscal FROM fiscal GROUP BY 1)
+ SELECT e.month, entries, total, rebuilt, pending, attachments, coalesce(banks, 0) AS banks, coalesce(reconciliations, 0) AS reconciliations, coalesce(fiscal, 0) AS fiscal, entries AS imported, (SELECT count(*) FROM chart_of_accounts) AS accounts
+ FROM e LEFT JOIN b ON b.month = e.month LEFT JOIN r ON r.month = e.month LEFT JOIN f ON f.month = e.month""",
+    ("ledger", "attachments", "recon", "fiscal", "bank_accounts", "chart_of_accounts"))
+def _(spark, view, sf):
+    """All months, then those of 1998 anew (twice, June without rows), then a run that stops before its manifest."""
+    root = publish.Publication(spark, scratch(spark, "published"))
+    led, none = view("ledger"), spark.createDataFrame([], "doc_date date, status string")
+    of = lambda entries, months: publish.month_parts(entries, view("attachments"), view("fiscal"), view("recon"), view("bank_accounts"), view("chart_of_accounts"), none, months)
+    every = _months_of(led, "entry_date")
+    root.publish(of(led, every), every)
+    year = [f"1998-{m:02d}" for m in range(1, 13)]
+    again = led.where(F.col("month").startswith("1998") & (F.col("month") != "1998-06")).withColumn("status", F.lit("pending"))
+    parts = of(again, year)
+    parts["accounts"] = parts["accounts"].where("month <> '1998-06'")
+    for _ in range(2):
+        root.publish(parts, year)
+    root.stage({"entries": root.read("entries").withColumn("status", F.lit("lost"))}, every)  # never committed
+    entries = root.read("entries").groupBy("month").agg(
+        F.count("*").alias("entries"), F.sum("amount").alias("total"), F.count_if(F.col("status") == "pending").alias("rebuilt"),
+        F.sum(F.size("attachments")).alias("in_entries"))
+    banks = root.read("summary").groupBy("month").agg(F.count("*").alias("banks"))
+    charts = root.read("accounts").groupBy("month").agg(F.count("*").alias("accounts"))
+    out = entries.join(banks, "month", "left").join(charts, "month").join(root.read("stats").drop("fuel_documents", "fuel_linked"), "month")
+    return out.where("in_entries = attachments").drop("in_entries").withColumn("banks", F.coalesce("banks", F.lit(0)))
+
+
 @query("semi_month", "SELECT entry_id, file_name FROM attachments WHERE entry_id IN (SELECT entry_id FROM ledger WHERE month = '1998-10')", ("ledger", "attachments"))
 def _(spark, view, sf):
     return monthly.rows_of_month(view("attachments"), view("ledger"), "entry_id", "1998-10").select("entry_id", "file_name")
@@ -671,13 +722,16 @@ def _(spark, view, sf):
 
 @query("report_lines", """SELECT month, 2 AS part, entry_id AS key2, concat(strftime(entry_date, '%d/%m/%Y'), ' | R$ ', CAST(amount AS VARCHAR), ' | D:', debit_account, ' C:', credit_account, ' | ', description, ' [', category, ']') AS line FROM ledger
  UNION ALL SELECT l.month, 1, 0, concat(l.bank_account_id, ': entradas R$ ', CAST(CAST(sum(CASE WHEN l.debit_account = b.coa_code THEN l.amount ELSE 0 END) AS DECIMAL(18,2)) AS VARCHAR), ' | saídas R$ ', CAST(CAST(sum(CASE WHEN l.credit_account = b.coa_code THEN l.amount ELSE 0 END) AS DECIMAL(18,2)) AS VARCHAR))
- FROM ledger l JOIN bank_accounts b ON b.bank_account_id = l.bank_account_id GROUP BY l.month, l.bank_account_id""", ("ledger", "bank_accounts"))
+ FROM ledger l JOIN bank_accounts b ON b.bank_account_id = l.bank_account_id GROUP BY l.month, l.bank_account_id
+ UNION ALL SELECT month, h.part, h.key2, CASE WHEN h.line = '@' THEN concat('Empresa | Competência: ', month) ELSE h.line END FROM (SELECT DISTINCT month FROM ledger) m,
+  (VALUES (0, -7, 'RAZÃO - CONCILIAÇÃO'), (0, -6, '@'), (0, -5, 'Gerado em: 01/02/2024 10:00'), (0, -4, ''), (0, -3, '--- RESUMO POR CONTA ---'), (2, -2, ''), (2, -1, '--- LANÇAMENTOS ---')) h(part, key2, line)""", ("ledger", "bank_accounts"))
 def _(spark, view, sf):
     led, banks = view("ledger"), view("bank_accounts").select("bank_account_id", "coa_code")
     per_month = led.join(banks, "bank_account_id").groupBy("month", "bank_account_id").agg(
         reports.sum_if(F.col("debit_account") == F.col("coa_code")).alias("inflow"),
         reports.sum_if(F.col("credit_account") == F.col("coa_code")).alias("outflow"))
-    return export.report_entry_lines(led).unionByName(export.report_summary_lines(per_month)).select("month", "part", "key2", "line")
+    lines = export.report_entry_lines(led).unionByName(export.report_summary_lines(per_month))
+    return lines.unionByName(export.report_header_lines(led, "Empresa", "01/02/2024 10:00")).select("month", "part", "key2", "line")
 
 
 # --- checks ---------------------------------------------------------------------------
@@ -947,6 +1001,26 @@ def _(spark, view, sf):
     return reports.receipt_counts(links.fuel_records(docs, entries, links.match_fuel(docs, entries)))
 
 
+@query("fuel_refresh", _FUEL + """, fr AS (SELECT strftime(doc_date, '%Y-%m') AS month, count(*) AS fuel_documents, count(entry_id) AS fuel_linked, sum(amount) AS total FROM rec WHERE doc_date IS NOT NULL GROUP BY 1),
+ en AS (SELECT month, count(*) AS imported FROM ledger GROUP BY 1)
+ SELECT coalesce(fr.month, en.month) AS month, coalesce(imported, 0) AS imported, coalesce(fuel_documents, 0) AS fuel_documents, coalesce(fuel_linked, 0) AS fuel_linked, total, coalesce(imported, 0) AS entries
+ FROM fr FULL JOIN en ON en.month = fr.month""", ("fuel_docs", "fuel_spend", "ledger"))
+def _(spark, view, sf):
+    """Published before any receipt was linked; then only the fuel part and its two counters are replaced."""
+    docs, entries = _fuel(view)
+    root = publish.Publication(spark, scratch(spark, "published"))
+    led = view("ledger")
+    months = sorted({*_months_of(led, "entry_date"), *_months_of(docs, "doc_date")})
+    unlinked = links.fuel_records(docs, entries, spark.createDataFrame([], "doc_id long, entry_id long, score double"))
+    parts = publish.month_parts(led, view("attachments"), view("fiscal"), view("recon"), view("bank_accounts"), view("chart_of_accounts"), unlinked, months)
+    root.publish({n: parts[n] for n in ("entries", "fuel_records", "stats")}, months)
+    linked = links.fuel_records(docs, entries, links.match_fuel(docs, entries))
+    root.publish(publish.fuel_parts(root, linked, months), months)
+    sums = root.read("fuel_records").groupBy("month").agg(F.sum("amount").alias("total"))
+    kept = root.read("entries").groupBy("month").agg(F.count("*").alias("entries"))
+    return root.read("stats").select("month", "imported", "fuel_documents", "fuel_linked").join(sums, "month", "left").join(kept, "month", "left").na.fill(0, ["entries"])
+
+
 @query("receipt_search", _FUEL + "SELECT doc_id FROM (SELECT rec.*, coalesce(nullif(f.counterparty, ''), nullif(regexp_replace(f.description, '.*POSTO', 'POSTO'), '')) AS station FROM rec LEFT JOIN fuel_spend f ON f.entry_id = rec.entry_id) z WHERE contains(lower(concat_ws(' ', file_name, station, CAST(doc_date AS VARCHAR))), 'posto central')", ("fuel_docs", "fuel_spend"))
 def _(spark, view, sf):
     docs, entries = _fuel(view)
