@@ -25,7 +25,7 @@ from tallyweave.functions.dates import day_number, minutes_in_text
 from tallyweave.functions.money import LINK_CENTS, cents
 from tallyweave.functions.text import client_name, matches_any, normalize_name, station_name, supplier_name
 from tallyweave.operators.matching import greedy_assign
-from tallyweave.operators.names import containment
+from tallyweave.operators.names import containment, first_holding, holds
 from tallyweave.operators.ranking import ranked, running
 from tallyweave.operators.reconcile import cell_lists, day_blocks, near_value, spread
 from tallyweave.session import cut, once
@@ -333,7 +333,9 @@ def first_named_file(names: DataFrame, name: str, files: DataFrame, by_path: boo
     keyed = files.select("file_id", F.explode(F.array_distinct(F.array(*texts))).alias("_f")).where("_f <> ''")
     keyed = cut(keyed.groupBy("_f").agg(F.min("file_id").alias("file_id")), "file-names")
     names = cut(names.select(name).distinct(), "names")
-    hits = containment(names, name, keyed, "_f").join(keyed, "_f").select(name, "file_id")
+    # the files that hold a name may be very many; the file names inside one name can't be
+    inside = holds(names, name, keyed, "_f").join(keyed, "_f").select(name, "file_id")
+    hits = first_holding(names, name, keyed, "_f", "file_id").unionByName(inside)
     if prefix:
         by_prefix = keyed.groupBy(F.left("_f", F.lit(6)).alias("_p")).agg(F.min("file_id").alias("file_id"))
         own = names.select(name).where(F.col(name) != "").distinct().withColumn("_p", F.left(name, F.lit(6)))

@@ -321,3 +321,21 @@ def test_fuel_names(spark):
         "Scan_20260624_144751.jpg": ("2026-06-24", "14:47"), "Digitalizado_20260616-1520.pdf": ("2026-06-16", "15:20"),
         "x 09062026.pdf": ("2026-06-09", None), "x 062026.pdf": ("2026-06-20", None), "x.pdf": ("2026-06-20", None)}
     assert fn.FUEL_EXTENSIONS
+
+
+def test_first_file_with_a_name_that_a_third_holds(spark, monkeypatch):
+    """The smallest id among all files that hold a name, or whose name it holds, however many they are."""
+    from tallyweave.operators import names
+
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("ABCD") for _ in range(n))
+    files = [(i, ("LOJAAZUL" if i % 3 == 0 else "") + word(r.randrange(1, 9)) + ("X" if i > 500 else "")) for i in r.sample(range(5, 3000), 900)]
+    asked = ["LOJAAZUL", "JAAZ", "AZULX", "AB", "A", "ABCDX", "LOJAAZULA", "NOTTHERE", "ZZ", "DCBAX", "", "LOJAAZULDD"] + [word(k) for k in (3, 4, 5, 6, 7, 12)]
+    df = spark.createDataFrame(files, "file_id long, file_name string").withColumn("path", F.lit("p"))
+    q = spark.createDataFrame([(a,) for a in [*asked, "LOJAAZUL"]], "name string")
+    got = {x.name: x.file_id for x in links.first_named_file(q, "name", df).collect()}
+    want = {a: min((i for i, f in files if a in f or f in a), default=None) for a in asked if a}
+    assert got == {a: i for a, i in want.items() if i is not None}
+    few = [(f, min(i for i, g in files if g == f)) for f in {f for _, f in files}]
+    by = names.first_holding(q, "name", spark.createDataFrame(few, "f string, file_id long"), "f", "file_id", first=2)
+    assert {x.name: x.file_id for x in by.collect()} == {a: m for a in asked if a for m in [min((i for i, f in files if a in f), default=None)] if m is not None}
