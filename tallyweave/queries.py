@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from tallyweave import sample
 from tallyweave.functions import accounts as acc, dates, filenames as fn, money, text
@@ -552,9 +552,22 @@ def _(spark, view, sf):
     return ledger.withColumn("r", inside).join(before, "entry_date").select((F.col("b") + F.col("r")).cast("long").alias("place"), "entry_id")
 
 
-@query("coa_sorted", "SELECT code, name, type FROM chart_of_accounts", ("chart_of_accounts",))
+@query("coa_sorted", """SELECT code, name, type, row_number() OVER (ORDER BY list_transform(string_split(code, '.'), lambda x: CAST(x AS INT)), code) AS place
+ FROM (SELECT * FROM chart_of_accounts UNION ALL SELECT * FROM incoming_accounts WHERE code NOT IN (SELECT code FROM chart_of_accounts)) z""", ("chart_of_accounts", "incoming_accounts"))
 def _(spark, view, sf):
-    return reports.sorted_chart(view("chart_of_accounts"))
+    chart, more = view("chart_of_accounts"), view("incoming_accounts")
+    both = chart.unionByName(more.join(chart.select("code"), "code", "left_anti").select(*chart.columns))
+    ordered = reports.sorted_chart(both)
+    place = F.row_number().over(W.orderBy(acc.code_sort_key("code"), "code"))  # one account chart
+    return ordered.withColumn("place", place.cast("long"))
+
+
+@query("chart_seed", "SELECT code, name, type FROM incoming_accounts", ("incoming_accounts",))
+def _(spark, view, sf):
+    """The accounts as a seed file, one JSON array, and read back."""
+    path = scratch(spark, "chart-seed")
+    accounts.write_chart(view("incoming_accounts"), path)
+    return accounts.read_chart(spark, path)
 
 
 @query("coa_counts", "SELECT type, count(*) AS n, count(*) FILTER (WHERE code LIKE '2.01.01.01.01.%') AS suppliers, count(*) FILTER (WHERE name = code) AS unnamed FROM (SELECT * FROM chart_of_accounts UNION ALL SELECT * FROM incoming_accounts) z GROUP BY 1", ("chart_of_accounts", "incoming_accounts"))
@@ -694,6 +707,18 @@ def _(spark, view, sf):
     return monthly.not_in(view("tx").select("tx_id", "counterparty_doc"), "counterparty_doc", right, "k").select("tx_id")
 
 
+_SIDES = "SELECT 'none' AS right_side, tx_id FROM tx WHERE counterparty_doc NOT IN (SELECT counterparty_doc FROM fiscal WHERE total_value < 0) UNION ALL "
+
+
+@query("anti_not_in_sides", _SIDES + "SELECT 'some', tx_id FROM tx WHERE counterparty_doc NOT IN (SELECT counterparty_doc FROM fiscal WHERE cancelled)", ("tx", "fiscal"))
+def _(spark, view, sf):
+    """Null keys on the left stay only where the right side is empty."""
+    left = view("tx").select("tx_id", "counterparty_doc")
+    parts = [("none", "total_value < 0"), ("some", "cancelled")]
+    out = [monthly.not_in(left, "counterparty_doc", view("fiscal").where(c), "counterparty_doc").select(F.lit(n).alias("right_side"), "tx_id") for n, c in parts]
+    return out[0].unionByName(out[1])
+
+
 @query("month_stats", """, a AS (SELECT l.month, count(*) AS n FROM attachments x JOIN ledger l ON l.entry_id = x.entry_id GROUP BY 1),
  f AS (SELECT strftime(issue_date, '%Y-%m') AS month, count(*) AS n FROM fiscal GROUP BY 1), r AS (SELECT l.month, count(*) AS n FROM recon x JOIN ledger l ON l.tx_id = x.tx_id GROUP BY 1)
  SELECT l.month, count(*) AS imported, count(*) FILTER (WHERE l.status = 'manual_review') AS pending, coalesce(any_value(a.n), 0) AS attachments, coalesce(any_value(f.n), 0) AS fiscal, coalesce(any_value(r.n), 0) AS reconciliations
@@ -759,29 +784,29 @@ def _(spark, view, sf):
 
 # --- matching and links ------------------------------------------------------------------
 
-_GREEDY = """RECURSIVE, e AS (SELECT t.tx_id, f.fiscal_id, CASE WHEN t.counterparty_doc = f.counterparty_doc THEN 0 ELSE 1 END AS tier
+_GREEDY = """RECURSIVE, e AS MATERIALIZED (SELECT t.tx_id, f.fiscal_id, CASE WHEN t.counterparty_doc = f.counterparty_doc THEN 0 ELSE 1 END AS tier
   FROM {tx} t JOIN {fiscal} f ON abs(abs(t.amount) - abs(f.total_value)) <= 0.02 AND abs(date_diff('day', t.tx_date, f.issue_date)) <= 3),
- p AS (SELECT tx_id, row_number() OVER (ORDER BY tx_id) AS rn, list(fiscal_id ORDER BY tier, fiscal_id) AS docs FROM e GROUP BY tx_id),
+ p AS MATERIALIZED (SELECT tx_id, row_number() OVER (ORDER BY tx_id) AS rn, list(fiscal_id ORDER BY tier, fiscal_id) AS docs FROM e GROUP BY tx_id),
  step(rn, used, tx_id, pick) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
   UNION ALL SELECT p.rn, CASE WHEN list_filter(p.docs, lambda x: NOT list_contains(s.used, x))[1] IS NULL THEN s.used ELSE list_append(s.used, list_filter(p.docs, lambda x: NOT list_contains(s.used, x))[1]) END,
    p.tx_id, list_filter(p.docs, lambda x: NOT list_contains(s.used, x))[1] FROM step s JOIN p ON p.rn = s.rn + 1)
- SELECT s.tx_id, s.pick AS fiscal_id, CASE WHEN e.tier = 0 THEN 'exact' ELSE 'fuzzy' END AS match_type, CASE WHEN e.tier = 0 THEN 1.0E0 ELSE 0.7E0 END AS match_score
+ SELECT s.tx_id, s.pick AS fiscal_id, CASE WHEN e.tier = 0 THEN 'exact' ELSE 'fuzzy' END AS match_type, CASE WHEN e.tier = 0 THEN 1.0E0 ELSE 0.7E0 END AS match_score, {confirmed} AS confirmed
  FROM step s JOIN e ON e.tx_id = s.tx_id AND e.fiscal_id = s.pick"""
 
 
-@query("recon_greedy", _GREEDY.format(tx="tx", fiscal="fiscal"), ("tx", "fiscal"))
+@query("recon_greedy", _GREEDY.format(tx="tx", fiscal="fiscal", confirmed="true"), ("tx", "fiscal"))
 def _(spark, view, sf):
-    return reconcile.match_invoices(view("tx"), view("fiscal")).drop("confirmed")
+    return reconcile.match_invoices(view("tx"), view("fiscal"))
 
 
-@query("recon_dense", _GREEDY.format(tx="dense_tx", fiscal="dense_fiscal"), ("dense_tx", "dense_fiscal"))
+@query("recon_dense", _GREEDY.format(tx="dense_tx", fiscal="dense_fiscal", confirmed="true"), ("dense_tx", "dense_fiscal"))
 def _(spark, view, sf):
-    return reconcile.match_invoices(view("dense_tx"), view("dense_fiscal")).drop("confirmed")
+    return reconcile.match_invoices(view("dense_tx"), view("dense_fiscal"))
 
 
-@query("recon_outgoing", _GREEDY.format(tx="(SELECT * FROM tx WHERE amount < 0)", fiscal="fiscal"), ("tx", "fiscal"))
+@query("recon_outgoing", _GREEDY.format(tx="(SELECT * FROM tx WHERE amount < 0)", fiscal="fiscal", confirmed="false"), ("tx", "fiscal"))
 def _(spark, view, sf):
-    return reconcile.match_invoices(view("tx"), view("fiscal"), direction="out", confirmed=False).drop("confirmed")
+    return reconcile.match_invoices(view("tx"), view("fiscal"), direction="out", confirmed=False)
 
 
 _CAND = """, e AS (SELECT t.tx_id, f.fiscal_id, coalesce(t.counterparty_doc = f.counterparty_doc, false) AS same FROM {tx} t JOIN {fiscal} f
@@ -799,11 +824,11 @@ def _(spark, view, sf):
     return reconcile.candidate_summary(view("dense_tx"), view("dense_fiscal"))
 
 
-_MATCHED = _GREEDY.format(tx="tx", fiscal="fiscal")
-_MATCHED = _MATCHED[:_MATCHED.index(" SELECT s.tx_id, s.pick")] + ", recon AS (SELECT tx_id, pick AS fiscal_id FROM step WHERE pick IS NOT NULL)"
+_MATCHED = _GREEDY.format(tx="tx", fiscal="fiscal", confirmed="true")
+_MATCHED = _MATCHED[:_MATCHED.index(" SELECT s.tx_id, s.pick")] + ", recon AS MATERIALIZED (SELECT tx_id, pick AS fiscal_id FROM step WHERE pick IS NOT NULL)"
 
 
-@query("recon_pending", _MATCHED + f" SELECT tx_id, tx_date, description, {d('amount')} AS amount FROM tx WHERE NOT EXISTS (SELECT 1 FROM recon r WHERE r.tx_id = tx.tx_id)", ("tx", "fiscal"))
+@query("recon_pending", _MATCHED + f" SELECT tx_id, tx_date, description, {d('amount')} AS amount FROM tx LEFT JOIN (SELECT tx_id AS matched FROM recon) r ON r.matched = tx.tx_id WHERE r.matched IS NULL", ("tx", "fiscal"))
 def _(spark, view, sf):
     matches = reconcile.match_invoices(view("tx"), view("fiscal"))
     return reconcile.unreconciled(view("tx"), matches).select("tx_id", "tx_date", "description", "amount")

@@ -25,6 +25,12 @@ BACK, FORWARD = 6, 4  # lines looked at before and after a code line
 BLOCK = 1 << 16  # lines per block; a report of any length is split between tasks
 
 
+def write_chart(chart: DataFrame, path: str) -> None:
+    """The chart as one JSON array in one file: it has as many rows as a company has accounts."""
+    one = chart.select(F.struct("code", "name", "type").alias("a")).agg(F.to_json(F.sort_array(F.collect_list("a"))).alias("value"))
+    one.coalesce(1).write.text(path)
+
+
 def read_chart(spark: SparkSession, path: str) -> DataFrame:
     """The seed file: one JSON array of {code, name, type}."""
     return spark.read.schema(CHART_OF_ACCOUNTS).json(path, multiLine=True)
