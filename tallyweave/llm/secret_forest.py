@@ -180,9 +180,12 @@ def labelled_findings(docs: DataFrame, language: Language, rows: int = LABELLED,
     return made.orderBy("h", "text").limit(rows)
 
 
-def train(findings: DataFrame, language: Language, trees: int = TREES, depth: int = DEPTH) -> RandomForestClassificationModel:
+def train(findings: DataFrame, language: Language, trees: int = TREES, depth: int = DEPTH) -> RandomForestClassificationModel | float:
     """Forest on labelled findings (``text, start, run, path, label``); their number is the caller's bound.
 
+    Findings of one label alone leave nothing to tell apart: the result is that label, as
+    the probability of every candidate; without findings it is 0.
+
     They are few, so they are put in one partition and an order: equal findings give
     equal forests.
     """
@@ -196,12 +199,17 @@ def train(findings: DataFrame, language: Language, trees: int = TREES, depth: in
                 pa.array([float(r["label"]) for r in rows], pa.float64())], names=["x", "label"])
 
     measured = cut(findings.mapInArrow(measure, "x array<double>, label double").repartition(1).sortWithinPartitions("label", "x"), "findings")
+    seen = [r.label for r in measured.select("label").distinct().collect()]  # two at most
+    if len(seen) < 2:
+        return float(seen[0]) if seen else 0.0
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, featureSubsetStrategy="sqrt", featuresCol="v", labelCol="label")
     return forest.fit(measured.select(array_to_vector("x").alias("v"), "label"))
 
 
-def judged(model: RandomForestClassificationModel, df: DataFrame) -> DataFrame:
+def judged(model: RandomForestClassificationModel | float, df: DataFrame) -> DataFrame:
     """``df`` (features in ``x``) with ``probability`` and ``is_secret`` in place of them."""
+    if isinstance(model, float):
+        return df.drop("x").withColumn("probability", F.lit(model)).withColumn("is_secret", F.lit(model >= 0.5))
     out = model.transform(df.withColumn("v", array_to_vector("x")))
     p = vector_to_array("probability")[1]
     return out.select(*[c for c in df.columns if c != "x"], p.alias("p")).withColumn("is_secret", F.col("p") >= 0.5).withColumnRenamed("p", "probability")
@@ -213,7 +221,8 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
     ``start`` counts code points from 0. ``findings`` are the labelled findings to learn
     from; without them some are made. Null and empty texts have no candidates; a null path
     is an empty one; equal rows have equal candidates. Where nothing can be learnt (no
-    rows), there is nothing to judge either.
+    rows), there is nothing to judge either; findings of one label give all candidates
+    that label (none: no secrets).
     """
     spark: SparkSession = docs.sparkSession
     empty = "doc_id long, start long, run string, probability double, is_secret boolean"
