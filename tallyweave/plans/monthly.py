@@ -29,6 +29,30 @@ def read_month(spark: SparkSession, path: str, month: str | None = None) -> Data
     return df if month is None else df.where(F.col("month") == month)
 
 
+def save_month_table(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Catalog table ``name`` at ``path``, a folder for each ``month``, in ``buckets`` of ``key`` sorted by it.
+
+    Tables with one key and number of buckets join on the key without a shuffle. A bucket
+    of a month is one file, written by the bucket's task: choose ``buckets`` so that it
+    fits a task in the fullest month. Rows of one key stay together, so the key must be
+    (nearly) unique, as the identifiers of entries and transactions are.
+    """
+    (
+        df.repartition(buckets, key).write.mode("overwrite").partitionBy("month").bucketBy(buckets, key).sortBy(key)
+        .option("path", path).saveAsTable(name)
+    )
+    return df.sparkSession.table(name)
+
+
+def in_months(facts: DataFrame, months: DataFrame) -> DataFrame:
+    """Rows of a table written by month whose ``month`` is in ``months``.
+
+    ``months`` may come from any filter on a calendar of periods: Spark hands its result to
+    the scan (dynamic partition pruning), which opens the folders of those months only.
+    """
+    return facts.join(months.select("month"), "month", "left_semi")
+
+
 def rows_of_month(child: DataFrame, parent: DataFrame, key: str, month: str) -> DataFrame:
     """Child rows whose parent lies in the month: what a rebuild replaces."""
     return child.join(parent.where(F.col("month") == month).select(key), key, "left_semi")

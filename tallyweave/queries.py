@@ -299,6 +299,26 @@ def _(spark, view, sf):
         "fiscal_id", "doc_number", "doc_model", "cfop", "issue_date", "counterparty_name", "counterparty_doc", "direction", "total_value", "icms_value")
 
 
+_SPOILT = "CASE WHEN fiscal_id % 11 = 0 THEN 'damaged' WHEN fiscal_id % 23 = 0 THEN 'no_invoice' ELSE 'accepted' END"
+
+
+@query("invoice_files", f"""SELECT month, outcome, count(*) AS n, {d("sum(CASE WHEN outcome = 'accepted' THEN total_value END)")} AS total, count(DISTINCT CASE WHEN outcome = 'accepted' THEN doc_number END) AS numbers
+ FROM (SELECT strftime(issue_date, '%Y-%m') AS month, total_value, doc_number, {_SPOILT} AS outcome FROM fiscal) z GROUP BY 1, 2""", ("fiscal",))
+def _(spark, view, sf):
+    """Bundles by month written and read back; documents with a broken tag or another root go to quarantine."""
+    path = scratch(spark, "invoice-bundles")
+    made = _invoice_xml(view("fiscal")).join(view("fiscal").select("fiscal_id", dates.month_of("issue_date").alias("month")), "fiscal_id")
+    outcome = F.expr(_SPOILT)
+    xml = F.when(outcome == "damaged", F.regexp_replace("xml", "</emit>", "</emix>")).when(
+        outcome == "no_invoice", F.concat(F.lit("<evento>"), F.col("fiscal_id").cast("string"), F.lit("</evento>"))).otherwise(F.col("xml"))
+    made.select("month", xml.alias("value")).write.partitionBy("month").text(path)
+    files = invoices.read_invoice_bundles(spark, path).withColumn("month", F.regexp_extract("path", "month=([0-9-]+)/", 1))
+    good = invoices.parse_invoices(files, _OWN_ID).select("month", F.lit("accepted").alias("outcome"), "total_value", "doc_number")
+    bad = invoices.quarantined_invoices(files).select("month", F.col("reason").alias("outcome"))
+    return good.unionByName(bad, allowMissingColumns=True).groupBy("month", "outcome").agg(
+        F.count("*").alias("n"), F.sum("total_value").alias("total"), F.count_distinct("doc_number").alias("numbers"))
+
+
 @query("invoice_sheet", f"""SELECT doc_number, doc_model, cfop, issue_date, counterparty_name, NULL::VARCHAR AS counterparty_doc, {d('total_value')} AS total_value, cancelled FROM fiscal""", ("fiscal",))
 def _(spark, view, sf):
     c = invoices.SHEET_COLUMNS
@@ -332,6 +352,17 @@ def _(spark, view, sf):
         "file_id", "name", "ext", "kind", "bank_account_id", "meta_date", "meta_counterparty")
 
 
+@query("file_listing", f"""SELECT substr(path, 7, 7) AS mm, {_KIND_SQL.replace("'danfe'", "'xml_nfe'")} AS kind, CASE WHEN path LIKE '%COMPROVANTES%' THEN 'bank-a' WHEN path LIKE '%XML%' THEN 'bank-b' WHEN path LIKE '%NOTAS%BDF%' THEN 'bank-c' END AS bank_account_id,
+ CAST(sum(strlen(file_name) + 1) AS BIGINT) AS bytes FROM files GROUP BY 1, 2, 3""", ("files",))
+def _(spark, view, sf):
+    """Files written below month and kind folders, listed without being opened; their sizes add up to what was written."""
+    path = scratch(spark, "share")
+    folder = F.regexp_extract("path", "^share/[^/]+/([^/]+)/", 1)
+    view("files").select(F.substring("path", 7, 7).alias("mm"), folder.alias("folder"), F.col("file_name").alias("value")).write.partitionBy("mm", "folder").text(path)
+    listed = documents.list_files(spark, path).withColumn("mm", F.regexp_extract("path", "mm=([0-9-]+)/", 1)).withColumn("path", F.regexp_extract("path", "(mm=.*)$", 1))
+    return documents.inventory(listed, BANK_FOLDERS).groupBy("mm", "kind", "bank_account_id").agg(F.sum("size").alias("bytes"))
+
+
 @query("file_kind", """SELECT page_id, regexp_extract(base, '[^.]+.*(\\.[^.]*)$', 1) AS ext, CASE WHEN contains(u, 'XML') THEN 'xml_nfe' WHEN contains(u, 'COMBUST') THEN 'combustivel' WHEN contains(u, 'BOLETO') THEN 'boleto'
  WHEN regexp_extract(base, '[^.]+.*(\\.[^.]*)$', 1) IN ('.pdf', '.jpg', '.jpeg', '.tiff', '.tif', '.txt', '.xml') THEN 'anexo' ELSE 'outro' END AS kind
  FROM (SELECT page_id, upper(url) AS u, lower(regexp_extract(url, '([^/]*)$', 1)) AS base FROM pages) z""")
@@ -374,6 +405,39 @@ def _(spark, view, sf):
     return accounts.extract_accounts(view("report_lines"))
 
 
+_LETTERS = "regexp_replace(upper({}), '[^A-Z0-9]', '', 'g')"
+_KNOWN = [("4.01.01.00.02.0001", "Known"), ("3.01.01.01", "Known and in no report")]
+_OTHER, _NAME = _LETTERS.format("o.other"), _LETTERS.format("a.name")
+
+
+@query("coa_merge", f""", part2 AS (SELECT *, {sample._CODE} AS code FROM part),
+ standing AS (SELECT code, CASE WHEN code = '{_KNOWN[0][0]}' THEN '{_KNOWN[0][1]}' WHEN p_partkey % 2 = 0 THEN concat(p_name, ' revisto') WHEN p_partkey % 3 = 2 THEN concat(p_name, ' ', p_type) ELSE p_name END AS name,
+  CASE WHEN p_partkey % 2 = 0 THEN 3 ELSE 1 END AS seq FROM part2),
+ others AS (SELECT DISTINCT concat('Grupo ', p_name) AS other, 2 AS seq FROM part UNION SELECT DISTINCT concat(p_type, ' ', p_name, ' consolidado'), 4 FROM part WHERE p_partkey % 7 = 0),
+ names AS (SELECT DISTINCT name, seq FROM standing),
+ longer AS (SELECT a.name, a.seq, min_by(o.other, (-length(o.other), o.other)) AS other FROM names a JOIN others o ON o.seq > a.seq
+  AND length({_NAME}) >= 8 AND length({_OTHER}) >= 8 AND (contains({_OTHER}, left({_NAME}, 12)) OR contains({_NAME}, left({_OTHER}, 12))) GROUP BY 1, 2)
+ SELECT s.code, CASE WHEN length(l.other) > length(s.name) THEN l.other ELSE s.name END AS name, 'despesa' AS type FROM standing s LEFT JOIN longer l ON l.name = s.name AND l.seq = s.seq
+ UNION ALL SELECT '{_KNOWN[1][0]}', '{_KNOWN[1][1]}', 'receita' UNION ALL SELECT '9.9.9.99', 'Conta a classificar (revisão manual)', 'despesa'""".replace(", part2", "WITH part2", 1))
+def _(spark, view, sf):
+    """Trial balances of all brands, a balance sheet, a revised trial balance, and a second balance sheet."""
+    part = sample.table(spark, sf, "part")
+    code = F.expr(sample._CODE)
+    line = lambda report, text: (F.lit(report).alias("report_id"), F.col("p_partkey").alias("line_no"), F.concat(*text).alias("line"))
+    title = part.select(F.explode(F.array(F.lit("sheet-1"), F.lit("sheet-2"))).alias("report_id"), F.lit(-1).cast("long").alias("line_no"), F.lit("Balanço Patrimonial").alias("line")).distinct()
+    revised = part.where("p_partkey % 2 = 0").select(*line("revised", [F.col("p_name"), F.lit(" revisto"), code, F.lit("  1.234,56 D")]))
+    one = part.select(*line("sheet-1", [F.lit("Grupo "), F.col("p_name"), F.lit("  1.234,56 DB")]))
+    two = part.where("p_partkey % 7 = 0").select(*line("sheet-2", [F.col("p_type"), F.lit(" "), F.col("p_name"), F.lit(" consolidado 9,00CR")]))
+    base = view("report_lines").select("report_id", "line_no", "line")
+    lines = base.unionByName(title).unionByName(revised).unionByName(one).unionByName(two)
+    order = {"sheet-1": 2, "revised": 3, "sheet-2": 4}
+    seq = F.lit(1)
+    for report, place in order.items():
+        seq = F.when(F.col("report_id") == report, place).otherwise(seq)
+    reports_ = lines.select("report_id").distinct().withColumn("seq", seq)
+    return accounts.merge_reports(lines, reports_, _KNOWN)
+
+
 @query("ledger_json_roundtrip", f"SELECT month, count(*) AS n, {d('sum(amount)')} AS total, CAST(sum(k) AS BIGINT) AS attached FROM (SELECT l.*, coalesce(a.k, 0) AS k FROM ledger l LEFT JOIN (SELECT entry_id, count(*) AS k FROM attachments GROUP BY 1) a ON a.entry_id = l.entry_id) z GROUP BY 1", ("ledger", "attachments"))
 def _(spark, view, sf):
     path = scratch(spark, "month-documents")
@@ -655,6 +719,29 @@ def _(spark, view, sf):
         F.count("*").alias("n"), F.sum("amount").alias("total"), F.count_if(F.col("status") == "pending").alias("rebuilt"))
 
 
+@query("month_tables", f"""SELECT l.month, count(*) AS n, count(DISTINCT l.tx_id) AS ids, {d('sum(t.amount)')} AS total, count(*) FILTER (WHERE l.status = 'manual_review') AS pending
+ FROM ledger l JOIN tx t ON t.tx_id = l.tx_id WHERE l.month IN (SELECT strftime(issue_date, '%Y-%m') FROM fiscal GROUP BY 1 HAVING count(*) FILTER (WHERE cancelled) * 17 > count(*)) GROUP BY 1""", ("ledger", "tx", "fiscal"))
+def _(spark, view, sf):
+    """Entries with their transactions, of the months with more than one cancelled invoice in 17."""
+    return month_tables_join(spark, view)[0]
+
+
+def month_tables_join(spark: SparkSession, view) -> tuple[DataFrame, DataFrame]:
+    """The query and the join below its totals; tests look at the plan."""
+    mark = uuid.uuid4().hex
+    tx = view("tx").withColumn("month", dates.month_of("tx_date"))
+    led = monthly.save_month_table(view("ledger"), f"ledger_{mark}", scratch(spark, "month-ledger"), "tx_id", 8)
+    tx = monthly.save_month_table(tx, f"tx_{mark}", scratch(spark, "month-tx"), "tx_id", 8)
+    calendar = scratch(spark, "calendar")
+    view("fiscal").groupBy(dates.month_of("issue_date").alias("month")).agg(
+        F.count("*").alias("invoices"), F.count_if("cancelled").alias("cancelled")).write.parquet(calendar)
+    months = spark.read.parquet(calendar).where("cancelled * 17 > invoices")
+    both = monthly.in_months(led, months).join(monthly.in_months(tx, months).select("tx_id", F.col("amount").alias("signed")), "tx_id")
+    return both.groupBy("month").agg(
+        F.count("*").alias("n"), F.count_distinct("tx_id").alias("ids"), F.sum("signed").alias("total"),
+        F.count_if(F.col("status") == "manual_review").alias("pending")), both
+
+
 def _months_of(df: DataFrame, column: str) -> list[str]:
     return [r[0] for r in df.select(F.date_format(column, "yyyy-MM")).distinct().collect() if r[0]]
 

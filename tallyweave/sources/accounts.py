@@ -21,6 +21,8 @@ SKIP_LINE = (
     r"Saldo|ATIVOPASSIVO|PROSIS|BALANCETE|BALANÇO)"
 )
 SECTION_LINE = r"^\* \* \*"
+SHEET_TITLE = r"(?iu)BALANÇO PATRIMONIAL"
+UNCLASSIFIED_ACCOUNT = ("9.9.9.99", "Conta a classificar (revisão manual)", "despesa")
 BACK, FORWARD = 6, 4  # lines looked at before and after a code line
 BLOCK = 1 << 16  # lines per block; a report of any length is split between tasks
 
@@ -171,25 +173,56 @@ def best_names(candidates: DataFrame, known: list[tuple[str, str]] = ()) -> Data
     )
 
 
-def enrich_names(accounts: DataFrame, balance_lines: DataFrame) -> DataFrame:
+def enrich_names(accounts: DataFrame, balance_lines: DataFrame, seq: str | None = None) -> DataFrame:
     """Longer names from a balance report whose lines end in ``DB`` or ``CR``.
 
     Two names go together when one holds the first twelve letters of the other.
     Either way the shared piece is a 12-gram (or the whole name when shorter,
     from eight letters), so the pairs come from an equi-join on that piece.
+    ``seq`` names a column of both sides: an account takes names only from lines with a
+    larger one. Without it all lines count.
     """
     from tallyweave.operators.names import holds_prefix
 
     p = r"(?i)^(.+?)\s+([\d.,]+)\s*(DB|CR)\s*$"
     name = clean_account_name(F.regexp_extract(F.trim("line"), p, 1))
+    own, later = (F.lit(0), F.lit(1)) if seq is None else (F.col(seq), F.col(seq))
     found = (
-        balance_lines.where(F.trim("line").rlike(p) & ~F.trim("line").rlike(GLUED_LINE)).select(name.alias("other"))
+        balance_lines.where(F.trim("line").rlike(p) & ~F.trim("line").rlike(GLUED_LINE)).select(name.alias("other"), later.alias("_later"))
         .where(valid_account_name("other") & (F.length("other") >= 6) & ~F.col("other").rlike("(?i)^(ATIVO|PASSIVO|TOTAL|P A T R)"))
-        .distinct()
+        .groupBy("other").agg(F.max("_later").alias("_later"))
     )
-    longest = holds_prefix(accounts.select("name").distinct(), "name", found, "other", 12, 8).groupBy("name").agg(
-        F.min_by("other", F.struct((-F.length("other")).alias("l"), F.col("other").alias("o"))).alias("_longer")
+    found = cut(found, "balance-names")
+    numbered = accounts.withColumn("_own", own)
+    pairs = holds_prefix(accounts.select("name").distinct(), "name", found.select("other"), "other", 12, 8)
+    longest = (
+        numbered.select("name", "_own").distinct().join(pairs, "name").join(found, "other").where("_later > _own")
+        .groupBy("name", "_own").agg(F.min_by("other", F.struct((-F.length("other")).alias("l"), F.col("other").alias("o"))).alias("_longer"))
     )
-    out = accounts.join(longest, "name", "left")
+    out = numbered.join(longest, ["name", "_own"], "left")
     better = F.col("_longer").isNotNull() & (F.length("_longer") > F.length("name"))
-    return out.withColumn("name", F.when(better, F.col("_longer")).otherwise(F.col("name"))).drop("_longer").select(*accounts.columns)
+    return out.withColumn("name", F.when(better, F.col("_longer")).otherwise(F.col("name"))).select(*accounts.columns)
+
+
+def merge_reports(report_lines: DataFrame, reports: DataFrame, known: list[tuple[str, str]] = ()) -> DataFrame:
+    """One chart ``(code, name, type)`` from the reports named in ``reports(report_id, seq)``, in the order of ``seq``.
+
+    A report that carries the title of a balance sheet only lengthens names: those of the
+    accounts that stand when its turn comes. Any other is a trial balance and replaces the
+    accounts of an earlier one code by code. ``known`` accounts that no report has are
+    added; the account for what is not classified comes last and is always the fixed one.
+    Of reports with one ``seq`` the larger ``report_id`` counts as the later. No lines, or
+    no trial balance among them, give the known accounts and the fixed one.
+    """
+    of = report_lines.join(reports.select("report_id", "seq"), "report_id")
+    sheets = of.where(F.col("line").rlike(SHEET_TITLE)).select("report_id").distinct()
+    trial = of.join(sheets, "report_id", "left_anti")
+    named = extract_accounts(trial, known).join(reports.select("report_id", "seq"), "report_id")
+    last = F.max_by(F.struct("name", "type", "seq"), F.struct("seq", "report_id"))
+    standing = cut(named.groupBy("code").agg(last.alias("_l")).select("code", "_l.*"), "accounts")
+    chart = enrich_names(standing, of.join(sheets, "report_id", "left_semi"), "seq").drop("seq")
+    spark = report_lines.sparkSession
+    fixed = spark.createDataFrame([(c, n) for c, n in known], "code string, name string")
+    fixed = fixed.withColumn("type", account_type("code", "name", F.lit(""))).join(chart.select("code"), "code", "left_anti")
+    rest = spark.createDataFrame([UNCLASSIFIED_ACCOUNT], CHART_OF_ACCOUNTS)
+    return chart.unionByName(fixed).where(F.col("code") != UNCLASSIFIED_ACCOUNT[0]).unionByName(rest)

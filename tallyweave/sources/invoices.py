@@ -30,6 +30,16 @@ def read_invoice_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def read_invoice_bundles(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row per line of bundle files, a whole document on each line.
+
+    Many small documents packed this way are split between tasks by size, and a damaged
+    one costs itself only: an XML reader by row tag gives up the rest of its file.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("xml")).where(F.trim("xml") != "")
+
+
 def _digits(party: str) -> Column:
     raw = F.coalesce(F.nullif(F.col(f"{party}.CNPJ"), F.lit("")), F.col(f"{party}.CPF"), F.lit(""))
     return F.regexp_replace(raw, r"\D", "")
@@ -46,14 +56,25 @@ def _total(x: str) -> Column:
     return F.when(v != 0, v)
 
 
+def _parsed(files: DataFrame, xml: str) -> DataFrame:
+    """``files`` with the record ``_r`` and its invoice ``_i``; a damaged text stands in ``_r._damaged``."""
+    read = F.from_xml(xml, f"{XML_SCHEMA}, _damaged STRING", {"columnNameOfCorruptRecord": "_damaged"})
+    return once(files, _r=read).withColumn("_i", F.when(F.col("_r._damaged").isNull(), F.coalesce("_r.NFe.infNFe", "_r.infNFe")))
+
+
+def quarantined_invoices(files: DataFrame, xml: str = "xml") -> DataFrame:
+    """Texts that give no invoice, with ``reason``: ``damaged`` (not well-formed) or ``no_invoice`` (another root, empty, null)."""
+    reason = F.when(F.col("_r._damaged").isNotNull(), "damaged").otherwise("no_invoice")
+    return _parsed(files, xml).where("_i IS NULL").select(*files.columns, reason.alias("reason"))
+
+
 def parse_invoices(files: DataFrame, own_id: str, xml: str = "xml") -> DataFrame:
     """One row per readable invoice; other roots and malformed texts are dropped.
 
     Direction: inbound when the receiver is ``own_id``, else outbound. The
     counterparty is the other side.
     """
-    parsed = once(files, _r=F.from_xml(xml, XML_SCHEMA))
-    info = parsed.withColumn("_i", F.coalesce("_r.NFe.infNFe", "_r.infNFe")).where("_i IS NOT NULL")
+    info = _parsed(files, xml).where("_i IS NOT NULL")
     inbound = _digits("_i.dest") == own_id
     side = F.when(inbound, F.col("_i.emit")).otherwise(F.col("_i.dest"))
     keep = [c for c in files.columns if c != xml]
