@@ -32,13 +32,15 @@ def read_month(spark: SparkSession, path: str, month: str | None = None) -> Data
 def save_month_table(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
     """Catalog table ``name`` at ``path``, a folder for each ``month``, in ``buckets`` of ``key`` sorted by it.
 
-    Tables with one key and number of buckets join on the key without a shuffle. A bucket
-    of a month is one file, written by the bucket's task: choose ``buckets`` so that it
-    fits a task in the fullest month. Rows of one key stay together, so the key must be
-    (nearly) unique, as the identifiers of entries and transactions are.
+    Tables with one key and number of buckets join on the key without a shuffle. The rows of
+    a bucket of a month are dealt to one task, so it is one file however many tasks write:
+    choose ``buckets`` so that it fits a task in the fullest month. Rows of one key stay
+    together, so the key must be (nearly) unique, as the identifiers of entries and
+    transactions are.
     """
+    bucket = F.pmod(F.hash(key), F.lit(buckets))  # as Spark's writer numbers them
     (
-        df.repartition(buckets, key).write.mode("overwrite").partitionBy("month").bucketBy(buckets, key).sortBy(key)
+        df.repartition("month", bucket).write.mode("overwrite").partitionBy("month").bucketBy(buckets, key).sortBy(key)
         .option("path", path).saveAsTable(name)
     )
     return df.sparkSession.table(name)
