@@ -194,7 +194,7 @@ def enrich_names(accounts: DataFrame, balance_lines: DataFrame, seq: str | None
     )
     found = cut(found, "balance-names")
     numbered = accounts.withColumn("_own", own)
-    pairs = holds_prefix(accounts.select("name").distinct(), "name", found.select("other"), "other", 12, 8)
+    pairs = cut(holds_prefix(accounts.select("name").distinct(), "name", found.select("other"), "other", 12, 8), "name-pairs")
     longest = (
         numbered.select("name", "_own").distinct().join(pairs, "name").join(found, "other").where("_later > _own")
         .groupBy("name", "_own").agg(F.min_by("other", F.struct((-F.length("other")).alias("l"), F.col("other").alias("o"))).alias("_longer"))
@@ -215,12 +215,13 @@ def merge_reports(report_lines: DataFrame, reports: DataFrame, known: list[tuple
     no trial balance among them, give the known accounts and the fixed one.
     """
     of = report_lines.join(reports.select("report_id", "seq"), "report_id")
-    sheets = of.where(F.col("line").rlike(SHEET_TITLE)).select("report_id").distinct()
-    trial = of.join(sheets, "report_id", "left_anti")
+    sheets = of.where(F.col("line").rlike(SHEET_TITLE)).select("report_id", F.lit(True).alias("_sheet")).distinct()
+    of = cut(of.join(sheets, "report_id", "left"), "report-lines")
+    trial = of.where("_sheet IS NULL").drop("_sheet")
     named = extract_accounts(trial, known).join(reports.select("report_id", "seq"), "report_id")
     last = F.max_by(F.struct("name", "type", "seq"), F.struct("seq", "report_id"))
     standing = cut(named.groupBy("code").agg(last.alias("_l")).select("code", "_l.*"), "accounts")
-    chart = enrich_names(standing, of.join(sheets, "report_id", "left_semi"), "seq").drop("seq")
+    chart = enrich_names(standing, of.where("_sheet"), "seq").drop("seq")
     spark = report_lines.sparkSession
     fixed = spark.createDataFrame([(c, n) for c, n in known], "code string, name string")
     fixed = fixed.withColumn("type", account_type("code", "name", F.lit(""))).join(chart.select("code"), "code", "left_anti")
