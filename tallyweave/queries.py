@@ -352,7 +352,7 @@ def _(spark, view, sf):
         "file_id", "name", "ext", "kind", "bank_account_id", "meta_date", "meta_counterparty")
 
 
-@query("file_listing", f"""SELECT substr(path, 7, 7) AS mm, {_KIND_SQL.replace("'danfe'", "'xml_nfe'")} AS kind, CASE WHEN path LIKE '%COMPROVANTES%' THEN 'bank-a' WHEN path LIKE '%XML%' THEN 'bank-b' WHEN path LIKE '%NOTAS%BDF%' THEN 'bank-c' END AS bank_account_id,
+@query("file_listing", f"""SELECT substr(path, 7, 7) AS mm, {_KIND_SQL.replace("'danfe'", "'xml_nfe'")} AS kind, CASE WHEN path LIKE '%COMPROVANTES%' THEN 'bank-a' WHEN path LIKE '%XML%' THEN 'bank-b' END AS bank_account_id,
  CAST(sum(strlen(file_name) + 1) AS BIGINT) AS bytes FROM files GROUP BY 1, 2, 3""", ("files",))
 def _(spark, view, sf):
     """Files written below month and kind folders, listed without being opened; their sizes add up to what was written."""
