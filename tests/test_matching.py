@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import filenames as fn
 from tallyweave.operators import links, reconcile
 from tallyweave.operators.matching import greedy_assign
+from tallyweave.session import cut
 from tallyweave.sources import documents
 
 BASE = date(2024, 1, 10)
@@ -339,3 +340,30 @@ def test_first_file_with_a_name_that_a_third_holds(spark, monkeypatch):
     few = [(f, min(i for i, g in files if g == f)) for f in {f for _, f in files}]
     by = names.first_holding(q, "name", spark.createDataFrame(few, "f string, file_id long"), "f", "file_id", first=2)
     assert {x.name: x.file_id for x in by.collect()} == {a: m for a in asked if a for m in [min((i for i, f in files if a in f), default=None)] if m is not None}
+
+
+# --- joins on multiplied rows ------------------------------------------------
+
+def broadcasts_generated(df) -> bool:
+    """Whether the plan sends rows made by a generator to driver and executors."""
+    plan = df._jdf.queryExecution().sparkPlan()
+
+    def walk(node, below: bool) -> bool:
+        name = node.nodeName()
+        if below and name.startswith("Generate"):
+            return True
+        built = name.startswith("BroadcastHashJoin") or name.startswith("BroadcastNestedLoopJoin")
+        right = built and "BuildRight" in str(node.buildSide())
+        kids = node.children()
+        return any(walk(kids.apply(i), below or (built and (i == 1) == right)) for i in range(kids.size()))
+
+    return walk(plan, False)
+
+
+def test_spread_rows_are_not_broadcast(spark):
+    right = cut(spark.createDataFrame([(7, 1000, 5, "a"), (8, 1002, 9, "a"), (9, 2000, 5, None)], "right_id long, cents long, day int, doc string"))
+    cells = spark.createDataFrame([(1001, 6, "a"), (2000, 30, "b")], "cents long, day int, doc string")
+    near = reconcile.cell_lists(cells.drop("doc"), right.drop("doc"), 2, 3)
+    by_doc = reconcile.cell_lists_by_doc(cells, right, 2, 3)
+    assert not broadcasts_generated(near) and not broadcasts_generated(by_doc)
+    assert {r.right_id for r in near.collect()} == {7, 8} == {r.right_id for r in by_doc.collect()}
