@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import filenames as fn
 from tallyweave.operators import links, reconcile
 from tallyweave.operators.matching import greedy_assign
+from tallyweave.operators.names import holds
 from tallyweave.session import cut
 from tallyweave.sources import documents
 
@@ -367,3 +368,21 @@ def test_spread_rows_are_not_broadcast(spark):
     by_doc = reconcile.cell_lists_by_doc(cells, right, 2, 3)
     assert not broadcasts_generated(near) and not broadcasts_generated(by_doc)
     assert {r.right_id for r in near.collect()} == {7, 8} == {r.right_id for r in by_doc.collect()}
+
+
+def test_pieces_and_name_keys_are_not_broadcast(spark):
+    files = cut(spark.createDataFrame([(1, "PADARIASOL"), (2, "SOL"), (3, "LUA")], "file_id long, x string"))
+    names = cut(spark.createDataFrame([("PADARIASOLNOVO",), ("PADARIA",), ("ASOLB",)], "n string"))
+    inside = holds(names, "n", files.select("x"), "x")
+    assert not broadcasts_generated(inside)
+    assert {tuple(r) for r in inside.collect()} == {("PADARIASOLNOVO", "PADARIASOL"), ("PADARIASOLNOVO", "SOL"), ("ASOLB", "SOL")}
+    entries = spark.createDataFrame(
+        [(1, 1000, 5, "b1", "PADARIASOL", ["PADARIASOL"]), (2, 900, 50, None, "", [])],
+        "left_id long, cents long, day int, bank string, who string, names array<string>")
+    slips = spark.createDataFrame(
+        [(10, "b1", 1003, 80, None, "", "1PADARIASOL"), (11, "b2", None, None, 6, "PADARIASOL", "PIXPADARIASOL"), (12, "b1", 1003, 90, 40, "", "2PADARIASOL")],
+        "right_id long, bank string, cents long, day int, iso int, iname string, fname string")
+    left_lists, lists = links.file_lists(entries, slips)
+    assert not broadcasts_generated(lists)
+    found = left_lists.join(lists, "list_id").groupBy("left_id", "right_id").agg(F.min("tier").alias("tier"))
+    assert {tuple(r) for r in found.collect()} == {(1, 10, 4), (1, 11, 6), (1, 12, 4)}
