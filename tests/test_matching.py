@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.functions import filenames as fn
-from tallyweave.operators import links, reconcile
+from tallyweave.operators import links, matching, reconcile
 from tallyweave.operators.matching import greedy_assign
 from tallyweave.operators.names import holds
 from tallyweave.session import cut
@@ -386,3 +386,14 @@ def test_pieces_and_name_keys_are_not_broadcast(spark):
     assert not broadcasts_generated(lists)
     found = left_lists.join(lists, "list_id").groupBy("left_id", "right_id").agg(F.min("tier").alias("tier"))
     assert {tuple(r) for r in found.collect()} == {(1, 10, 4), (1, 11, 6), (1, 12, 4)}
+
+
+def test_used_up_windows_double(spark, monkeypatch):
+    """Lists of their own over the same entries: who comes late looks at most of a list before it finds a free entry."""
+    monkeypatch.setattr(matching, "SPARE", 4)
+    n, trace = 60, []
+    lefts = spark.range(1, n + 1).select(F.col("id").alias("left_id"), F.lit(0).alias("tier"), F.concat(F.lit("l"), F.col("id")).alias("list_id"))
+    lists = lefts.select("list_id").crossJoin(spark.range(1, n + 1).withColumnRenamed("id", "right_id"))
+    got = {r.left_id: r.right_id for r in greedy_assign(lefts, lists, max_rounds=40, trace=trace).collect()}
+    assert got == {i: i for i in range(1, n + 1)}
+    assert len(trace) <= 7, trace
