@@ -219,16 +219,14 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     kind = Encoder(tokenizer, end_id).kind.itemsize
 
     def encode(batches):
-        e = encoder(tokenizer, end_id)
+        """Ids of each text and its shard, in one pass: a pass after it would keep a second worker beside each encoding one."""
+        e, starts = encoder(tokenizer, end_id), np.array(edges, np.int64)
         for batch in batches:
             for part in batches_by_bytes(batch, 1, PART_BYTES):
                 data = [e.encode(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], names=["id", "ids"])
-
-    def place(batches):
-        for batch in batches:
-            key = batch.column("id").fill_null((1 << 63) - 1).to_numpy()
-            yield batch.append_column("part", pa.array(np.searchsorted(np.array(edges, np.int64), key, "right").astype(np.int32)))
+                key = part.column(0).fill_null((1 << 63) - 1).to_numpy()
+                shard = np.searchsorted(starts, key, "right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary()), pa.array(shard)], names=["id", "ids", "part"])
 
     def write(batches):
         import uuid
@@ -262,7 +260,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
             yield pa.RecordBatch.from_pydict({"shard": [part], "file": [path.rsplit("/", 1)[1]], "documents": [len(names)], "ids": [sum(sizes)]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    coded = rows.mapInArrow(encode, "id long, ids binary").mapInArrow(place, "id long, ids binary, part int")
+    coded = rows.mapInArrow(encode, "id long, ids binary, part int")
     dealt = coded.repartitionById(len(edges) + 1, F.col("part")).sortWithinPartitions(F.col("id").asc_nulls_last(), F.crc32("ids"))
     return cut(dealt.select("id", "ids").mapInArrow(write, "shard long, file string, documents long, ids long"), "shards")
 

@@ -123,3 +123,20 @@ def test_packages_with_nulls_and_repeats(spark, tmp_path):
         ("None", "", 4, "revisit", 3), ("None", "w", 0, "response", None), ("None", "w", 4, "response", None)]
     least = wz.archived(df, str(tmp_path / "two"), least=5).collect()
     assert all(r.record_type == "response" for r in least) and len(least) == 6
+
+
+def test_texts_are_encoded_and_placed_in_one_pass(spark, monkeypatch):
+    """Every Python pass that feeds another keeps a worker of its own in each running task."""
+    plans = []
+
+    def cut(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, label)
+
+    plain = tf.cut
+    monkeypatch.setattr(tf, "cut", cut)
+    rows = [(i * 5 % 101 if i % 9 else None, "word " * (i % 7)) for i in range(101)]
+    got = tf.token_files(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER).collect()
+    assert len(plans) == 1 and plans[0].count("MapInArrow") == 2  # encode and place, write
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(i for i, _ in rows if i is not None)
+    assert [r.start for r in sorted(got, key=lambda r: r.start)][0] == 0 and len(got) == len(rows)
