@@ -16,6 +16,7 @@ run and its low bits: there is no table of 64-bit offsets.
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 import zlib
@@ -127,10 +128,11 @@ class Encoder:
     """Ids of texts by a file of the tokenizers library.
 
     A byte-level BPE merges only inside runs of letters, numbers, symbols or white space,
-    so a text's ids are those of its runs. The library's model encodes each new run, and
-    its ids are remembered. Texts with characters that libraries might class differently
-    go to the library whole. With ``added``, as in token files, so do texts that hold an
-    added token such as ``<|endoftext|>``, which has its own id then, as the library's
+    so a text's ids are those of its runs. Many texts are split at once (``run_starts``),
+    Arrow finds the distinct runs, the library's model encodes those that are new, and Arrow
+    lays the ids of all runs side by side. Texts with characters that libraries might class
+    differently go to the library whole. With ``added``, as in token files, so do texts that
+    hold an added token such as ``<|endoftext|>``, which has its own id then, as the library's
     plain call gives it; without, such a token is encoded like other text.
     """
 
@@ -146,44 +148,104 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if added or not t.special]
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u4" if self.tokenizer.get_vocab_size() > 1 << 16 else "<u2")
+        self.stored = {i: i.to_bytes(self.kind.itemsize, "little") for i in self.tokenizer.get_vocab().values()}
         self.end = np.array([end_id], self.kind).tobytes()
-        self.runs: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        size, tokenize = self.kind.itemsize, self.model.tokenize
-        for run in new:
-            shown = run.encode().decode("latin-1").translate(_BYTE_CHARS)
-            self.runs[run] = b"".join([t.id.to_bytes(size, "little") for t in tokenize(shown)])
+        # Ids of the runs met lately, and of those met before them. Every call meets the stop.
+        self.recent: dict[bytes, bytes] = {_STOP.encode(): self.end}
+        self.older: dict[bytes, bytes] = {}
+
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        if not new:
+            return []
+        stored, tokenize = self.stored, self.model.tokenize
+        shown = codecs.charmap_decode(b"\x1f".join(new), "strict", _BYTE_CHARS)[0].split(_BYTE_CHARS[0x1f])
+        return [b"".join([stored[t.id] for t in tokenize(run)]) for run in shown]
+
+    def _ids(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of distinct runs."""
+        known = list(map(self.recent.get, runs))
+        got = {r: self.older.pop(r, None) for r, ids in zip(runs, known, strict=True) if ids is None}
+        new = [r for r, ids in got.items() if ids is None]
+        got.update(zip(new, self._learn(new), strict=True))
+        ids = [got[r] if k is None else k for r, k in zip(runs, known, strict=True)]
+        if len(self.recent) + len(got) > MEMORY // 2:
+            self.older, self.recent = self.recent, dict(zip(runs, ids, strict=True))
+        else:
+            self.recent.update(got)
+        return ids
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes() + self.end
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text and the end id."""
+        if not texts:
+            return []
+        whole = {i: self._whole(t) for i, t in enumerate(texts) if t and (_FAR.search(t) or any(a in t for a in self.added))}
+        data = "".join([("" if not t or i in whole else t) + _STOP for i, t in enumerate(texts)]).encode()
+        starts = run_starts(np.frombuffer(data, np.uint8))
+        runs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        ids = pa.array(self._ids(runs.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(runs.indices)
+        _, after, held = ids.buffers()
+        stops = np.flatnonzero(np.frombuffer(data, np.uint8)[starts] == ord(_STOP))
+        ends = [0, *np.frombuffer(after, np.int64)[stops + 1].tolist()]
+        held = memoryview(held)
+        return [whole.get(i) or bytes(held[a:b]) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text and the end id."""
-        if not text:
-            return self.end
-        if _FAR.search(text) or any(t in text for t in self.added):
-            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-            return np.array(ids, self.kind).tobytes() + self.end
-        runs, known = _RUNS.findall(text), self.runs
-        try:
-            return b"".join(map(known.__getitem__, runs)) + self.end
-        except KeyError:
-            new = {r for r in runs if r not in known}
-        if len(known) + len(new) > MEMORY:
-            known.clear()
-            new = set(runs)
-        self._learn(list(new))
-        return b"".join(map(known.__getitem__, runs)) + self.end
-
-
-#: Fixed value: the runs that a byte-level BPE of this kind merges inside. Up to U+024F, and without
-#: the superscripts, fractions and controls of ``_FAR``, these classes are the tokenizer's own.
-_RUNS = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_FAR = re.compile("[^\x00-\u024f]|[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe]")
-
-
-def _byte_chars() -> dict[int, str]:
+        return self.encode_all([text])[0]
+
+
+#: Characters that libraries might class differently: beyond U+024F, and some controls, superscripts and fractions up to there.
+_FAR = re.compile("[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
+#: Ends each text where several are split at once: one of ``_FAR``, so none of them holds it.
+_STOP = "\x1e"
+_LETTER, _DIGIT, _SYMBOL, _SPACE, _END = range(5)
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each character up to U+024F: without those of ``_FAR``, these classes are the tokenizer's own."""
+    shown = map(chr, range(0x250))
+    kinds = np.array([_LETTER if c.isalpha() else _DIGIT if c.isdecimal() else _SPACE if c.isspace() else _SYMBOL for c in shown], np.uint8)
+    kinds[ord(_STOP)] = _END
+    return kinds
+
+
+_KINDS = _kinds()
+
+
+def run_starts(data: np.ndarray) -> np.ndarray:
+    """Where the runs begin that a byte-level BPE of this kind merges inside.
+
+    ``data`` is UTF-8 of texts without ``_FAR``, each with ``_STOP`` after it. The runs are
+    those of ``'(?:[sdmt]|ll|ve|re)| ?[letters]+| ?[digits]+| ?[symbols]+|\\s+(?!\\S)|\\s+``
+    in each text, and each stop alone.
+    """
+    kinds = _KINDS[data]
+    lead = np.flatnonzero(data >= 0xC0)  # of two bytes, as all characters from U+0080 on are here
+    kinds[lead] = kinds[lead + 1] = _KINDS[(data[lead].astype(np.int16) & 0x1F) << 6 | data[lead + 1] & 0x3F]
+    start = np.ones(len(data), bool)
+    np.not_equal(kinds[1:], kinds[:-1], out=start[1:])
+    start |= kinds == _END
+    # The last white space before something else stands alone, or with what follows if it is a blank.
+    last = np.flatnonzero((kinds[:-1] == _SPACE) & (kinds[1:] < _SPACE))
+    start[last - (data[last] >= 0x80)] = True
+    start[last + 1] = data[last] != ord(" ")
+    mark = np.flatnonzero((data == ord("'")) & start)
+    one, two = data[mark + 1], data[np.minimum(mark + 2, len(data) - 1)]
+    short = np.isin(one, list(b"sdmt"))
+    long = (one == ord("l")) & (two == ord("l")) | np.isin(one, list(b"vr")) & (two == ord("e"))
+    start[mark[short | long] + 1] = False
+    start[mark[short] + 2] = start[mark[long] + 3] = True
+    return np.flatnonzero(start)
+
+
+def _byte_chars() -> str:
     """The printable character that stands for each byte: itself where it has one, else the next from U+0100 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    more = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(more)) for b in range(256))
 
 
 _BYTE_CHARS = _byte_chars()
@@ -223,7 +285,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
         e, starts = encoder(tokenizer, end_id), np.array(edges, np.int64)
         for batch in batches:
             for part in batches_by_bytes(batch, 1, PART_BYTES):
-                data = [e.encode(t) for t in part.column(1).to_pylist()]
+                data = e.encode_all(part.column(1).to_pylist())
                 key = part.column(0).fill_null((1 << 63) - 1).to_numpy()
                 shard = np.searchsorted(starts, key, "right").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary()), pa.array(shard)], names=["id", "ids", "part"])

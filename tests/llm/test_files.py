@@ -140,3 +140,28 @@ def test_texts_are_encoded_and_placed_in_one_pass(spark, monkeypatch):
     assert len(plans) == 1 and plans[0].count("MapInArrow") == 2  # encode and place, write
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(i for i, _ in rows if i is not None)
     assert [r.start for r in sorted(got, key=lambda r: r.start)][0] == 0 and len(got) == len(rows)
+
+
+def test_many_texts_are_encoded_at_once_by_distinct_runs(monkeypatch):
+    """Memory that is far too small, and texts of all kinds side by side, change no id; Python sees each distinct run once a call."""
+    seen, learned = [], []
+    ids_of, learn = tf.Encoder._ids, tf.Encoder._learn
+    monkeypatch.setattr(tf, "MEMORY", 40)
+    monkeypatch.setattr(tf.Encoder, "_ids", lambda self, runs: (seen.append(list(runs)), ids_of(self, runs))[1])
+    monkeypatch.setattr(tf.Encoder, "_learn", lambda self, new: (learned.extend(new), learn(self, new))[1])
+    t, e = library(), tf.Encoder(TOKENIZER)
+    draw = random.Random(7)
+    alphabet = [*"'slverdt!aZ1_9 ", " ", "  ", "\n", "\xa0", "é", "ɏ", "'ll", "'ve", "a's", "ß's", "1's", "ɐ", "\x1e", "²"]
+    texts = [None if i % 50 == 7 else "".join(draw.choice(alphabet) for _ in range(draw.randrange(12))) for i in range(4000)]
+    want = [np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], e.kind).tobytes() for x in texts]
+    assert [ids for i in range(0, len(texts), 300) for ids in e.encode_all(texts[i:i + 300])] == want and e.encode_all([]) == []
+    assert all(len(runs) == len(set(runs)) for runs in seen)
+    e, many = tf.Encoder(TOKENIZER), ["over and over, it's 1 word " * 2000, "over again"]
+    seen.clear(), learned.clear()
+    for _ in range(3):
+        assert e.encode_all(many)[0] == np.array([*t.encode(many[0], add_special_tokens=False).ids, 0], e.kind).tobytes()
+    assert len(seen) == 3 and len(seen[0]) < 15 and len(learned) == len(seen[0]) - 1  # all but the stop, once
+    rare = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(200)]
+    for i in range(0, 200, 10):  # what every call meets outlasts what is met once
+        e.encode_all([many[0] + " ".join(rare[i:i + 10])])
+    assert max(map(learned.count, seen[0])) == 1 and len(e.recent) + len(e.older) <= tf.MEMORY + 30
