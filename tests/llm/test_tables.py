@@ -54,6 +54,18 @@ def pages() -> list[tuple]:
     return [(i, urls[i % 6], html[i % 4] if i % 5 else html[1]) for i in range(40)] + [(40, urls[0], "<p>alone</p>"), (41, None, None), (42, urls[2], "line\r\n\r\nbreaks\x00")]
 
 
+def labels() -> list[tuple]:
+    draw = random.Random(6)
+    return [(r[0], draw.choice((0, 1, 1, None)), draw.randrange(2)) for r in documents() if r[0] != 505] + [(9999, 1, 0)]
+
+
+def embeddings() -> list[tuple]:
+    draw = random.Random(8)
+    middles = [[draw.gauss(0, 1) for _ in range(6)] for _ in range(4)]
+    rows = [(i, [x + draw.gauss(0, 0.5) for x in middles[i % 4]], draw.randrange(10)) for i in range(300)]
+    return [*rows, (350, None, 1), (400, [1.0] * 6, None), (450, [float("nan")] * 6, 2), (500, [None, *[1.0] * 5], 3), (550, [float("inf"), *[0.0] * 5], 4), (600, rows[50][1], 5), (601, rows[50][1], 6)]
+
+
 def write(folder, name: str, columns: dict, rows: list[tuple], extra: bool) -> None:
     data = {c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(columns.items())}
     if extra:
@@ -66,12 +78,14 @@ def tables(folder, extra: bool, empty: bool = False):
     write(folder, "documents", {"doc_id": pa.int64(), "text": pa.string(), "source": pa.string()}, documents()[cut], extra)
     write(folder, "benchmark", {"item_id": pa.int64(), "text": pa.string()}, benchmark()[cut], extra)
     write(folder, "pages", {"page_id": pa.int64(), "url": pa.string(), "html": pa.string()}, pages()[cut], extra)
+    write(folder, "labels", {"doc_id": pa.int64(), "quality": pa.int32(), "toxic": pa.int32()}, labels()[cut], extra)
+    write(folder, "embeddings", {"vec_id": pa.int64(), "embedding": pa.list_(pa.float32()), "label": pa.int32()}, embeddings()[cut], extra)
     return str(folder)
 
 
 def connect(folder):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     return con
 
