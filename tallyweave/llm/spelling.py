@@ -12,6 +12,9 @@ states without an edit start at half of each word, where nodes have few children
 key is met by more than the short words that share half their letters. And a pair is
 walked once, from the shorter word, or the smaller of two of one length.
 
+No table is broadcast: states are the words many times over, which Spark doesn't see when
+it sizes them by the table of words.
+
 An edge also holds which letters can follow its child (``mask``, a superset), so a state
 that can't go on is dropped before it is written. Edges hold one letter down to depth
 ``LETTERS``; below, their length doubles, so that a word of any length has few levels.
@@ -21,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyweave.session import cut
+from tallyweave.session import cut, many
 
 #: Maximal runs of letters; shorter ones can't become words, for a run only ever loses letters.
 LEAST_LENGTH, LEAST_COUNT = 5, 3
@@ -110,7 +113,7 @@ def first_edits(texts: DataFrame, edges: DataFrame) -> DataFrame:
     start = _level_at("if(side = 0, length div 2, length - length div 2)")
     own = texts.select("side", "text", F.explode(F.expr(_levels(start, "length"))).alias("depth"))
     own = own.select("side", "text", F.col("depth").cast("int").alias("depth"), F.expr("xxhash64(side, left(text, int(depth)))").alias("node"))
-    met = own.join(edges, "node").withColumn("k", F.char_length("label")).withColumn("here", F.expr("substr(text, depth + 1, k)"))
+    met = many(own).join(edges, "node").withColumn("k", F.char_length("label")).withColumn("here", F.expr("substr(text, depth + 1, k)"))
     replaced = "here < label AND char_length(here) = k AND (k = 1 OR levenshtein(here, label, 1) = 1)"
     put_in = "if(k = 1, here != label, char_length(substr(text, depth + 1, k - 1)) = k - 1 AND levenshtein(substr(text, depth + 1, k - 1), label, 1) = 1)"
     tried = met.select(
@@ -125,7 +128,7 @@ def first_edits(texts: DataFrame, edges: DataFrame) -> DataFrame:
 def next_level(states: DataFrame, edges: DataFrame) -> DataFrame:
     """The open states one edge further."""
     asked = states.where("depth < char_length(near)").withColumn("label", F.expr(f"substr(near, depth + 1, {_stride('depth')})"))
-    moved = asked.join(edges, ["node", "label"])
+    moved = asked.join(many(edges), ["node", "label"])
     moved = moved.select("side", "text", "near", (F.col("depth") + F.char_length("label")).alias("depth"), F.col("child").alias("node"), "mask")
     return moved.where(_follows("near", "depth")).drop("mask")
 
@@ -150,7 +153,7 @@ def roots(links: DataFrame) -> DataFrame:
     now = cut(links.select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("ahead"))
-        moved = cut(now.join(ahead, "root", "left").select("word", F.coalesce("ahead", "root").alias("root"), F.col("ahead").isNotNull().alias("moved")), "roots")
+        moved = cut(now.join(many(ahead), "root", "left").select("word", F.coalesce("ahead", "root").alias("root"), F.col("ahead").isNotNull().alias("moved")), "roots")
         now = moved.drop("moved")
         if moved.where("moved").isEmpty():
             return now
@@ -165,11 +168,11 @@ def variants(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int
     columns are not read. Without words the result is empty.
     """
     words = cut(vocabulary(docs.select("doc_id", "text"), least_length, least_count), "words")
-    ranked = near_words(words).join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    ranked = near_words(words).join(many(words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))), "near")
     best = ranked.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("top"))
-    formed = words.join(best, "word", "left").withColumn("_ok", -F.col("top.less") >= FORM_RATIO * F.col("n"))
+    formed = words.join(many(best), "word", "left").withColumn("_ok", -F.col("top.less") >= FORM_RATIO * F.col("n"))
     formed = cut(formed.select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
         F.when(F.col("_ok"), F.col("top.near")).alias("form"), F.when(F.col("_ok"), -F.col("top.less")).alias("form_n")), "forms")
     ends = roots(formed.where("form IS NOT NULL"))
-    return formed.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(many(ends), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

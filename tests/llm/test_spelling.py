@@ -72,3 +72,14 @@ def test_equals_all_pairs(spark, monkeypatch, letters):
 def test_empty(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "abc abc")], "doc_id long, text string")
     assert spelling.variants(df).collect() == [] and spelling.variants(df.limit(0)).collect() == []
+
+
+def test_no_join_is_broadcast(spark):
+    """Spark sizes exploded states by the table of words, so it would broadcast what is many times over its limit."""
+    words = spark.createDataFrame([(w,) for w in ("cabine", "cabina", "cabinet")], "word string")
+    texts = spelling.sides(words)
+    edges = spelling.edge_table(texts).cache()
+    states = spelling.first_edits(texts.cache(), edges).cache()
+    docs = spark.createDataFrame([(1, "cabine cabine cabine cabina cabina cabina")], "doc_id long, text string")
+    for df in (states, spelling.next_level(states, edges), spelling.variants(docs)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
