@@ -522,6 +522,8 @@ def file_attachments(ledger: DataFrame, files: DataFrame, attached: DataFrame |
 
 FUEL_SCORES = {0: 0.98, 1: 0.85, 2: 0.7}  # fixed values: by minutes apart: up to 30, up to 120, else
 ONLY_ONE, NEXT_DAY = 0.95, 0.6  # fixed values
+MINUTE_LEVELS = 7  # blocks of up to 128 minutes
+FUEL_CHUNK, FUEL_SPARE = 50_000, 1024  # receipts of a day that one task matches; those of a larger day go in turn; entries at hand of a block
 
 
 def fuel_entries(ledger: DataFrame) -> DataFrame:
@@ -568,25 +570,33 @@ def fuel_day_plan(receipts: DataFrame, entries: DataFrame) -> DataFrame:
     return runs.groupBy("run").applyInPandas(_day_plan, "day int, avail long, side int, taken boolean")
 
 
+def _minute_blocks(first: Column, last: Column) -> list[tuple[Column, int, Column]]:
+    """``(whether, level, block)``: the fewest blocks of 2^level minutes that make up ``first`` to ``last``, two of a level at most."""
+    out = []
+    for level in range(MINUTE_LEVELS + 1):
+        lo, hi = F.ceil(first / 2**level), F.floor((last + 1) / 2**level) - 1
+        out += [((lo <= hi) & (lo % 2 == 1), level, lo), ((lo <= hi) & (hi % 2 == 0), level, hi)]
+    return out
+
+
 def fuel_minute_lists(receipts: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries of the receipt's day: within 30 minutes, within 120, any.
 
-    Lists belong to (day, minute) pairs, at most 1,440 a day; hour blocks keep
-    the join to entries of the same and the two neighbouring hours each way.
+    Lists belong to blocks of 1, 2, 4 ... minutes of a day, so an entry is on ten lists at
+    most and a receipt names the few blocks that make up its stretches of time.
     """
-    minutes = receipts.where("minute IS NOT NULL").select("day", "minute").distinct().withColumn("_h", F.floor(F.col("minute") / 60))
-    timed = entries.where("minute IS NOT NULL").select("entry_id", "day", F.col("minute").alias("e_minute"))
-    timed = timed.withColumn("_h", F.explode(F.sequence(F.floor(F.col("e_minute") / 60) - 2, F.floor(F.col("e_minute") / 60) + 2)))
-    gap = F.abs(F.col("minute") - F.col("e_minute"))
-    near = minutes.join(many(timed), ["day", "_h"]).where(gap <= 120)
-    by_minute = near.select(_key(F.when(gap <= 30, "c").otherwise("m"), "day", "minute").alias("list_id"), F.col("entry_id").alias("right_id"))
+    timed = entries.where("minute IS NOT NULL").select("entry_id", "day", "minute", F.explode(F.sequence(F.lit(0), F.lit(MINUTE_LEVELS))).alias("level"))
+    block = F.floor(F.col("minute") / F.pow(F.lit(2), F.col("level")))
+    by_minute = timed.select(_key("=m", "day", "level", block).alias("list_id"), F.col("entry_id").alias("right_id"))
     by_day = entries.select(_key("=z", "day").alias("list_id"), F.col("entry_id").alias("right_id"))
-    tiers = F.array(
-        F.struct(F.lit(0).alias("tier"), F.when(F.col("minute").isNotNull(), _key("=c", "day", "minute")).alias("list_id")),
-        F.struct(F.lit(1).alias("tier"), F.when(F.col("minute").isNotNull(), _key("=m", "day", "minute")).alias("list_id")),
-        F.struct(F.lit(2).alias("tier"), _key("=z", "day").alias("list_id")),
-    )
-    left = receipts.select(F.col("doc_id").alias("left_id"), F.col("day").cast("string").alias("place"), F.inline(tiers)).where("list_id IS NOT NULL")
+    tiers = [F.struct(F.lit(2).alias("tier"), _key("=z", "day").alias("list_id"))]
+    for tier, reach in ((0, 30), (1, 120)):
+        first, last = F.greatest(F.col("minute") - reach, F.lit(0)), F.col("minute") + reach
+        tiers += [
+            F.when(there, F.struct(F.lit(tier).alias("tier"), _key("=m", "day", f"={level}", at).alias("list_id")))
+            for there, level, at in _minute_blocks(first, last)]
+    left = receipts.select(
+        F.col("doc_id").alias("left_id"), F.col("day").cast("string").alias("place"), F.inline(F.filter(F.array(*tiers), lambda t: t.isNotNull())))
     return left, by_minute.unionByName(by_day)
 
 
@@ -604,7 +614,7 @@ def match_fuel(documents: DataFrame, entries: DataFrame) -> DataFrame:
     plan = cut(fuel_day_plan(receipts, entries), "fuel-days")
     turn = cut(ranked(receipts, ["day"], "doc_id", "turn").join(plan, "day"), "fuel-turns")
     free = entries.join(plan.where("NOT taken").select("day"), "day")
-    same_day = greedy_assign(*fuel_minute_lists(turn.where("turn <= avail"), free)).select(
+    same_day = greedy_assign(*fuel_minute_lists(turn.where("turn <= avail"), free), chunk=FUEL_CHUNK, spare=FUEL_SPARE).select(
         F.col("left_id").alias("doc_id"), F.col("right_id").alias("entry_id"), "tier")
     same_day = cut(same_day, "fuel-same-day")
     scored = same_day.join(turn.select("doc_id", (F.col("turn") == F.col("avail")).alias("last")), "doc_id").select(

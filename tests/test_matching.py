@@ -148,7 +148,7 @@ def test_receipts_random(spark, seed, named):
     r = random.Random(seed)
     entries = [{"id": i, "cents": 1000 + r.randrange(12), "day": r.randrange(20), "client": r.choice(NAMES + [None, None])} for i in range(90)]
     docs = [{"id": 1000 + i, "cents": 1000 + r.randrange(12), "day": r.randrange(20), "model": r.choice(["55", "65"]),
-             "name": r.choice(NAMES) if r.random() < named else None, "pdf": r.random() < 0.4} for i in range(80)]
+             "name": r.choice(NAMES) if r.random() < named else None, "pdf": r.random() < 0.4} for i in range(600)]
     e = spark.createDataFrame(
         [(x["id"], x["cents"], x["day"], x["client"], plain(x["client"])) for x in entries],
         "left_id long, cents long, day int, client string, cname string")
@@ -397,3 +397,40 @@ def test_used_up_windows_double(spark, monkeypatch):
     got = {r.left_id: r.right_id for r in greedy_assign(lefts, lists, max_rounds=40, trace=trace).collect()}
     assert got == {i: i for i in range(1, n + 1)}
     assert len(trace) <= 7, trace
+
+
+def test_crowded_places_are_cut_in_id_order(spark):
+    """The chunks of a place get right one after the other, so rounds are bounded by their number."""
+    n, trace = 240, []
+    lefts = spark.range(1, n + 1).select(
+        F.col("id").alias("left_id"), F.lit("7").alias("place"), F.lit(0).alias("tier"), F.concat(F.lit("l"), F.col("id")).alias("list_id"))
+    lists = lefts.select("list_id").crossJoin(spark.range(1, n + 1).withColumnRenamed("id", "right_id"))
+    got = {r.left_id: r.right_id for r in greedy_assign(lefts, lists, max_rounds=9, chunk=30, trace=trace, spare=n).collect()}
+    assert got == {i: i for i in range(1, n + 1)}
+    # chunk k has all rows before it at hand in round k, so at most the rows of later chunks are refused
+    assert len(trace) <= 8 and [t["frontier"] for t in trace] == sorted((t["frontier"] for t in trace), reverse=True)
+
+
+def test_chunks_hold_whole_places_in_order(spark):
+    lefts = spark.createDataFrame(
+        [(i, p, 0, "l") for i, p in enumerate(["10", "9", "9", None, "101", "x", "10", "9", "7", "7", "7", "7", "7", "7", "7"])], "left_id long, place string, tier int, list_id string")
+    chunks = {r.left_id: r.chunk for r in matching._chunks(lefts, 4).collect()}
+    at = {}
+    for r in lefts.collect():
+        at.setdefault(r.place, []).append(chunks[r.left_id])
+    assert len(chunks) == 15 and all(len(set(at[p])) == 1 for p in ("10", "9", "101", "x", None))
+    assert at["7"] == sorted(at["7"]) and len(set(at["7"])) > 1  # cut in id order
+    assert max(at["7"]) <= at["9"][0] <= at["10"][0] <= at["101"][0] and max(list(chunks.values()).count(c) for c in chunks.values()) < 8
+
+
+def test_fuel_entries_are_on_few_lists(spark):
+    """Blocks of minutes: ten lists an entry, none for each minute in reach."""
+    r = random.Random(3)
+    docs = [(i, r.randrange(3), r.choice([None, 0, 29, 30, 31, 120, 121, 1439, 6039] + [r.randrange(1440) for _ in range(9)])) for i in range(600)]
+    entries = [(1000 + i, r.randrange(3), r.choice([None, 0, 1, 59, 60, 61, 1410, 1439, 5920, r.randrange(1440), r.randrange(1440), r.randrange(1440)])) for i in range(60)]
+    left, lists = links.fuel_minute_lists(spark.createDataFrame(docs, "doc_id long, day int, minute int"), spark.createDataFrame(entries, "entry_id long, day int, minute int"))
+    assert lists.count() <= 10 * len(entries) and left.count() <= 32 * len(docs)
+    assert left.count() == left.distinct().count() and lists.count() == lists.distinct().count()
+    got = left.join(lists, "list_id").groupBy("left_id", "right_id").agg(F.min("tier")).collect()
+    tier = lambda a, b: 2 if a is None or b is None or abs(a - b) > 120 else 1 if abs(a - b) > 30 else 0
+    assert {tuple(x) for x in got} == {(i, j, tier(a, b)) for i, d, a in docs for j, e, b in entries if d == e}
