@@ -432,3 +432,28 @@ def test_fuel_entries_are_on_few_lists(spark):
     got = left.join(lists, "list_id").groupBy("left_id", "right_id").agg(F.min("tier")).collect()
     tier = lambda a, b: 2 if a is None or b is None or abs(a - b) > 120 else 1 if abs(a - b) > 30 else 0
     assert {tuple(x) for x in got} == {(i, j, tier(a, b)) for i, d, a in docs for j, e, b in entries if d == e}
+
+
+def test_copies_and_keys_are_few(spark):
+    """Four copies of a row in reach of a window, and no list keys for entries without a file in their cell."""
+    right = spark.createDataFrame([(i, 1000 + i, i) for i in range(60)], "right_id long, cents long, day int")
+    cells = spark.createDataFrame([(990 + i, d) for i in range(80) for d in range(0, 70, 3)], "cents long, day int")
+    assert reconcile.near_copies(right, 5, 2).count() <= 4 * 60
+    got = {(r.cents, r.day, r.right_id) for r in reconcile.cell_lists(cells, right, 5, 2).collect()}
+    assert got == {(c, d, i) for c in range(990, 1070) for d in range(0, 70, 3) for i in range(60) if abs(c - 1000 - i) <= 5 and abs(d - i) <= 2}
+    entries = spark.createDataFrame(
+        [(i, 1000 + 100 * i, i, "b", f"PAYER{i:03}", [f"PAYER{i:03}", "PIX"]) for i in range(50)],
+        "left_id long, cents long, day int, bank string, who string, names array<string>")
+    slips = spark.createDataFrame([(90, "b", 1003, 0, None, "", "SLIP"), (91, "b", None, None, 7, "PAYER007", "PIX")], "right_id long, bank string, cents long, day int, iso int, iname string, fname string")
+    left_lists, lists = links.file_lists(entries, slips)
+    assert left_lists.count() <= 30
+    found = left_lists.join(lists, "list_id").groupBy("left_id", "right_id").agg(F.min("tier")).collect()
+    assert {tuple(r) for r in found} == {(0, 90, 0)} | {(i, 91, 5) for i in (5, 6, 7, 8, 9)}
+
+
+def test_names_without_known_ends_leave_early(spark):
+    from tallyweave.operators.names import with_known_ends
+
+    known = spark.createDataFrame([("ALFA",), ("LFAC",), ("FACO",)], "g string")
+    held = spark.createDataFrame([("ALFACO",), ("ALFA",), ("ALFAX",), ("XLFACO",)], "x string")
+    assert {r.x for r in with_known_ends(held, "x", known).collect()} == {"ALFACO", "ALFA"}
