@@ -51,3 +51,15 @@ def test_names_longer_than_any_holder_are_not_cut_into_pieces(spark):
     assert {r.x for r in fitting(many, "x", few, "h").collect()} == {"ALFA", "LFACOM", "ALFACOM", "BETA"}
     assert {tuple(r) for r in holds(few, "h", many, "x").collect()} == {(h, x) for h in holders for x in held if x in h}
     assert not holds(few.where("false"), "h", many, "x").count()
+
+
+def test_deductions_count_for_the_general_stage(spark):
+    """A slip that names an invoice keeps its entry out of the general stage; another slip doesn't, as in the reference."""
+    day = date(2024, 6, 3)
+    ledger = spark.createDataFrame([(3, day, "Desconto", "GAMA DA SILVA", "b1", "1.1", "Pensão alimentícia", Decimal("30.00"), "4.1")], LEDGER)
+    pix = (22, "share/COMPROVANTES/PIX_2024-06-03_GAMA DA SILVA.pdf", "PIX_2024-06-03_GAMA DA SILVA.pdf", "comprovante", ".pdf", "b1", 5)
+    danfe = (21, "share/COMPROVANTES/DANFE GAMA DA SILVA.pdf", "DANFE GAMA DA SILVA.pdf", "comprovante", ".pdf", "b1", 5)
+    for files, general in (([pix], 1), ([danfe, pix], 0)):
+        files = spark.createDataFrame(files, FILES)
+        slips = links.deduction_attachments(ledger, files)
+        assert slips.count() == 1 and links.file_attachments(ledger, files, slips).count() == general

@@ -457,3 +457,11 @@ def test_names_without_known_ends_leave_early(spark):
     known = spark.createDataFrame([("ALFA",), ("LFAC",), ("FACO",)], "g string")
     held = spark.createDataFrame([("ALFACO",), ("ALFA",), ("ALFAX",), ("XLFACO",)], "x string")
     assert {r.x for r in with_known_ends(held, "x", known).collect()} == {"ALFACO", "ALFA"}
+
+
+def test_rows_that_repeat_count_once(spark):
+    lefts = spark.createDataFrame([(i, 0, "a") for i in range(4)] + [(i, 1, "b") for i in range(4)], "left_id long, tier int, list_id string")
+    lists = spark.createDataFrame([("a", 5), ("a", 7), ("b", 5), ("b", 8), ("b", 9)], "list_id string, right_id long")
+    want = {0: 5, 1: 7, 2: 8, 3: 9}
+    for left, right in ((lefts, lists), (lefts, lists.unionByName(lists)), (lefts.unionByName(lefts), lists), (lefts.unionByName(lefts), lists.unionByName(lists))):
+        assert {r.left_id: r.right_id for r in greedy_assign(left, right, max_rounds=6).collect()} == want
